@@ -43,7 +43,8 @@ def plain(df: DataFrame, digits: int = 2, **by_column: int) -> DataFrame:
 
 
 def _series(spark: SparkSession, folder: str, scope: str = "territory") -> DataFrame:
-    return forecasting.series_of(None, star.survey(spark, folder), scope, "revenue")
+    amounts = series.aggregated_series(star.sales_history(spark, folder), scope)
+    return series.monthly_series(amounts, scope)
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +71,7 @@ def _scope_series(scope: str, measure: str) -> Query:
 
 def _source_fallback(spark: SparkSession, folder: str) -> DataFrame:
     history = star.sales_history(spark, folder)
-    return plain(series.sales_amounts(history, star.survey(spark, folder), "area"))
+    return plain(series.sales_amounts(history, star.survey_quality(spark, folder), "area"))
 
 
 def _source_fallback_survey(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,19 +286,19 @@ def queries() -> dict[str, Query]:
         "sales_summary": _over(star.survey_quality, sales.sales_summary),
         "region_summary": _over(star.survey_quality, sales.region_summary),
         "region_summary_month": _over(star.survey_quality, sales.region_summary, year=1998, month=5),
-        "monthly_trend": _over(star.survey_quality, sales.monthly_trend),
+        "monthly_trend": _over(star.quality_lines, sales.monthly_trend),
         "monthly_trend_region": _over(star.survey_quality, sales.monthly_trend, region_id="2"),
-        "top_products": _over(star.survey_quality, sales.top_products),
-        "top_products_year": _over(star.survey_quality, sales.top_products, year=1999, limit=200),
+        "top_products": _over(star.quality_lines, sales.top_products),
+        "top_products_year": _over(star.quality_lines, sales.top_products, year=1999, limit=200),
         "sales_sample": _over(star.survey_with_circle, sales.sales_sample),
-        "sales_summary_stats": _over(star.survey_quality, sales.sales_summary_stats, **four),
-        "time_features": _over(star.survey_quality, sales.time_features),
-        "price_change_mom": _over(star.survey_quality, sales.price_change_mom, **four),
+        "sales_summary_stats": _over(star.quality_lines, sales.sales_summary_stats, **four),
+        "time_features": _over(star.quality_lines, sales.time_features),
+        "price_change_mom": _over(star.quality_lines, sales.price_change_mom, **four),
         "rolling_qty": _over(star.survey_quality, sales.rolling_qty, **four),
-        "sales_distribution": _over(star.survey_quality, sales.sales_distribution, **four),
+        "sales_distribution": _over(star.quality_lines, sales.sales_distribution, **four),
         "sales_value_counts": _over(star.survey_with_circle, sales.sales_value_counts),
-        "time_coverage": _over(star.survey_quality, sales.time_coverage),
-        "price_qty_corr": _over(star.survey_quality, sales.price_quantity_corr, digits=8),
+        "time_coverage": _over(star.quality_lines, sales.time_coverage),
+        "price_qty_corr": _over(star.quality_lines, sales.price_quantity_corr, digits=8),
         "region_avg_price": _over(star.survey_quality, sales.region_avg_price, **four),
         "product_summary": _over(star.product_dirty, product.product_summary, **four),
         "product_search": _over(
@@ -320,7 +321,7 @@ def queries() -> dict[str, Query]:
         "hierarchy_integrity": _over(star.market, hierarchy.hierarchy_integrity),
         "hierarchy_orphans": _over(star.market, hierarchy.hierarchy_orphans),
         "field_uniqueness": _over(star.market, market.field_uniqueness),
-        "duplicate_rows": _over(star.survey_quality, quality.duplicate_keys, key="ROW_DATA_ID"),
+        "duplicate_rows": _over(star.quality_lines, quality.duplicate_keys, key="ROW_DATA_ID"),
         "market_missing": _over(star.market, market.market_missing, digits=6),
         "children_count": _over(star.market, market.children_count),
         "hierarchy_path": _market_path,
@@ -333,7 +334,7 @@ def queries() -> dict[str, Query]:
         "source_fallback": _source_fallback,
         "source_fallback_survey": _source_fallback_survey,
         "period_sanitize": _period_sanitize,
-        "input_diagnostics": _over(star.survey_text_periods, series.input_diagnostics),
+        "input_diagnostics": _over(star.text_period_lines, series.input_diagnostics),
         "monthly_series": _monthly_series("territory"),
         "lag_features": _lag_features,
         "training_features": _training_features,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Histogram cells per column; a window over them is the largest group below.
+from salesops.plans.lineage import cut
+
+# Histogram cells per column; a window over them is one of the two groupings below.
 CELLS = 65_536
 
 
@@ -32,89 +34,95 @@ def _magnitude(value: Column) -> Column:
     return F.signum(value) * F.least(F.log1p(F.abs(value)), F.lit(710.0))
 
 
+def _ranks(n: int, probabilities: list[float]) -> list[tuple[int, int, float]]:
+    """(rank below, rank above, share of the way between them) per probability."""
+    positions = [p * (n - 1) for p in probabilities]
+    return [(int(at), min(int(at) + 1, n - 1), at - int(at)) for at in positions]
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """(column, n, min, max, quantiles) with linear interpolation between neighbours.
 
-    ``percentile`` ends in one task that holds every distinct value of a column. Here distinct
-    values stay spread over the cluster: a histogram of at most CELLS cells per column finds
-    the cell of each wanted rank, and only the values of those cells are put in order, cell by
-    cell. The ranks are exact whatever the cells look like. ``n`` is 0 for a column without values.
+    ``percentile`` ends in one task that holds every distinct value of a column. Here the
+    distinct values are written once to the checkpoint folder and stay spread over the cluster:
+    a histogram of at most CELLS cells per column finds the cell of each wanted rank, and only
+    the values of those cells are put in order, cell by cell. The ranks are exact whatever the
+    cells look like. The driver sees one row per column and one per wanted rank. ``n`` is 0 for
+    a column without values.
     """
-    freq = value_frequencies(df, columns)
-    span = (
+    spark = df.sparkSession
+    freq = cut(value_frequencies(df, columns))
+    spans = (
         freq.groupBy("column")
-        .agg(
-            F.sum("cnt").alias("n"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-        .withColumn("low", _magnitude(F.col("min")))
-        .withColumn("high", _magnitude(F.col("max")))
+        .agg(F.sum("cnt").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+        .withColumns({"low": _magnitude(F.col("min")), "high": _magnitude(F.col("max"))})
+        .collect()
     )
-    # One row per column: broadcast is bounded by the number of columns asked for.
-    place = (_magnitude(F.col("value")) - F.col("low")) / (F.col("high") - F.col("low"))
-    cell = F.when(F.col("high") > F.col("low"), F.floor(place * (CELLS - 1)).cast("int")).otherwise(0)
-    placed = freq.join(F.broadcast(span.select("column", "low", "high")), "column").select(
-        "column", "value", "cnt", cell.alias("cell")
-    )
-
+    ranks = {s["column"]: _ranks(s["n"], probabilities) for s in spans}
+    placed = freq.withColumn("cell", _cell(spans))
     up_to = Window.partitionBy("column").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
+    histogram = (
         placed.groupBy("column", "cell")
-        .agg(F.sum("cnt").alias("cell_cnt"))
-        .withColumn("before", F.sum("cell_cnt").over(up_to) - F.col("cell_cnt"))
+        .agg(F.sum("cnt").alias("cnt"))
+        .withColumn("before", F.sum("cnt").over(up_to) - F.col("cnt"))
     )
-    wanted = _wanted_ranks(span, probabilities)
-    # Two ranks per probability and column.
-    targets = (
-        cells.join(F.broadcast(wanted), "column")
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("cell_cnt")))
-        .select("column", "cell", "p", "side", "share", (F.col("rank") - F.col("before")).alias("local"))
-    )
-
+    hit = _at_ranks(histogram, ranks).select("column", "cell", "before").distinct().collect()
+    wanted = F.lit(False)
+    before = F.lit(0)
+    for h in hit:
+        here = (F.col("column") == h["column"]) & (F.col("cell") == h["cell"])
+        wanted = wanted | here
+        before = F.when(here, h["before"]).otherwise(before)
     in_cell = Window.partitionBy("column", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    hit_cells = targets.select("column", "cell").distinct()
-    ordered = placed.join(F.broadcast(hit_cells), ["column", "cell"], "left_semi").withColumn(
-        "upto", F.sum("cnt").over(in_cell)
-    )
-    neighbours = (
-        ordered.join(F.broadcast(targets), ["column", "cell"])
-        .filter((F.col("local") >= F.col("upto") - F.col("cnt")) & (F.col("local") < F.col("upto")))
-        .groupBy("column", "p")
-        .agg(
-            F.max(F.when(F.col("side") == 0, F.col("value"))).alias("below"),
-            F.max(F.when(F.col("side") == 1, F.col("value"))).alias("above"),
-            F.max("share").alias("share"),
-        )
-        .withColumn("q", F.col("below") + (F.col("above") - F.col("below")) * F.col("share"))
+    ordered = placed.filter(wanted).withColumn("before", before + F.sum("cnt").over(in_cell) - F.col("cnt"))
+    values = _at_ranks(ordered, ranks).groupBy("column").agg(
+        F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("at")
     )
-    picked = [F.max(F.when(F.col("p") == i, F.col("q"))) for i in range(len(probabilities))]
-    quantiles = neighbours.groupBy("column").agg(F.array(*picked).alias("quantiles"))
-    return (
-        _all_columns(df, columns)
-        .join(F.broadcast(span.select("column", "n", "min", "max")), "column", "left")
-        .join(F.broadcast(quantiles), "column", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
+    known = [(s["column"], s["n"], s["min"], s["max"], ranks[s["column"]]) for s in spans]
+    empty = [(c, 0, None, None, []) for c in columns if c not in ranks]
+    schema = (
+        "column string, n bigint, min double, max double, "
+        "ranks array<struct<low: bigint, high: bigint, share: double>>"
     )
 
+    def between(rank: Column) -> Column:
+        low, high = F.element_at("at", rank["low"]), F.element_at("at", rank["high"])
+        return F.when(low == high, low).otherwise(low + (high - low) * rank["share"])
 
-def _wanted_ranks(span: DataFrame, probabilities: list[float]) -> DataFrame:
-    asked = F.array(
-        *[F.struct(F.lit(i).alias("p"), F.lit(float(v)).alias("prob")) for i, v in enumerate(probabilities)]
-    )
-    position = F.col("ask.prob") * (F.col("n") - 1)
     return (
-        span.select("column", "n", F.explode(asked).alias("ask"))
-        .withColumn("position", position)
-        .withColumn("share", F.col("position") - F.floor("position"))
-        .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("rank", F.when(F.col("side") == 0, F.floor("position")).otherwise(F.ceil("position")))
-        .select("column", F.col("ask.p").alias("p"), "side", "share", "rank")
+        spark.createDataFrame(known + empty, schema)
+        .join(F.broadcast(values), "column", "left")
+        .select(
+            "column",
+            "n",
+            "min",
+            "max",
+            F.when(F.col("n") > 0, F.transform("ranks", between)).alias("quantiles"),
+        )
     )
 
 
-def _all_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+def _cell(spans: list) -> Column:
+    """Cell of a value between its column's lowest and highest one."""
+    cell = F.lit(0)
+    for s in spans:
+        if s["high"] > s["low"]:
+            place = (_magnitude(F.col("value")) - s["low"]) / (s["high"] - s["low"])
+            own = F.floor(place * (CELLS - 1)).cast("int")
+            cell = F.when(F.col("column") == s["column"], own).otherwise(cell)
+    return cell
+
+
+def _at_ranks(counted: DataFrame, ranks: dict[str, list[tuple[int, int, float]]]) -> DataFrame:
+    """Rows that cover a wanted rank of their column: ``before`` <= rank < ``before`` + ``cnt``."""
+    asked = F.array().cast("array<bigint>")
+    for column, triples in ranks.items():
+        distinct = sorted({r for low, high, _ in triples for r in (low, high)})
+        own = F.array(*[F.lit(r).cast("bigint") for r in distinct])
+        asked = F.when(F.col("column") == column, own).otherwise(asked)
+    start, end = F.col("before"), F.col("before") + F.col("cnt")
+    covered = F.filter(asked, lambda rank: (rank >= start) & (rank < end))
+    return counted.withColumn("rank", F.explode(covered))
 
 
 def approximate_quantiles(

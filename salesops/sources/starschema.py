@@ -2,9 +2,10 @@
 
 A deployment reads its own survey, product and market tables; this module derives the same
 layouts from ``lineitem orders supplier nation region part`` with fixed, documented rules. The
-driver tables hold no NULLs, so a few attribute values stand for missing or dirty ones.
-No join carries a hint: Catalyst broadcasts a side only below its size threshold, and AQE
-splits skewed shuffle partitions otherwise.
+driver tables hold no NULLs, so a few attribute values stand for missing or dirty ones. Every
+line has its supplier, so the layouts without region and area need no join at all. No join
+carries a hint: Catalyst broadcasts a side only below its size threshold, and AQE splits skewed
+shuffle partitions otherwise.
 """
 
 from __future__ import annotations
@@ -12,26 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesops.operators.series import scope_series
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _located_lines(spark: SparkSession, folder: str) -> DataFrame:
-    supplier = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"),
-        F.col("s_nationkey").alias("n_nationkey"),
-        "s_acctbal",
-    )
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    """Area and region of a territory; AREA_ID is NULL for suppliers with a negative balance."""
+    supplier = table(spark, folder, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    places = supplier.join(nation, "n_nationkey")
-    return table(spark, folder, "lineitem").join(places, "l_suppkey")
+    return supplier.join(nation, "n_nationkey").select(
+        F.col("s_suppkey").alias("TERRITORY_ID"),
+        F.when(F.col("s_acctbal") >= 0, F.col("n_nationkey").cast("long")).alias("AREA_ID"),
+        F.col("n_regionkey").cast("long").alias("REGION_ID"),
+    )
 
 
-def _survey_columns(qty: Column, price: Column, year: Column, month: Column) -> list[Column]:
-    return [
+def _lines(
+    spark: SparkSession, folder: str, qty: Column, price: Column, year: Column, month: Column, *more: str
+) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ROW_DATA_ID"),
         year.alias("YEAR_NO"),
         month.alias("MONTH_NO"),
@@ -39,76 +40,63 @@ def _survey_columns(qty: Column, price: Column, year: Column, month: Column) ->
         qty.alias("SALES_QTY"),
         price.alias("UNIT_PRICE"),
         F.col("l_suppkey").alias("TERRITORY_ID"),
-        F.when(F.col("s_acctbal") >= 0, F.col("n_nationkey").cast("long")).alias("AREA_ID"),
-        F.col("n_regionkey").cast("long").alias("REGION_ID"),
-    ]
+        *more,
+    )
 
 
-def survey(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean measures; AREA_ID is NULL for suppliers with a negative balance."""
-    lines = _located_lines(spark, folder)
-    return lines.select(
-        *_survey_columns(
-            F.col("l_quantity"),
-            F.col("l_extendedprice"),
-            F.year("l_shipdate"),
-            F.month("l_shipdate"),
-        )
-    )
+def _ship_period() -> tuple[Column, Column]:
+    return F.year("l_shipdate"), F.month("l_shipdate")
+
 
+def _dirty_measures() -> tuple[Column, Column]:
+    """NULL quantities on line 5, negative returns, NULL prices on line 4."""
+    quantity, line = F.col("l_quantity"), F.col("l_linenumber")
+    signed = F.when(F.col("l_returnflag") == "R", -quantity).otherwise(quantity)
+    return F.when(line != 5, signed), F.when(line != 4, F.col("l_extendedprice"))
 
-def _dirty_quantity() -> Column:
-    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return F.when(F.col("l_linenumber") != 5, signed)
 
+def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Survey without region and area."""
+    return _lines(spark, folder, F.col("l_quantity"), F.col("l_extendedprice"), *_ship_period())
 
-def _dirty_price() -> Column:
-    return F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice"))
+
+def quality_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``clean_lines``, with missing and negative measures."""
+    return _lines(spark, folder, *_dirty_measures(), *_ship_period())
+
+
+def survey(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_lines(spark, folder).join(_places(spark, folder), "TERRITORY_ID")
 
 
 def survey_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``survey``, with NULL quantities (line 5), NULL prices (line 4) and negative returns."""
-    lines = _located_lines(spark, folder)
-    return lines.select(
-        *_survey_columns(
-            _dirty_quantity(), _dirty_price(), F.year("l_shipdate"), F.month("l_shipdate")
-        )
-    )
+    return quality_lines(spark, folder).join(_places(spark, folder), "TERRITORY_ID")
 
 
 def survey_with_circle(spark: SparkSession, folder: str) -> DataFrame:
     """As ``survey_quality``, with the two text ids that come from the order."""
-    lines = _located_lines(spark, folder)
+    lines = _lines(spark, folder, *_dirty_measures(), *_ship_period(), "l_orderkey")
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_orderpriority").alias("SURVEY_CIRCLE_ID"),
         F.col("o_custkey").cast("string").alias("PRS_ID"),
     )
-    return lines.join(orders, "l_orderkey").select(
-        *_survey_columns(
-            _dirty_quantity(), _dirty_price(), F.year("l_shipdate"), F.month("l_shipdate")
-        ),
-        "SURVEY_CIRCLE_ID",
-        "PRS_ID",
-    )
+    placed = lines.join(_places(spark, folder), "TERRITORY_ID")
+    return placed.join(orders, "l_orderkey").drop("l_orderkey")
 
 
-def survey_text_periods(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``survey_quality`` with periods as text, some of them unusable."""
-    lines = _located_lines(spark, folder)
+def text_period_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``quality_lines`` with periods as text, some of them unusual or unusable."""
     line = F.col("l_linenumber")
-    year = F.year("l_shipdate").cast("string")
-    month = F.month("l_shipdate").cast("string")
-    dirty_year = F.when(line == 1, F.concat(F.lit("0"), year)).when(line == 2, F.concat(year, F.lit(".0")))
-    dirty_month = F.when(line == 7, F.lit("13")).when(line == 6, F.lit("x"))
-    return lines.select(
-        *_survey_columns(
-            _dirty_quantity(),
-            _dirty_price(),
-            F.when(line != 3, F.coalesce(dirty_year, year)),
-            F.coalesce(dirty_month, month),
-        )
-    )
+    year, month = (p.cast("string") for p in _ship_period())
+    padded = F.when(line == 1, F.concat(F.lit("0"), year)).when(line == 2, F.concat(year, F.lit(".0")))
+    broken = F.when(line == 7, F.lit("13")).when(line == 6, F.lit("x"))
+    years = F.when(line != 3, F.coalesce(padded, year))
+    return _lines(spark, folder, *_dirty_measures(), years, F.coalesce(broken, month))
+
+
+def survey_text_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return text_period_lines(spark, folder).join(_places(spark, folder), "TERRITORY_ID")
 
 
 def product(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,37 +141,41 @@ def market(spark: SparkSession, folder: str) -> DataFrame:
     def code(prefix: str, key: str) -> Column:
         return F.concat(F.lit(prefix), F.col(key))
 
-    def level(df: DataFrame, depth: int, own: Column, name: str, parent: Column, field: Column):
-        return df.select(
+    def level(name: str, depth: int, title: str, own: Column, parent: Column, field: Column) -> DataFrame:
+        return table(spark, folder, name).select(
             field.alias("FIELD_ID"),
-            F.col(name).alias("MKT_NAME"),
+            F.col(title).alias("MKT_NAME"),
             F.lit(depth).alias("MKT_LEVEL"),
             parent.alias("PARENT_MKT_CODE"),
             own.alias("MKT_CODE_OLD"),
         )
 
-    region_code, nation_code = code("R", "r_regionkey"), code("N", "n_nationkey")
-    supplier_code = code("S", "s_suppkey")
-    known_parent = F.when(F.col("s_acctbal") < 0, "ZZ").otherwise(code("N", "s_nationkey"))
-    region, nation = table(spark, folder, "region"), table(spark, folder, "nation")
-    supplier = table(spark, folder, "supplier")
+    region, nation, supplier = code("R", "r_regionkey"), code("N", "n_nationkey"), code("S", "s_suppkey")
     no_parent = F.lit(None).cast("string")
+    parent = F.when(F.col("s_acctbal") < 0, "ZZ").otherwise(code("N", "s_nationkey"))
     return (
-        level(region, 1, region_code, "r_name", no_parent, region_code)
-        .unionByName(level(nation, 2, nation_code, "n_name", code("R", "n_regionkey"), nation_code))
-        .unionByName(
-            level(supplier, 3, supplier_code, "s_name", known_parent, F.concat(F.lit("F"), supplier_code))
-        )
+        level("region", 1, "r_name", region, no_parent, region)
+        .unionByName(level("nation", 2, "n_name", nation, code("R", "n_regionkey"), nation))
+        .unionByName(level("supplier", 3, "s_name", supplier, parent, F.concat(F.lit("F"), supplier)))
     )
 
 
 def sales_history(spark: SparkSession, folder: str) -> DataFrame:
-    """The survey already summed to territory and month."""
-    return scope_series(survey(spark, folder), "territory").select(
-        "Region",
-        "Area",
-        "Territory",
-        F.col("Year").alias("YEAR_NO"),
-        F.col("Month").alias("MONTH_NO"),
+    """Revenue per territory and month.
+
+    Summed before the join: the lines of a hot territory shrink to one row per month in every
+    task, and the join meets months instead of lines.
+    """
+    amounts = (
+        clean_lines(spark, folder)
+        .groupBy("TERRITORY_ID", "YEAR_NO", "MONTH_NO")
+        .agg(F.sum(F.col("SALES_QTY") * F.col("UNIT_PRICE")).alias("SalesAmount"))
+    )
+    return amounts.join(_places(spark, folder), "TERRITORY_ID").select(
+        F.col("REGION_ID").alias("Region"),
+        F.col("AREA_ID").alias("Area"),
+        F.col("TERRITORY_ID").alias("Territory"),
+        "YEAR_NO",
+        "MONTH_NO",
         "SalesAmount",
     )
