@@ -125,7 +125,7 @@ def _fit(scope: str = "territory", mode: str = "additive", head: str | None = No
         f"coalesce(max(CASE WHEN m = {m} THEN season END), 0) AS season_{m}" for m in range(1, 13)
     )
     return f"""{head or _series(scope)}, timed AS (
-      SELECT *, CAST((year(ds) - 1970) * 12 + month(ds) - 1 AS DOUBLE) AS t, month(ds) AS m FROM series
+      SELECT *, CAST((year(ds) - 2000) * 12 + month(ds) - 1 AS DOUBLE) AS t, month(ds) AS m FROM series
     ), lined AS (
       SELECT *, regr_slope(y, t) OVER k AS slope, regr_intercept(y, t) OVER k AS intercept,
         count(*) OVER k AS n_obs, max(t) OVER k - min(t) OVER k AS span
@@ -152,7 +152,7 @@ def _forecast(scope: str = "territory", mode: str = "additive", horizon: int = 6
       SELECT *, CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds
       FROM models CROSS JOIN range(1, {horizon + 1}) AS r(step)
     ), bands AS (
-      SELECT *, intercept + slope * ((year(ds) - 1970) * 12 + month(ds) - 1) AS trend,
+      SELECT *, intercept + slope * ((year(ds) - 2000) * 12 + month(ds) - 1) AS trend,
         CASE month(ds) {pick} END AS season
       FROM months
     ), forecast AS (
@@ -162,10 +162,10 @@ def _forecast(scope: str = "territory", mode: str = "additive", horizon: int = 6
     )"""
 
 
-_BANDS = "round(yhat, 2) AS yhat, round(yhat_lower, 2) AS yhat_lower, round(yhat_upper, 2) AS yhat_upper"
+_BANDS = "round(yhat, 0) AS yhat, round(yhat_lower, 0) AS yhat_lower, round(yhat_upper, 0) AS yhat_upper"
 _BAND_SUMS = (
-    "round(sum(yhat), 2) AS yhat, round(sum(yhat_lower), 2) AS yhat_lower, "
-    "round(sum(yhat_upper), 2) AS yhat_upper"
+    "round(sum(yhat), 0) AS yhat, round(sum(yhat_lower), 0) AS yhat_lower, "
+    "round(sum(yhat_upper), 0) AS yhat_upper"
 )
 
 
@@ -176,8 +176,8 @@ def _errors(rows: str, keys: str) -> str:
     FROM {rows} GROUP BY {keys}"""
 
 
-_ROUND_ERRORS = "round(rmse, 2) AS rmse, round(mae, 2) AS mae, round(mape, 6) AS mape"
-_MEAN_ERRORS = "round(avg(rmse), 2) AS rmse, round(avg(mae), 2) AS mae, round(avg(mape), 6) AS mape"
+_ROUND_ERRORS = "round(rmse, 0) AS rmse, round(mae, 0) AS mae, round(mape, 6) AS mape"
+_MEAN_ERRORS = "round(avg(rmse), 0) AS rmse, round(avg(mae), 0) AS mae, round(avg(mape), 6) AS mape"
 _T = "Region, Area, Territory"
 
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -439,12 +439,12 @@ def oracle_sql() -> dict[str, str]:
     sql["last_periods"] = (
         f"{_series()} SELECT {_T}, strftime(max(ds), '%Y-%m-%d') AS last_ds FROM series GROUP BY {_T}"
     )
-    sql["mean_model"] = f"{_means()} SELECT {_T}, round(mean_y, 2) AS mean_y, n_obs FROM means"
+    sql["mean_model"] = f"{_means()} SELECT {_T}, round(mean_y, 3) AS mean_y, n_obs FROM means"
 
-    for name, mode, digits in (("trend_fit", "additive", 2), ("trend_fit_multiplicative", "multiplicative", 6)):
+    for name, mode, digits in (("trend_fit", "additive", 0), ("trend_fit_multiplicative", "multiplicative", 6)):
         seasons = ", ".join(f"round(season_{m}, {digits}) AS season_{m}" for m in range(1, 13))
-        sql[name] = f"""{_fit('territory', mode)} SELECT {_T}, round(intercept, 2) AS intercept,
-          round(slope, 2) AS slope, round(sigma, 2) AS sigma, n_obs,
+        sql[name] = f"""{_fit('territory', mode)} SELECT {_T}, round(intercept, 0) AS intercept,
+          round(slope, 0) AS slope, round(sigma, 0) AS sigma, n_obs,
           strftime(last_ds, '%Y-%m-%d') AS last_ds, '{mode}' AS mode, {seasons} FROM models"""
     for name, scope, mode in (
         ("trend_forecast", "territory", "additive"),
@@ -460,8 +460,8 @@ def oracle_sql() -> dict[str, str]:
       Region || '__' || Area || '__' || Territory AS model_key FROM models"""
     sql["nested_forecast"] = f"""{_forecast()} SELECT Region || '__' || Area || '__' || Territory AS key,
       count(*) AS months, strftime(min(ds), '%Y-%m-%d') AS first_ds,
-      round(arg_min(yhat, ds), 2) AS first_yhat, strftime(max(ds), '%Y-%m-%d') AS last_ds,
-      round(arg_max(yhat, ds), 2) AS last_yhat FROM forecast GROUP BY {_T}"""
+      round(arg_min(yhat, ds), 0) AS first_yhat, strftime(max(ds), '%Y-%m-%d') AS last_ds,
+      round(arg_max(yhat, ds), 0) AS last_yhat FROM forecast GROUP BY {_T}"""
     sql["forecast_grid"] = f"""{_forecast()} SELECT Area, strftime(ds, '%Y-%m-%d') AS ds,
       CAST(year(ds) AS BIGINT) AS Year, CAST(month(ds) AS BIGINT) AS Month, {_BAND_SUMS},
       'Product' AS missing_dims FROM forecast GROUP BY Area, forecast.ds"""
@@ -499,6 +499,8 @@ def oracle_sql() -> dict[str, str]:
     for name, mode in (("evaluate_trend", "additive"), ("evaluate_trend_multiplicative", "multiplicative")):
         sql[name] = f"""{_fit('territory', mode)}, errors AS ({_errors('fitted', _T)})
           SELECT {_T}, count, {_ROUND_ERRORS} FROM errors"""
+    sql["evaluate_stored_trend"] = f"""{_fit('area')}, errors AS ({_errors('fitted', 'Region, Area')})
+      SELECT Region, Area, count, {_ROUND_ERRORS} FROM errors"""
     sql["evaluate_mean"] = f"""{_means()}, predicted AS (
         SELECT f.*, m.mean_y AS yhat FROM features f JOIN means m USING ({_T})
       ), errors AS ({_errors('predicted', _T)}) SELECT {_T}, count, {_ROUND_ERRORS} FROM errors"""
@@ -518,8 +520,8 @@ def oracle_sql() -> dict[str, str]:
         WHERE lag_12 IS NOT NULL GROUP BY Region, Area
       )"""
     sql["model_roundtrip"] = f"""{_means()}, {area}
-      SELECT 'area' AS scope, Region || '__' || Area AS model_key, round(mean_y, 2) AS mean_y, n_obs
+      SELECT 'area' AS scope, Region || '__' || Area AS model_key, round(mean_y, 3) AS mean_y, n_obs
       FROM area_means
       UNION ALL
-      SELECT 'territory', Region || '__' || Area || '__' || Territory, round(mean_y, 2), n_obs FROM means"""
+      SELECT 'territory', Region || '__' || Area || '__' || Territory, round(mean_y, 3), n_obs FROM means"""
     return sql

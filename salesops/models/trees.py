@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 from salesops.functions.params import check_range
 from salesops.operators.series import by_key, feature_columns, keyed, next_months, training_features
+from salesops.plans.lineage import cut
 from salesops.scopes import DEFAULT_HORIZON, DEFAULT_LAGS, scope_keys
 
 HISTORY = max(DEFAULT_LAGS)
 SPLITTABLE_ROWS = 40
+# Every round passes over the training rows several times: enough tasks to share the work, each
+# with enough rows to be worth starting.
+ROWS_PER_TASK = 8_192
 
 
 @dataclass(frozen=True)
@@ -70,9 +74,12 @@ def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineMo
     )
     inputs = feature_columns(features, scope)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
-    train = assembler.transform(_scaled(rows)).select("features", "label")
-    if train.isEmpty():
+    train = cut(_scaled(rows).select(*scope_keys(scope), "ds", *inputs, "label"))
+    count = train.count()
+    if count == 0:
         return None
+    tasks = min(-(-count // ROWS_PER_TASK), 3 * train.sparkSession.sparkContext.defaultParallelism)
+    spread = train.repartition(tasks, *scope_keys(scope), "ds")
     trees = GBTRegressor(
         featuresCol="features",
         labelCol="label",
@@ -86,7 +93,7 @@ def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineMo
         featureSubsetStrategy=params.column_share,
         seed=params.seed,
     )
-    return PipelineModel([assembler, trees.fit(train)])
+    return PipelineModel([assembler, trees.fit(assembler.transform(spread))])
 
 
 def predict_trees(rows: DataFrame, model: PipelineModel | None, params: TreeParams) -> DataFrame:

@@ -4,7 +4,7 @@ Stands in for an additive/multiplicative trend-seasonality forecaster. It keeps
 not the numbers of a particular library: one straight trend (no changepoints), one effect per
 calendar month (no Fourier terms), normal intervals (not sampled).
 
-    t        months since January 1970
+    t        months since January 2000
     trend    intercept + slope * t, least squares
     season   additive: mean of y - trend per calendar month
              multiplicative: mean of y / trend - 1 per calendar month
@@ -65,10 +65,9 @@ def fitted_rows(series: DataFrame, scope: str, mode: str = "additive") -> DataFr
     per_month = Window.partitionBy(*scope_keys(scope), "month")
     season = F.when(F.col("span") >= MONTHS_FOR_SEASON, F.avg(effect).over(per_month))
     return (
-        rows.withColumn("mode", F.lit(mode))
-        .withColumn("season", F.coalesce(season, F.lit(0.0)))
-        .withColumn("yhat", _combine(F.col("trend"), F.col("season"), F.col("mode")))
-        .select(*scope_keys(scope), "ds", "y", "yhat", "month", "season", "intercept", "slope", "n_obs", "mode")
+        rows.withColumn("season", F.coalesce(season, F.lit(0.0)))
+        .withColumn("yhat", _combine(F.col("trend"), F.col("season"), F.lit(mode)))
+        .select(*scope_keys(scope), "ds", "y", "yhat", "month", "season", "intercept", "slope", "n_obs")
     )
 
 
@@ -85,8 +84,8 @@ def fit_trend(series: DataFrame, scope: str, mode: str = "additive") -> DataFram
             F.stddev_samp(F.col("y") - F.col("yhat")).alias("sigma"),
             F.count("*").alias("n_obs"),
             F.max("ds").alias("last_ds"),
-            F.max("mode").alias("mode"),
         )
+        .withColumn("mode", F.lit(mode))
     )
 
 

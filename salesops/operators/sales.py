@@ -156,8 +156,8 @@ def price_change_mom(
 ) -> DataFrame:
     """Average monthly price and its change in percent for the products with most months.
 
-    The months of a product travel as one array, so the ranking picks products and their data
-    together: one scan of the facts, no join back.
+    The months of a product, one entry per period, travel as an array, so the ranking picks
+    products and their data together: one scan of the facts, no join back.
     """
     check_range("limit_products", limit_products, 1, 5000)
     year = C.whole_number(survey, "YEAR_NO")
@@ -180,7 +180,9 @@ def price_change_mom(
     previous = F.lag("monthly_price").over(in_order)
     return (
         top.select("PRODUCT_ID", F.inline("months"))
-        .withColumn("pct_change", C.pct_change(F.col("monthly_price"), previous))
+        .withColumn("previous", previous)
+        .withColumn("pct_change", C.pct_change(F.col("monthly_price"), F.col("previous")))
+        .drop("previous")
         .orderBy("PRODUCT_ID", "YEAR_NO", "MONTH_NO")
     )
 

@@ -9,6 +9,7 @@ from salesops.functions.columns import as_text_date, key_label
 from salesops.functions.params import known_filters
 from salesops.models import sequence, trees, trend
 from salesops.operators.series import last_periods, monthly_series, sales_amounts
+from salesops.plans.lineage import cut
 from salesops.scopes import DEFAULT_HORIZON, scope_keys
 
 
@@ -19,6 +20,15 @@ def series_of(
     return monthly_series(sales_amounts(history, survey, scope, measure), scope)
 
 
+def prepared(series: DataFrame) -> DataFrame:
+    """The series written to the checkpoint folder.
+
+    For work that reads it more than once, such as fitting, scoring and comparing models: the
+    facts are scanned for it a single time, and a lost executor costs no second scan.
+    """
+    return cut(series)
+
+
 def trend_forecast(
     series: DataFrame,
     scope: str,
@@ -48,7 +58,7 @@ def tree_forecast(
     horizon: int = DEFAULT_HORIZON,
     filters: dict | None = None,
 ) -> DataFrame:
-    """Fit on every key, forecast the wanted ones."""
+    """Fit on every key, forecast the wanted ones. Reads the series more than once: prepare it."""
     features = trees.train_rows(series, scope)
     model = trees.fit_trees(features, scope, params)
     per_key = trees.fit_mean(features, scope)
