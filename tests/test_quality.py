@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from salesops.operators import quality
+from salesops.operators.quantiles import approximate_quantiles, exact_quantiles
+from tests.conftest import plan, rows
+
+
+def test_null_profile(spark):
+    df = spark.createDataFrame([(1, None), (None, None), (3, "x"), (4, "y")], "a int, b string")
+    assert rows(quality.null_profile(df, ["a", "b"])) == [(1, 2, 4, 25.0, 50.0)]
+
+
+def test_null_profile_of_empty_table(spark):
+    df = spark.createDataFrame([], "a int")
+    assert rows(quality.null_profile(df, ["a"])) == [(0, 0, 0.0)]
+
+
+def test_key_profile_and_duplicates(spark):
+    df = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (None,), (5,)], "k int")
+    assert rows(quality.key_profile(df, "k")) == [(4, 2, 5)]
+    assert rows(quality.duplicate_keys(df, "k")) == [(1, 3), (None, 2)]
+    assert rows(quality.duplicate_keys(df, "k", 1)) == [(1, 3)]
+    assert rows(quality.key_profile(df.filter("false"), "k")) == [(0, 0, 0)]
+    with pytest.raises(ValueError):
+        quality.duplicate_keys(df, "k", 5001)
+
+
+def test_value_counts_match_counter(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([None, "a", "b", "c", "d"]), rng.randrange(4)) for _ in range(500)]
+    df = spark.createDataFrame(data, "s string, n int").repartition(7)
+    found = rows(quality.value_counts(df, ["s", "n"], 3, with_distinct=True))
+    expected = []
+    for name, values in (("s", [d[0] for d in data]), ("n", [str(d[1]) for d in data])):
+        ranked = sorted(Counter(values).items(), key=lambda kv: (-kv[1], kv[0] is not None, kv[0] or ""))
+        distinct = len({v for v in values if v is not None})
+        expected += [(name, value, count, distinct) for value, count in ranked[:3]]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_value_counts_cut_each_task_before_the_shuffle(spark, small):
+    df = spark.read.parquet(f"{small}/lineitem.parquet")
+    text = plan(quality.value_counts(df, ["l_partkey", "l_suppkey"], 50))
+    assert text.count("WindowGroupLimit") == 2
+    assert text.count("FileScan") == 1
+
+
+def test_text_quality(spark):
+    names = [" a b", "a b ", "a  b", "A b", "a b", None, " x", "tab\t", "é-1_2", "50%", "x\n"]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    n, lead, trail, multi, odd, share, variants = rows(quality.text_quality(df, ["s"]).drop("column"))[0]
+    assert (n, lead, trail, multi, odd, variants) == (10, 2, 3, 1, 1, True)
+    assert share == pytest.approx(0.1)
+
+
+def test_text_quality_without_case_variants(spark):
+    long_text = "word " * 40
+    df = spark.createDataFrame([(long_text,), (long_text,), ("b",), ("b",)], "s string")
+    assert quality.text_quality(df, ["s"]).first()["case_variant_issue"] is False
+    upper = df.unionByName(spark.createDataFrame([(long_text.upper(),)], "s string"))
+    assert quality.text_quality(upper, ["s"]).first()["case_variant_issue"] is True
+
+
+def _expected(values, probabilities):
+    return [float(np.quantile(values, p)) for p in probabilities]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.one_of(st.integers(-50, 50).map(float), st.floats(-1e12, 1e12, allow_nan=False)),
+        min_size=1,
+        max_size=60,
+    )
+)
+def test_exact_quantiles_match_numpy(spark, values):
+    probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    row = exact_quantiles(df, ["v"], probabilities).first()
+    assert (row["n"], row["min"], row["max"]) == (len(values), min(values), max(values))
+    assert row["quantiles"] == pytest.approx(_expected(values, probabilities), rel=1e-12, abs=1e-9)
+
+
+def test_quantiles_with_a_hot_value_and_outliers(spark):
+    rng = random.Random(3)
+    values = [7.0] * 4000 + [rng.lognormvariate(3, 2) for _ in range(2000)] + [-1e15, 1e15, 0.0]
+    other = [None] * 5000 + [1.0] * (len(values) - 5000)
+    df = spark.createDataFrame(list(zip(values, other)), "v double, w double").repartition(5)
+    probabilities = [0.01, 0.25, 0.5, 0.75, 0.99]
+    found = {r["column"]: r for r in exact_quantiles(df, ["v", "w"], probabilities).collect()}
+    assert found["v"]["quantiles"] == pytest.approx(_expected(values, probabilities), rel=1e-12)
+    assert found["w"]["quantiles"] == [1.0] * 5
+    assert found["w"]["n"] == len(values) - 5000
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None, float("nan"))], "v double, w double")
+    found = rows(exact_quantiles(df, ["v", "w"], [0.5]))
+    assert sorted(found) == [("v", 0, None, None, None), ("w", 0, None, None, None)]
+
+
+def test_approximate_quantiles(spark):
+    df = spark.range(1, 1002).selectExpr("CAST(id AS DOUBLE) AS v")
+    assert approximate_quantiles(df, ["v"], [0.5]).first()["quantiles"] == [501.0]
