@@ -69,7 +69,7 @@ _MARKET = """market AS (
   UNION ALL
   SELECT 'N' || n_nationkey, n_name, 2, 'R' || n_regionkey, 'N' || n_nationkey FROM nation
   UNION ALL
-  SELECT 'FS' || s_suppkey, s_name, 3,
+  SELECT CASE WHEN s_acctbal < 0 THEN 'F?' ELSE 'FS' || s_suppkey END, s_name, 3,
     CASE WHEN s_acctbal < 0 THEN 'ZZ' ELSE 'N' || s_nationkey END, 'S' || s_suppkey FROM supplier
 )"""
 MARKET = f"WITH {_MARKET}"
@@ -254,11 +254,11 @@ def _distribution(column: str) -> str:
 
 
 _WALK = """up AS (
-  SELECT FIELD_ID AS node_id, FIELD_ID AS ancestor_id, MKT_LEVEL AS ancestor_level,
+  SELECT MKT_CODE_OLD AS node_code, FIELD_ID AS node_id, FIELD_ID AS ancestor_id, MKT_LEVEL AS ancestor_level,
     PARENT_MKT_CODE AS parent, 0 AS depth, MKT_CODE_OLD AS path, MKT_CODE_OLD AS root_code
   FROM market
   UNION ALL
-  SELECT up.node_id, m.FIELD_ID, m.MKT_LEVEL, m.PARENT_MKT_CODE, up.depth + 1,
+  SELECT up.node_code, up.node_id, m.FIELD_ID, m.MKT_LEVEL, m.PARENT_MKT_CODE, up.depth + 1,
     m.MKT_CODE_OLD || '/' || up.path, m.MKT_CODE_OLD
   FROM up JOIN market m ON up.parent = m.MKT_CODE_OLD WHERE up.depth < 10
 )"""
@@ -361,15 +361,15 @@ def oracle_sql() -> dict[str, str]:
       PARENT_MKT_CODE, MKT_CODE_OLD FROM market WHERE MKT_LEVEL = 3 AND MKT_NAME LIKE '%1%'
       ORDER BY MKT_LEVEL, MKT_NAME, FIELD_ID LIMIT 500"""
     sql["market_tree"] = f"""WITH RECURSIVE {_MARKET}, {_WALK}, longest AS (
-        SELECT node_id, max(depth) AS depth, arg_max(path, depth) AS path, arg_max(root_code, depth) AS root_code
-        FROM up GROUP BY node_id
+        SELECT node_code, max(depth) AS depth, arg_max(path, depth) AS path, arg_max(root_code, depth) AS root_code
+        FROM up GROUP BY node_code
       ), kids AS (
         SELECT PARENT_MKT_CODE AS code, count(*) AS n FROM market WHERE PARENT_MKT_CODE IS NOT NULL GROUP BY 1
       )
       SELECT m.FIELD_ID, m.MKT_NAME, CAST(m.MKT_LEVEL AS BIGINT) AS MKT_LEVEL, m.PARENT_MKT_CODE,
         m.MKT_CODE_OLD, l.depth = 0 AS is_root, l.root_code, CAST(l.depth AS BIGINT) AS depth, l.path,
         coalesce(k.n, 0) AS n_children, TRUE AS reachable
-      FROM market m JOIN longest l ON m.FIELD_ID = l.node_id LEFT JOIN kids k ON m.MKT_CODE_OLD = k.code"""
+      FROM market m JOIN longest l ON m.MKT_CODE_OLD = l.node_code LEFT JOIN kids k ON m.MKT_CODE_OLD = k.code"""
     sql["level_distribution"] = f"""{MARKET} SELECT CAST(MKT_LEVEL AS BIGINT) AS level, count(*) AS row_count,
       count(DISTINCT FIELD_ID) AS unique_field_ids FROM market GROUP BY MKT_LEVEL"""
     orphan = "PARENT_MKT_CODE IS NOT NULL AND NOT EXISTS (SELECT 1 FROM market p WHERE p.FIELD_ID = c.PARENT_MKT_CODE)"
@@ -383,6 +383,8 @@ def oracle_sql() -> dict[str, str]:
       count(FIELD_ID) AS distinct_field_ids,
       CAST(coalesce(sum(cnt) FILTER (cnt > 1), 0) AS BIGINT) AS non_unique_count
       FROM (SELECT FIELD_ID, count(*) AS cnt FROM market GROUP BY FIELD_ID)"""
+    sql["field_duplicates"] = f"""{MARKET} SELECT FIELD_ID, count(*) AS cnt FROM market GROUP BY FIELD_ID
+      HAVING count(*) > 1 ORDER BY cnt DESC, FIELD_ID LIMIT 200"""
     sql["duplicate_rows"] = f"""{DIRTY} SELECT ROW_DATA_ID, count(*) AS cnt FROM survey GROUP BY ROW_DATA_ID
       HAVING count(*) > 1 ORDER BY cnt DESC, ROW_DATA_ID LIMIT 200"""
     sql["market_missing"] = f"{MARKET} {_nulls('market', _MARKET_COLUMNS)}"

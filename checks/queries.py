@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from salesops.functions.columns import as_text_date, key_label
 from salesops.models import sequence, trees, trend
 from salesops.operators import hierarchy, market, product, quality, sales, series
-from salesops.plans import evaluation, forecasting, views
+from salesops.plans import evaluation, forecasting, training, views
 from salesops.plans.lineage import scratch_path
 from salesops.scopes import SCOPES
 from salesops.sources import modelstore
@@ -140,13 +140,11 @@ def _trend_forecast(scope: str, mode: str) -> Query:
 
 
 def _stored_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    """Fit, store, read back, forecast the areas of one region from the stored models."""
-    data = _prepared(spark, folder, "area")
-    path = scratch_path(spark, "models")
-    modelstore.save_models(trend.fit_trend(data, "area"), path, "area", "trend")
-    stored = modelstore.load_models(spark, path, "area", "trend")
+    """Train, store, read back, forecast the areas of one region from the stored models."""
+    data, path = _prepared(spark, folder, "area"), scratch_path(spark, "models")
+    training.train(data, path, "area", "trend")
     wanted = {"Region": 1, "Shelf": 9}
-    return plain(forecasting.trend_forecast(data, "area", 12, wanted, models=stored), FITTED)
+    return plain(training.forecast(data, path, "area", "trend", 12, wanted), FITTED)
 
 
 def _training_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,11 +200,9 @@ def _evaluate_trend(mode: str) -> Query:
 
 
 def _evaluate_stored_trend(spark: SparkSession, folder: str) -> DataFrame:
-    data = _prepared(spark, folder, "area")
-    path = scratch_path(spark, "models")
-    modelstore.save_models(trend.fit_trend(data, "area"), path, "area", "trend")
-    stored = modelstore.load_models(spark, path, "area", "trend")
-    return plain(evaluation.evaluate_trend(data, "area", stored), FITTED, mape=6)
+    data, path = _prepared(spark, folder, "area"), scratch_path(spark, "models")
+    training.train(data, path, "area", "trend")
+    return plain(training.evaluate(data, path, "area", "trend"), FITTED, mape=6)
 
 
 def _evaluate_mean(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,14 +255,12 @@ def _evaluate_sequence(spark: SparkSession, folder: str) -> DataFrame:
     return plain(evaluation.evaluate_sequence(data, models, "territory"))
 
 
-def _compare_all_models(spark: SparkSession, folder: str) -> DataFrame:
-    data = _prepared(spark, folder)
-    metrics = {
-        "trend": evaluation.evaluate_trend(data, "territory"),
-        "trees_a": _tree_metrics(data, trees.TREES_A),
-        "trees_b": _tree_metrics(data, trees.TREES_B),
-    }
-    return plain(evaluation.compare_models(metrics))
+def _compare_stored_models(spark: SparkSession, folder: str) -> DataFrame:
+    data, path = _prepared(spark, folder), scratch_path(spark, "models")
+    short = {m: _short(p) for m, p in training.TREE_MODELS.items()}
+    for model in training.COMPARED:
+        training.train(data, path, "territory", model, params=short.get(model))
+    return plain(training.compare(data, path, "territory", params=short))
 
 
 def _model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -333,6 +327,7 @@ def queries() -> dict[str, Query]:
         "hierarchy_integrity": _over(star.market, hierarchy.hierarchy_integrity),
         "hierarchy_orphans": _over(star.market, hierarchy.hierarchy_orphans),
         "field_uniqueness": _over(star.market, market.field_uniqueness),
+        "field_duplicates": _over(star.market, market.duplicate_fields),
         "duplicate_rows": _over(star.quality_lines, quality.duplicate_keys, key="ROW_DATA_ID"),
         "market_missing": _over(star.market, market.market_missing, digits=6),
         "children_count": _over(star.market, market.children_count),
@@ -376,7 +371,7 @@ def queries() -> dict[str, Query]:
         "trees_b_forecast": _trees_forecast(trees.TREES_B),
         "evaluate_trees_a": _evaluate_trees(trees.TREES_A),
         "evaluate_trees_b": _evaluate_trees(trees.TREES_B),
-        "compare_all_models": _compare_all_models,
+        "compare_stored_models": _compare_stored_models,
         "sequence_forecast": _sequence_forecast,
         "evaluate_sequence": _evaluate_sequence,
     }

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesops.plans.lineage import cut
+
 # A lookup row holds a few short columns: 100,000 of them stay in the tens of megabytes.
 BROADCAST_ROWS = 100_000
-SALT_BUCKETS = 32
+# A key is hot above 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 5_000
+SALT_BUCKETS = 64
 
 
 def lookup_join(
@@ -21,15 +25,31 @@ def lookup_join(
     """Join ``big`` with ``lookup`` on one column of the same name.
 
     The lookup is counted first. Up to ``max_broadcast_rows`` it is broadcast, so hot keys of
-    ``big`` never meet in one task. Beyond that every ``big`` row gets a salt from its own
-    content and the lookup is repeated once per salt: a hot key is spread over ``salt`` tasks
-    and every row still meets exactly one copy of its match. The salt is a hash and not a
-    random number, so a rerun task sends each row to the same place.
+    ``big`` never meet in one task. Beyond that both sides are shuffled, with the hot keys of
+    ``big`` spread over ``salt`` tasks: their rows get a salt, and only their lookup rows are
+    repeated once per salt. Every row still meets exactly its matches.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     if lookup.count() <= max_broadcast_rows:
         return big.join(F.broadcast(lookup), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    hot = hot_keys(big, on)
+    # The salt follows the row and the task that reads it. Copies of one row spread as well, and
+    # a task that is run again gives every row the salt it had.
+    spread = F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()), F.lit(salt)).cast("int")
+    # A NULL key matches nothing wherever it goes.
+    salted = big.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | F.col(on).isNull(), spread).otherwise(0)
+    )
+    every = F.sequence(F.lit(0), F.lit(salt - 1))
+    copies = lookup.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    return salted.drop("_hot").join(copies.drop("_hot"), [on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(big: DataFrame, on: str, share: int = HOT_SHARE) -> DataFrame:
+    """(key, _hot): the keys that hold more than 1/``share`` of the rows, counted on the map side."""
+    total = big.count()
+    counts = big.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n"))
+    return cut(counts.filter(F.col("n") * share > total).select(on, F.lit(True).alias("_hot")))

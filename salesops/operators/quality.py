@@ -85,7 +85,7 @@ def text_quality(
     counting distinct texts twice per column.
     """
     if sample_limit is not None:
-        df = df.orderBy(order or columns[0]).limit(check_range("sample", sample_limit, 1, 200_000))
+        df = df.orderBy(order or columns[0]).limit(check_range("sample", sample_limit, 100, 200_000))
     value = F.col("value")
     distinct = (
         _column_values(df, columns)

@@ -135,7 +135,7 @@ def market(spark: SparkSession, folder: str) -> DataFrame:
     """Regions, nations and suppliers as a three-level forest.
 
     FIELD_ID is ``F`` + code for suppliers and the code itself above them. Suppliers with a
-    negative balance name a parent that does not exist.
+    negative balance name a parent that does not exist and share one FIELD_ID.
     """
 
     def code(prefix: str, key: str) -> Column:
@@ -152,11 +152,13 @@ def market(spark: SparkSession, folder: str) -> DataFrame:
 
     region, nation, supplier = code("R", "r_regionkey"), code("N", "n_nationkey"), code("S", "s_suppkey")
     no_parent = F.lit(None).cast("string")
-    parent = F.when(F.col("s_acctbal") < 0, "ZZ").otherwise(code("N", "s_nationkey"))
+    lost = F.col("s_acctbal") < 0
+    parent = F.when(lost, "ZZ").otherwise(code("N", "s_nationkey"))
+    field = F.when(lost, "F?").otherwise(F.concat(F.lit("F"), supplier))
     return (
         level("region", 1, "r_name", region, no_parent, region)
         .unionByName(level("nation", 2, "n_name", nation, code("R", "n_regionkey"), nation))
-        .unionByName(level("supplier", 3, "s_name", supplier, parent, F.concat(F.lit("F"), supplier)))
+        .unionByName(level("supplier", 3, "s_name", supplier, parent, field))
     )
 
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from salesops.operators import joins
 from salesops.operators.joins import lookup_join
 from salesops.plans import lineage
 from tests.conftest import plan, rows
@@ -11,7 +12,10 @@ from tests.conftest import plan, rows
 
 @pytest.fixture(scope="module")
 def sides(spark):
-    big = spark.sql("SELECT id, CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 7 AS STRING) END AS k FROM range(300)")
+    big = spark.sql(
+        """SELECT id, CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 11 > 0 THEN CAST(id % 7 AS STRING) END AS k
+        FROM range(300)"""
+    )
     lookup = spark.createDataFrame([("hot", 1), ("2", 2), ("5", 3), ("9", 4)], "k string, v int")
     return big, lookup
 
@@ -25,6 +29,24 @@ def test_salted_join_equals_broadcast_join(sides, how):
     assert salted.columns == small_side.columns
 
 
+def test_hot_keys_are_counted(sides):
+    big, _ = sides
+    assert [r["k"] for r in joins.hot_keys(big, "k", share=4).collect()] == ["hot"]
+    assert joins.hot_keys(big, "k", share=3).count() == 0
+    assert joins.hot_keys(big.filter("false"), "k").count() == 0
+
+
+def test_copies_of_one_row_are_spread(spark):
+    copies = spark.range(0, 4000, 1, 16).selectExpr("'hot' AS k", "1 AS v")
+    lookup = spark.createDataFrame([("hot", "x"), ("cold", "y")], "k string, w string")
+    joined = lookup_join(copies, lookup, "k", "inner", max_broadcast_rows=0, salt=8)
+    assert joined.count() == 4000
+    salts = copies.select(
+        (joins.F.pmod(joins.F.xxhash64("k", "v", joins.F.spark_partition_id()), joins.F.lit(8))).alias("s")
+    )
+    assert salts.distinct().count() > 3
+
+
 def test_large_lookup_is_not_hinted(sides):
     big, lookup = sides
     assert "_salt" in plan(lookup_join(big, lookup, "k", "inner", max_broadcast_rows=3))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from salesops.models import sequence, trees, trend
 from salesops.models.grouped import fit_grouped
 from salesops.operators import series
-from salesops.plans import evaluation, forecasting, views
+from salesops.plans import evaluation, forecasting, training, views
 from salesops.plans.lineage import scratch_path
 from salesops.sources import modelstore
 from tests.conftest import rows
@@ -207,6 +207,40 @@ def test_trees_survive_a_store(spark, data, small_trees):
     assert before == after
 
 
+# --- the stored lifecycle --------------------------------------------------------------------
+
+
+def test_lifecycle(spark, data):
+    path = scratch_path(spark, "life")
+    short = trees.TreeParams(rounds=3, step=0.3, depth=3, leaf_rows=1, bins=32)
+    params = {"trees_a": None, "trees_b": short}
+    trained = {}
+    for model in training.MODELS:
+        assert training.forecast(data, path, "region", model).count() == 0
+        assert training.evaluate(data, path, "region", model).count() == 0
+        report = training.train(data, path, "region", model, params=params.get(model))
+        trained[model] = sorted(r["Region"] for r in report.collect())
+    assert trained == {"trend": [1, 2, 3, 4, 5], "trees_a": [1, 2, 3], "trees_b": [1, 2, 3], "sequence": [1, 2, 3]}
+    for model in training.MODELS:
+        forecast = training.forecast(data, path, "region", model, 4, {"Region": 1}, params.get(model))
+        assert forecast.columns == ["Region", "ds", "yhat", "yhat_lower", "yhat_upper"]
+        found = rows(forecast.select("Region", "ds").orderBy("ds"))
+        assert found == [(1, month(48 + i)) for i in range(4)]
+        assert training.evaluate(data, path, "region", model, params.get(model)).count() == len(trained[model])
+    compared = {r["model"]: r["groups"] for r in training.compare(data, path, "region", params=params).collect()}
+    assert compared == {"trend": 5, "trees_a": 3, "trees_b": 3}
+    with pytest.raises(ValueError):
+        training.train(data, path, "region", "forest")
+
+
+def test_training_on_nothing(spark, data):
+    path = scratch_path(spark, "life")
+    empty = data.filter("false")
+    for model in training.MODELS:
+        assert training.train(empty, path, "region", model).count() == 0
+        assert training.forecast(empty, path, "region", model).count() == 0
+
+
 # --- sequence and the hook -------------------------------------------------------------------
 
 
