@@ -61,7 +61,7 @@ def hierarchy_orphans(
     """
     check_range("sample", sample, 1, 5000)
     lost = _referenced(market).select("PARENT_MKT_CODE")
-    lost = lost.join(_known(market, parent_match), "PARENT_MKT_CODE", "left_anti")
+    lost = cut(lost.join(_known(market, parent_match), "PARENT_MKT_CODE", "left_anti"))
     nodes = market.select("FIELD_ID", "PARENT_MKT_CODE")
     return (
         lookup_join(nodes, lost, "PARENT_MKT_CODE", "left_semi")
@@ -109,7 +109,7 @@ def hierarchy_closure(market: DataFrame, max_steps: int = 10) -> DataFrame:
     ``max_steps``.
     """
     check_range("max_steps", max_steps, 1, 50)
-    internal = cut(_internal(market, _referenced(market)))
+    internal = cut(_internal(market, cut(_referenced(market))))
     step = internal.select(
         F.col("MKT_CODE_OLD").alias("next_code"),
         F.col("FIELD_ID").alias("ancestor_id"),
@@ -162,7 +162,7 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
         check_range("max_nodes", max_nodes, 1, 20_000)
         nodes = nodes.orderBy("MKT_LEVEL", "MKT_NAME", "FIELD_ID").limit(max_nodes)
     # An empty parent code counts as none.
-    referenced = _referenced(nodes.filter(F.col("PARENT_MKT_CODE") != ""))
+    referenced = cut(_referenced(nodes.filter(F.col("PARENT_MKT_CODE") != "")))
     place = F.struct("MKT_LEVEL", "MKT_NAME", "FIELD_ID")
     # One row per referenced code.
     internal = cut(
@@ -193,12 +193,14 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
     placed = reduce(DataFrame.unionByName, levels)
 
     # A known parent without a path lies on a cycle or too deep; an unknown one makes a root.
-    above = internal.select("code").join(placed, "code", "left").select(
-        F.col("code").alias("PARENT_MKT_CODE"),
-        F.col("root_code").alias("parent_root"),
-        F.col("depth").alias("parent_depth"),
-        F.col("path").alias("parent_path"),
-        F.lit(True).alias("parent_known"),
+    above = cut(
+        internal.select("code").join(placed, "code", "left").select(
+            F.col("code").alias("PARENT_MKT_CODE"),
+            F.col("root_code").alias("parent_root"),
+            F.col("depth").alias("parent_depth"),
+            F.col("path").alias("parent_path"),
+            F.lit(True).alias("parent_known"),
+        )
     )
     children = referenced.withColumnRenamed("PARENT_MKT_CODE", "MKT_CODE_OLD")
     linked = lookup_join(nodes, above, "PARENT_MKT_CODE", "left")

@@ -27,7 +27,8 @@ def lookup_join(
     The lookup is counted first. Up to ``max_broadcast_rows`` it is broadcast, so hot keys of
     ``big`` never meet in one task. Beyond that both sides are shuffled, with the hot keys of
     ``big`` spread over ``salt`` tasks: their rows get a salt, and only their lookup rows are
-    repeated once per salt. Every row still meets exactly its matches.
+    repeated once per salt. Every row still meets exactly its matches. Both sides are read more
+    than once, so a costly one should come from a written table.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
