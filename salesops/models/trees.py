@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesops.functions.params import check_range
-from salesops.operators.series import by_key, feature_columns, keyed, next_months, training_features
+from salesops.operators.series import by_key, dealt, feature_columns, keyed, next_months, training_features
 from salesops.plans.lineage import cut
 from salesops.scopes import DEFAULT_HORIZON, DEFAULT_LAGS, scope_keys
 
@@ -73,7 +73,9 @@ def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineMo
         .withColumn("label", F.col("y") / F.col("scale"))
     )
     inputs = feature_columns(features, scope)
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
+    # Rows are complete here and in every prediction; "skip" would filter on the features, and so
+    # run the previous step's prediction again for every lag of a recursive forecast.
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     train = cut(_scaled(rows).select(*scope_keys(scope), "ds", *inputs, "label"))
     count = train.count()
     if count == 0:
@@ -132,7 +134,7 @@ def forecast_trees(
     keys = scope_keys(scope)
     points = F.sort_array(F.collect_list(F.struct("ds", "y")))
     state = (
-        keyed(series, scope)
+        dealt(keyed(series, scope), scope)
         .groupBy(*keys)
         .agg(points.alias("points"), F.max("ds").alias("last_ds"))
         .filter(F.size("points") > HISTORY)

@@ -95,6 +95,16 @@ def keyed(series: DataFrame, scope: str) -> DataFrame:
     return series.dropna(subset=scope_keys(scope))
 
 
+def dealt(series: DataFrame, scope: str) -> DataFrame:
+    """Keys dealt out to all cores by number.
+
+    For per-key work that costs far more than its few bytes suggest: adaptive execution would
+    pack the keys by size into a handful of tasks.
+    """
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    return series.repartition(cores, *scope_keys(scope))
+
+
 def by_key(scope: str) -> Window:
     return Window.partitionBy(*scope_keys(scope))
 
