@@ -26,7 +26,7 @@ HISTORY = max(DEFAULT_LAGS)
 SPLITTABLE_ROWS = 40
 # Every round passes over the training rows several times: enough tasks to share the work, each
 # with enough rows to be worth starting.
-ROWS_PER_TASK = 8_192
+ROWS_PER_TASK = 20_000
 
 
 @dataclass(frozen=True)

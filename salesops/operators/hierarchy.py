@@ -168,10 +168,10 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
     internal = cut(
         _internal(nodes, referenced)
         .groupBy(F.col("MKT_CODE_OLD").alias("code"))
-        .agg(F.max_by("PARENT_MKT_CODE", place).alias("parent"))
+        .agg(F.max_by("PARENT_MKT_CODE", place).alias("parent"), F.max(place).alias("holder"))
     )
     parents = internal.select(F.col("code").alias("parent"), F.lit(True).alias("known"))
-    marked = cut(lookup_join(internal, parents, "parent", "left"))
+    marked = cut(lookup_join(internal.select("code", "parent"), parents, "parent", "left"))
     below = marked.filter(F.col("known"))
     frontier = marked.filter(F.col("known").isNull()).select(
         "code", F.col("code").alias("root_code"), F.lit(0).alias("depth"), F.col("code").alias("path")
@@ -202,7 +202,11 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
             F.lit(True).alias("parent_known"),
         )
     )
-    children = referenced.withColumnRenamed("PARENT_MKT_CODE", "MKT_CODE_OLD")
+    children = cut(
+        internal.select(F.col("code").alias("PARENT_MKT_CODE"), "holder")
+        .join(referenced, "PARENT_MKT_CODE")
+        .withColumnRenamed("PARENT_MKT_CODE", "MKT_CODE_OLD")
+    )
     linked = lookup_join(nodes, above, "PARENT_MKT_CODE", "left")
     counted = lookup_join(linked, children, "MKT_CODE_OLD", "left")
     is_root = F.col("parent_known").isNull()
@@ -215,6 +219,6 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
         F.when(is_root, own)
         .when(F.col("parent_path").isNotNull(), F.concat_ws("/", "parent_path", own))
         .alias("path"),
-        F.coalesce("children", F.lit(0)).alias("n_children"),
+        F.when(place == F.col("holder"), F.col("children")).otherwise(0).alias("n_children"),
         (is_root | F.col("parent_path").isNotNull()).alias("reachable"),
     )

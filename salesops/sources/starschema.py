@@ -3,9 +3,9 @@
 A deployment reads its own survey, product and market tables; this module derives the same
 layouts from ``lineitem orders supplier nation region part`` with fixed, documented rules. The
 driver tables hold no NULLs, so a few attribute values stand for missing or dirty ones. Every
-line has its supplier, so the layouts without region and area need no join at all. No join
-carries a hint: Catalyst broadcasts a side only below its size threshold, and AQE splits skewed
-shuffle partitions otherwise.
+line has its supplier, so the layouts without region and area need no join at all. Lines meet
+their places in a counted lookup join: after a plain join on the territory a grouping by
+territory would reuse its partitioning, and a hot territory would stay in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesops.operators.joins import lookup_join
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -65,24 +67,31 @@ def quality_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder, *_dirty_measures(), *_ship_period())
 
 
+def _placed(lines: DataFrame, folder: str) -> DataFrame:
+    return lookup_join(lines, _places(lines.sparkSession, folder), "TERRITORY_ID")
+
+
 def survey(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_lines(spark, folder).join(_places(spark, folder), "TERRITORY_ID")
+    return _placed(clean_lines(spark, folder), folder)
 
 
 def survey_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_lines(spark, folder).join(_places(spark, folder), "TERRITORY_ID")
+    return _placed(quality_lines(spark, folder), folder)
 
 
 def survey_with_circle(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``survey_quality``, with the two text ids that come from the order."""
+    """As ``survey_quality``, with the two text ids that come from the order.
+
+    Orders outgrow any broadcast. Nothing downstream groups by order, so that AQE is free to
+    split a skewed partition of this join.
+    """
     lines = _lines(spark, folder, *_dirty_measures(), *_ship_period(), "l_orderkey")
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_orderpriority").alias("SURVEY_CIRCLE_ID"),
         F.col("o_custkey").cast("string").alias("PRS_ID"),
     )
-    placed = lines.join(_places(spark, folder), "TERRITORY_ID")
-    return placed.join(orders, "l_orderkey").drop("l_orderkey")
+    return _placed(lines, folder).join(orders, "l_orderkey").drop("l_orderkey")
 
 
 def text_period_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +105,7 @@ def text_period_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def survey_text_periods(spark: SparkSession, folder: str) -> DataFrame:
-    return text_period_lines(spark, folder).join(_places(spark, folder), "TERRITORY_ID")
+    return _placed(text_period_lines(spark, folder), folder)
 
 
 def product(spark: SparkSession, folder: str) -> DataFrame:

@@ -74,6 +74,8 @@ def test_tree(nodes):
     assert found["f10"]["depth"] is None and found["f10"]["root_code"] is None
     assert found["f1"]["n_children"] == 2 and found["f3"]["n_children"] == 2
     assert found["f6"]["depth"] == 2
+    assert (found["f4"]["n_children"], found["f11"]["n_children"]) == (1, 0)
+    assert found["f9"]["n_children"] == 1 and found["f5"]["n_children"] == 0
 
 
 def test_tree_counts_roots_and_attached(nodes):

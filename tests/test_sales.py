@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from salesops.operators import product, sales
+from salesops.operators import joins, product, sales
 from salesops.sources import starschema as star
 from salesops.scopes import PRODUCT_SCHEMA, SURVEY_SCHEMA
 from tests.conftest import plan, rows
@@ -132,6 +132,13 @@ def test_results_do_not_depend_on_partitions(spark, small):
         assert rows(sales.time_coverage(shuffled)) == rows(sales.time_coverage(lines))
 
 
+def test_places_by_salted_join(spark, small):
+    lines, places = star.quality_lines(spark, small), star._places(spark, small)
+    salted = joins.lookup_join(lines, places, "TERRITORY_ID", max_broadcast_rows=0)
+    expected = rows(sales.region_summary(star.survey_quality(spark, small)).select("TERRITORY_ID", "total_qty"))
+    assert rows(sales.region_summary(salted).select("TERRITORY_ID", "total_qty")) == expected
+
+
 @pytest.fixture(scope="module")
 def master(spark):
     return spark.createDataFrame(
