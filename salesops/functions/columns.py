@@ -23,6 +23,15 @@ def whole_number(df: DataFrame, name: str) -> Column:
     return F.when(number % 1 == 0, number.try_cast("int"))
 
 
+def filterable_number(df: DataFrame, name: str) -> Column:
+    """As ``whole_number`` for use in filters: an integral column of any width stays as it is,
+    so that the filter reaches the scan or prunes partitions.
+    """
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return F.col(name)
+    return whole_number(df, name)
+
+
 def number(name: str) -> Column:
     """64-bit float of a measure that may be stored as text or decimal."""
     return F.col(name).try_cast("double")

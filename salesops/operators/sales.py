@@ -38,9 +38,9 @@ def _totals() -> list:
 def _period(df: DataFrame, year: int | None, month: int | None) -> list:
     preds = []
     if year is not None:
-        preds.append(C.whole_number(df, "YEAR_NO") == year)
+        preds.append(C.filterable_number(df, "YEAR_NO") == year)
     if month is not None:
-        preds.append(C.whole_number(df, "MONTH_NO") == month)
+        preds.append(C.filterable_number(df, "MONTH_NO") == month)
     return preds
 
 
@@ -160,11 +160,11 @@ def price_change_mom(
     products and their data together: one scan of the facts, no join back.
     """
     check_range("limit_products", limit_products, 1, 5000)
-    year = C.whole_number(survey, "YEAR_NO")
-    wanted = where_all(survey, equal_to(survey, PRODUCT_ID=product_id), within(year, start_year, end_year))
+    years = within(C.filterable_number(survey, "YEAR_NO"), start_year, end_year)
+    wanted = where_all(survey, equal_to(survey, PRODUCT_ID=product_id), years)
     monthly = wanted.groupBy(
         "PRODUCT_ID",
-        year.alias("YEAR_NO"),
+        C.whole_number(survey, "YEAR_NO").alias("YEAR_NO"),
         C.whole_number(survey, "MONTH_NO").alias("MONTH_NO"),
     ).agg(F.avg(C.number("UNIT_PRICE")).alias("monthly_price"))
     top = (

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from salesops.operators import joins, product, sales
 from salesops.sources import starschema as star
@@ -61,6 +62,26 @@ def test_ranked_lists_do_not_sort_everything(spark, small):
         assert "TakeOrderedAndProject" in plan(df)
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_period_filters_reach_the_scan(spark, small, tmp_path, kind):
+    lines = star.quality_lines(spark, small).withColumns(
+        {"YEAR_NO": F.col("YEAR_NO").cast(kind), "MONTH_NO": F.col("MONTH_NO").cast(kind)}
+    )
+    lines.write.partitionBy("YEAR_NO").parquet(str(tmp_path / "survey"))
+    stored = spark.read.schema(lines.schema).parquet(str(tmp_path / "survey"))
+    text = plan(sales.top_products(stored, year=1998, month=5))
+    assert "(YEAR_NO#" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "EqualTo(MONTH_NO,5)" in text
+    assert rows(sales.top_products(stored, 1998, 5)) == rows(sales.top_products(lines, 1998, 5))
+    text = plan(sales.price_change_mom(stored, start_year=1997, end_year=1998))
+    assert "(YEAR_NO#" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_only_needed_columns_are_read(spark, small):
+    text = plan(sales.time_coverage(star.quality_lines(spark, small)))
+    assert "ReadSchema: struct<l_shipdate:timestamp_ntz>" in text
+
+
 def test_summary_stats(survey):
     row = sales.sales_summary_stats(survey).first()
     assert (row["row_count"], row["qt_nulls"], row["qt_neg_count"], row["price_nulls"]) == (6, 1, 1, 1)
