@@ -298,8 +298,8 @@ def oracle_sql() -> dict[str, str]:
         SELECT m.*, lag(monthly_price) OVER (PARTITION BY m.PRODUCT_ID ORDER BY YEAR_NO, MONTH_NO) AS prev
         FROM monthly m JOIN top_prod t ON m.PRODUCT_ID = t.PRODUCT_ID
       )
-      SELECT PRODUCT_ID, YEAR_NO, MONTH_NO, round(monthly_price, 4) AS monthly_price,
-        round(CASE WHEN prev <> 0 THEN (monthly_price - prev) / prev * 100 END, 4) AS pct_change
+      SELECT PRODUCT_ID, YEAR_NO, MONTH_NO, round(monthly_price, 6) AS monthly_price,
+        round(CASE WHEN prev <> 0 THEN (monthly_price - prev) / prev * 100 END, 6) AS pct_change
       FROM priced"""
     sql["rolling_qty"] = f"""{DIRTY}, monthly AS (
         SELECT REGION_ID, YEAR_NO, MONTH_NO, sum(SALES_QTY) AS total_qty

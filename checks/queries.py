@@ -299,7 +299,7 @@ def queries() -> dict[str, Query]:
         "sales_sample": _over(star.survey_with_circle, sales.sales_sample),
         "sales_summary_stats": _over(star.quality_lines, sales.sales_summary_stats, **four),
         "time_features": _over(star.quality_lines, sales.time_features),
-        "price_change_mom": _over(star.quality_lines, sales.price_change_mom, **four),
+        "price_change_mom": _over(star.quality_lines, sales.price_change_mom, digits=6),
         "rolling_qty": _over(star.survey_quality, sales.rolling_qty, **four),
         "sales_distribution": _over(star.quality_lines, sales.sales_distribution, **four),
         "sales_value_counts": _over(star.survey_with_circle, sales.sales_value_counts),
