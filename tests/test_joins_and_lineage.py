@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from types import SimpleNamespace
 
 import pytest
 
@@ -78,6 +79,29 @@ def test_cut_drops_lineage(spark):
     assert df.agg({"x": "sum"}).first()[0] == 90
 
 
+class FakeContext:
+    def __init__(self, master: str):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def fake_session(master: str, named: str | None):
+    return SimpleNamespace(conf={"spark.checkpoint.dir": named}, sparkContext=FakeContext(master))
+
+
+def test_shared_folder_comes_from_the_session():
+    assert lineage.shared_dir(fake_session("spark://m:7077", "/shared/x")) == "/shared/x"
+    with pytest.raises(ValueError):
+        lineage.shared_dir(fake_session("spark://m:7077", None))
+    local = fake_session("local[2]", None)
+    assert lineage.shared_dir(local) == lineage.shared_dir(local) == local.sparkContext.folder
+
+
 def test_scratch_paths_differ(spark):
     a, b = lineage.scratch_path(spark, "m"), lineage.scratch_path(spark, "m")
     assert a != b and a.startswith(lineage.shared_dir(spark).rstrip("/"))

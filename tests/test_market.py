@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import functools
+
 import pytest
 
-from salesops.operators import hierarchy, market
+from salesops.operators import hierarchy, joins, market
 from salesops.scopes import MARKET_SCHEMA
 from tests.conftest import rows
 
@@ -93,6 +95,18 @@ def test_tree_of_first_nodes_and_depth_bound(nodes):
     assert shallow["f5"]["reachable"]
 
 
+def test_walks_with_large_lookups(nodes, monkeypatch):
+    """The same results when no lookup may be broadcast and every join is shuffled and salted."""
+    tree = sorted(rows(hierarchy.market_tree(nodes)), key=repr)
+    closure = sorted(rows(hierarchy.hierarchy_closure(nodes, 4)), key=repr)
+    orphans = rows(hierarchy.hierarchy_orphans(nodes, parent_match="code"))
+    shuffled = functools.partial(joins.lookup_join, max_broadcast_rows=0, salt=3)
+    monkeypatch.setattr(hierarchy, "lookup_join", shuffled)
+    assert sorted(rows(hierarchy.market_tree(nodes)), key=repr) == tree
+    assert sorted(rows(hierarchy.hierarchy_closure(nodes, 4)), key=repr) == closure
+    assert rows(hierarchy.hierarchy_orphans(nodes, parent_match="code")) == orphans
+
+
 def test_integrity_by_id_and_by_code(nodes):
     by_code = hierarchy.hierarchy_integrity(nodes, "code").first()
     known = {n[4] for n in NODES}

@@ -121,7 +121,8 @@ def test_error_metrics(spark):
     assert found[3] == (2, 1.0, 1.0, 100.0)
     summary = evaluation.summarize(evaluation.error_metrics(df, ["Region"])).first()
     assert (summary["groups"], summary["mape"]) == (3, 75.0)
-    both = {"a": evaluation.error_metrics(df, ["Region"]), "b": evaluation.error_metrics(df.filter("Region = 1"), ["Region"])}
+    first = df.filter("Region = 1")
+    both = {n: evaluation.error_metrics(d, ["Region"]) for n, d in (("a", df), ("b", first))}
     compared = {r["model"]: r["groups"] for r in evaluation.compare_models(both).collect()}
     assert compared == {"a": 3, "b": 1}
 

@@ -101,7 +101,8 @@ def test_empty_survey(spark):
 
 def test_correlation(spark):
     def corr(pairs, **options):
-        df = spark.createDataFrame([(i, p, q) for i, (p, q) in enumerate(pairs)], "ROW_DATA_ID int, UNIT_PRICE double, SALES_QTY double")
+        data = [(i, p, q) for i, (p, q) in enumerate(pairs)]
+        df = spark.createDataFrame(data, "ROW_DATA_ID int, UNIT_PRICE double, SALES_QTY double")
         return rows(sales.price_quantity_corr(df, **options))[0]
 
     assert corr([(1.0, 2.0)]) == (1, None)
@@ -124,7 +125,8 @@ def test_distribution_sample_takes_the_newest(spark):
 
 
 def test_rolling_window(spark):
-    df = spark.createDataFrame([(1, 2020, m, float(m)) for m in (1, 2, 3, 5)], "REGION_ID int, YEAR_NO int, MONTH_NO int, SALES_QTY double")
+    data = [(1, 2020, m, float(m)) for m in (1, 2, 3, 5)]
+    df = spark.createDataFrame(data, "REGION_ID int, YEAR_NO int, MONTH_NO int, SALES_QTY double")
     found = [r["rolling_avg_qty"] for r in sales.rolling_qty(df, 2, region_id="1").collect()]
     assert found == [1.0, 1.5, 2.5, 4.0]
     assert sales.rolling_qty(df, 2, region_id="2").count() == 0
