@@ -358,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
       count(DISTINCT MKT_LEVEL) AS level_count, CAST(min(MKT_LEVEL) AS BIGINT) AS min_level,
       CAST(max(MKT_LEVEL) AS BIGINT) AS max_level FROM market"""
     sql["market_search"] = f"""{MARKET} SELECT FIELD_ID, MKT_NAME, CAST(MKT_LEVEL AS BIGINT) AS MKT_LEVEL,
-      PARENT_MKT_CODE, MKT_CODE_OLD FROM market WHERE MKT_LEVEL = 3 AND MKT_NAME LIKE '%1%'
+      PARENT_MKT_CODE, MKT_CODE_OLD FROM market WHERE MKT_LEVEL = 3 AND MKT_NAME LIKE '%Supplier%'
       ORDER BY MKT_LEVEL, MKT_NAME, FIELD_ID LIMIT 500"""
     sql["market_tree"] = f"""WITH RECURSIVE {_MARKET}, {_WALK}, longest AS (
         SELECT node_code, max(depth) AS depth, arg_max(path, depth) AS path, arg_max(root_code, depth) AS root_code

@@ -321,7 +321,7 @@ def queries() -> dict[str, Query]:
         ),
         "generic_dosage": _over(star.product_dirty, product.generic_dosage),
         "market_summary": _over(star.market, market.market_summary),
-        "market_search": _over(star.market, market.market_search, level=3, search="1"),
+        "market_search": _over(star.market, market.market_search, level=3, search="Supplier"),
         "market_tree": _over(star.market, hierarchy.market_tree),
         "level_distribution": _over(star.market, market.level_distribution),
         "hierarchy_integrity": _over(star.market, hierarchy.hierarchy_integrity),
