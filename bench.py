@@ -1,8 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS (default 8) the cores.
-Every query is run twice and the second run counts, so that neither class loading nor code
-generation of a cold session is measured.
+Every query is run twice: the first run, with class loading and code generation in it, is printed
+under "cold", the second one under "queries". Their sum over the second runs is the headline value.
+Queries that fit boosted trees at their full rounds take minutes and are run once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import time
 
 from checks.compare import local_session
 from checks.queries import queries
+from salesops.plans.lineage import release
 
 HEADLINE = [
     "sales_summary",
@@ -38,8 +40,8 @@ HEADLINE = [
     "evaluate_trend",
     "compare_models",
     "sequence_forecast",
-    "trees_a_forecast",
 ]
+TREES = ["trees_a_forecast", "trees_b_forecast", "evaluate_trees_a", "evaluate_trees_b", "compare_stored_models"]
 
 
 def seconds(query, spark, folder: str) -> float:
@@ -53,10 +55,11 @@ def main() -> None:
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     known = queries()
-    timings = {}
-    for name in HEADLINE:
-        seconds(known[name], spark, folder)
-        timings[name] = round(seconds(known[name], spark, folder), 3)
+    timings, cold = {}, {}
+    for name in HEADLINE + TREES:
+        cold[name] = round(seconds(known[name], spark, folder), 3)
+        timings[name] = cold[name] if name in TREES else round(seconds(known[name], spark, folder), 3)
+        release(spark)
     print(
         json.dumps(
             {
@@ -64,6 +67,7 @@ def main() -> None:
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
+                "cold": cold,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.oracle import oracle_sql
 from checks.queries import queries
+from salesops.plans.lineage import release
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -22,12 +24,15 @@ TABLES = (
 
 
 def local_session(cores: int = 8) -> SparkSession:
+    shared = tempfile.mkdtemp(prefix="salesops-")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"{shared}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()
     )
 
@@ -80,6 +85,7 @@ def main() -> None:
                 problems = [] if df.count() else ["no rows"]
         except Exception as error:
             problems = [f"{type(error).__name__}: {str(error)[:1500]}"]
+        release(spark)
         failed += bool(problems)
         mark = "ok " if not problems else "BAD"
         print(f"{mark} {name} {time.time() - start:.1f}s {'' if name in sql else '(rows only)'}", flush=True)

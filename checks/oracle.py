@@ -461,9 +461,8 @@ def oracle_sql() -> dict[str, str]:
     sql["training_report"] = f"""{_fit()} SELECT {_T}, 'ok' AS status, n_obs,
       Region || '__' || Area || '__' || Territory AS model_key FROM models"""
     sql["nested_forecast"] = f"""{_forecast()} SELECT Region || '__' || Area || '__' || Territory AS key,
-      count(*) AS months, strftime(min(ds), '%Y-%m-%d') AS first_ds,
-      round(arg_min(yhat, ds), 0) AS first_yhat, strftime(max(ds), '%Y-%m-%d') AS last_ds,
-      round(arg_max(yhat, ds), 0) AS last_yhat FROM forecast GROUP BY {_T}"""
+      count(*) OVER k AS months, row_number() OVER (k ORDER BY f.ds) - 1 AS place, {_DS}, {_BANDS}
+      FROM forecast f WINDOW k AS (PARTITION BY {_T})"""
     sql["forecast_grid"] = f"""{_forecast()} SELECT Area, strftime(ds, '%Y-%m-%d') AS ds,
       CAST(year(ds) AS BIGINT) AS Year, CAST(month(ds) AS BIGINT) AS Month, {_BAND_SUMS},
       'Product' AS missing_dims FROM forecast GROUP BY Area, forecast.ds"""
@@ -494,9 +493,17 @@ def oracle_sql() -> dict[str, str]:
     }
     states = [f"('{v}', 'ok', '{','.join(d)}', '')" for v, d in dims.items()]
     states += [f"('{v}', 'unavailable', '{d}', 'Product')" for v, d in product_views.items()]
-    sql["view_status"] = f"""{_forecast()} SELECT v.view, v.status, v.dimensions, v.missing_dims,
-      'sales_amount' AS measure, (SELECT count(*) FROM forecast) AS forecast_rows
-      FROM (VALUES {', '.join(states)}) AS v(view, status, dimensions, missing_dims)"""
+    sql["view_status"] = f"""{_forecast()}, dated AS (
+        SELECT *, CAST(year(ds) AS BIGINT) AS Year, CAST(month(ds) AS BIGINT) AS Month FROM forecast
+      ), sums AS (
+        SELECT view, count(*) AS n_rows, round(sum(total), 0) AS total FROM (
+          {' UNION ALL '.join(f"SELECT '{v}' AS view, sum(yhat) AS total FROM dated GROUP BY {', '.join(d)}"
+                              for v, d in dims.items())}
+        ) GROUP BY view
+      )
+      SELECT v.view, v.status, v.dimensions, v.missing_dims, 'sales_amount' AS measure,
+        coalesce(n_rows, 0) AS n_rows, total
+      FROM (VALUES {', '.join(states)}) AS v(view, status, dimensions, missing_dims) LEFT JOIN sums USING (view)"""
 
     for name, mode in (("evaluate_trend", "additive"), ("evaluate_trend_multiplicative", "multiplicative")):
         sql[name] = f"""{_fit('territory', mode)}, errors AS ({_errors('fitted', _T)})
@@ -526,4 +533,117 @@ def oracle_sql() -> dict[str, str]:
       FROM area_means
       UNION ALL
       SELECT 'territory', Region || '__' || Area || '__' || Territory, round(mean_y, 3), n_obs FROM means"""
+
+    for name in ("trees_a_forecast", "trees_b_forecast"):
+        sql[name] = _tree_rows("territory")
+    for scope in ("area", "region"):
+        sql[f"trees_a_forecast_{scope}"] = _tree_rows(scope)
+    for name in ("evaluate_trees_a", "evaluate_trees_b"):
+        sql[name] = f"{_means()} SELECT {_T}, n_obs AS count, TRUE AS as_good_as_mean FROM means"
+    sql["compare_stored_models"] = f"""{_fit(head=_means())}, predicted AS (
+        SELECT f.*, m.mean_y AS yhat FROM features f JOIN means m USING ({_T})
+      ), trend_errors AS ({_errors('fitted', _T)}), mean_errors AS ({_errors('predicted', _T)}),
+      mean_error AS (SELECT avg(rmse) AS mean_rmse FROM mean_errors)
+      SELECT 'trend' AS model, count(*) AS groups, avg(rmse) <= any_value(mean_rmse) AS as_good_as_mean,
+        {_MEAN_ERRORS} FROM trend_errors, mean_error
+      UNION ALL SELECT m, (SELECT count(*) FROM means), TRUE, NULL, NULL, NULL
+      FROM (VALUES ('trees_a'), ('trees_b')) AS t(m)"""
+    for scope, suffix in (("territory", ""), ("area", "_area"), ("region", "_region")):
+        sql[f"sequence_forecast{suffix}"] = f"""{_solved(scope)}, steps AS (
+          SELECT {_KEYS[scope]}, last_ds, bias, coef, recent, 0 AS step FROM solved
+          UNION ALL
+          SELECT {_KEYS[scope]}, last_ds, bias, coef,
+            list_append(recent[2:], bias + list_dot_product(recent, coef)), step + 1
+          FROM steps WHERE step < 6
+        ), forecast AS (
+          SELECT {_KEYS[scope]}, CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, recent[12] AS yhat
+          FROM steps WHERE step > 0
+        )
+        SELECT {_KEYS[scope]}, {_DS}, round(yhat, 0) AS yhat, round(yhat, 0) AS yhat_lower,
+          round(yhat, 0) AS yhat_upper FROM forecast"""
+    sql["evaluate_sequence"] = f"""{_solved('territory')}, fitted AS (
+        SELECT {_T}, w.y, s.bias + list_dot_product(w.x, s.coef) AS yhat FROM windows w JOIN solved s USING ({_T})
+      ), errors AS ({_errors('fitted', _T)}) SELECT {_T}, count, {_ROUND_ERRORS} FROM errors"""
+    halves = f"""{_series()}, halves AS (
+        SELECT {_T}, max(ds) AS last_ds, coalesce(avg(y) FILTER (month(ds) <= 6), avg(y)) AS first,
+          coalesce(avg(y) FILTER (month(ds) > 6), avg(y)) AS second
+        FROM series GROUP BY {_T} HAVING count(*) >= 6
+      )"""
+    sql["grouped_forecast"] = f"""{halves}, forecast AS (
+        SELECT {_T}, CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds, first, second
+        FROM halves CROSS JOIN range(1, 7) AS r(step)
+      ), predicted AS (
+        SELECT {_T}, ds, CASE WHEN month(ds) <= 6 THEN first ELSE second END AS yhat FROM forecast
+      )
+      SELECT {_T}, {_DS}, round(yhat, 0) AS yhat, round(yhat, 0) AS yhat_lower, round(yhat, 0) AS yhat_upper
+      FROM predicted"""
+    sql["grouped_evaluation"] = f"""{halves}, fitted AS (
+        SELECT s.*, CASE WHEN month(s.ds) <= 6 THEN first ELSE second END AS yhat
+        FROM series s JOIN halves USING ({_T})
+      ), errors AS ({_errors('fitted', _T)}) SELECT {_T}, count, {_ROUND_ERRORS} FROM errors"""
+    sql["named_sql"] = """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity * l_extendedprice), 2) AS amount
+      FROM lineitem WHERE year(l_shipdate) = 1996 AND l_quantity >= 10 GROUP BY l_returnflag"""
+    newest = "ORDER BY ROW_DATA_ID DESC LIMIT 3000"
+    samples = [
+        _distribution(c).replace("FROM survey", f"FROM (SELECT * FROM survey WHERE {c} IS NOT NULL {newest})")
+        for c in ("SALES_QTY", "UNIT_PRICE")
+    ]
+    sql["sales_distribution_sample"] = f"{DIRTY} {' UNION ALL '.join(samples)}"
+    sql["price_qty_corr_sample"] = f"""{DIRTY} SELECT count(*) AS sample, round(corr(UNIT_PRICE, SALES_QTY), 8) AS corr
+      FROM (SELECT * FROM survey WHERE UNIT_PRICE IS NOT NULL AND SALES_QTY IS NOT NULL {newest})"""
     return sql
+
+
+def _tree_rows(scope: str) -> str:
+    """The months that a tree forecast must have: six after each key with over twelve known months."""
+    keys = _KEYS[scope]
+    return f"""{_series(scope)}, known AS (
+        SELECT {keys}, max(ds) AS last_ds FROM series GROUP BY {keys} HAVING count(*) > 12
+      ), forecast AS (
+        SELECT {keys}, CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE) AS ds
+        FROM known CROSS JOIN range(1, 7) AS r(step)
+      )
+      SELECT {keys}, {_DS}, TRUE AS one_band, TRUE AS in_reach FROM forecast"""
+
+
+def _solved(scope: str) -> str:
+    """CTEs up to ``windows`` and ``solved``: the ridge regression on twelve values, by elimination.
+
+    ``rows`` holds the normal equations, a row per coefficient with the right-hand side last;
+    every step of ``eliminated`` clears one column. The matrix is positive definite, so that the
+    pivots are on the diagonal.
+    """
+    keys = _KEYS[scope]
+    head = _series(scope).replace("WITH", "WITH RECURSIVE", 1)
+    return f"""{head}, scaled AS (
+        SELECT {keys}, ds, y, avg(y) OVER k AS level, avg(abs(y)) OVER k AS size FROM series
+        WINDOW k AS (PARTITION BY {keys})
+      ), windows AS (
+        SELECT * FROM (
+          SELECT {keys}, ds, y, level, size, list(y) OVER (
+            PARTITION BY {keys} ORDER BY ds ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS x FROM scaled)
+        WHERE len(x) = 12
+      ), unit AS (
+        SELECT {keys}, (y - level) / size AS t, list_transform(x, lambda v: (v - level) / size) AS z FROM windows
+      ), cells AS (
+        SELECT {keys}, i, j, sum(z[i] * z[j]) + CASE WHEN i = j THEN 0.1 * count(*) ELSE 0 END AS v
+        FROM unit, range(1, 13) AS a(i), range(1, 13) AS b(j) GROUP BY {keys}, i, j
+        UNION ALL
+        SELECT {keys}, i, 13, sum(z[i] * t) FROM unit, range(1, 13) AS a(i) GROUP BY {keys}, i
+      ), eliminated AS (
+        SELECT {keys}, i, 0 AS done, list(v ORDER BY j) AS r FROM cells GROUP BY {keys}, i
+        UNION ALL
+        SELECT {keys}, i, done + 1, CASE WHEN i = done + 1 THEN list_transform(p, lambda v: v / p[done + 1])
+          ELSE list_transform(r, lambda v, n: v - r[done + 1] / p[done + 1] * p[n]) END
+        FROM (
+          SELECT *, max(CASE WHEN i = done + 1 THEN r END) OVER (PARTITION BY {keys}) AS p FROM eliminated WHERE done < 12
+        )
+      ), coefficients AS (
+        SELECT {keys}, list(r[13] ORDER BY i) AS coef FROM eliminated WHERE done = 12 GROUP BY {keys}
+      ), ends AS (
+        SELECT {keys}, max(ds) AS last_ds, any_value(level) AS level, list(y ORDER BY ds)[-12:] AS recent
+        FROM scaled GROUP BY {keys}
+      ), solved AS (
+        SELECT {keys}, last_ds, recent, coef, level * (1 - list_sum(coef)) AS bias
+        FROM coefficients JOIN ends USING ({keys})
+      )"""

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesops.functions.columns import as_text_date, key_label
 from salesops.models import sequence, trees, trend
+from salesops.models.grouped import fit_grouped, forecast_grouped
 from salesops.operators import hierarchy, market, product, quality, sales, series
 from salesops.plans import evaluation, forecasting, training, views
 from salesops.plans.lineage import scratch_path
 from salesops.scopes import SCOPES
-from salesops.sources import modelstore
+from salesops.sources import modelstore, tables
 from salesops.sources import starschema as star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +30,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # different order, so cents would now and then round apart.
 FITTED = 0
 
-# Rounds for the pooled trees here; the library defaults are 200 and 300.
-ROUNDS = 20
-
 
 def plain(df: DataFrame, digits: int = 2, **by_column: int) -> DataFrame:
     """Doubles rounded, whole numbers as bigint, dates as text."""
@@ -70,25 +70,50 @@ def _over(source, operator, **options) -> Query:
     return run
 
 
-def _scope_series(scope: str, measure: str) -> Query:
+def _by_place(operator, **options) -> Query:
+    """A query that sums lines by place: the operator gets the lines and the places apart."""
+    digits = options.pop("digits", 2)
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(series.scope_series(star.survey_quality(spark, folder), scope, measure))
+        places = star.places(spark, folder)
+        return plain(operator(star.quality_lines(spark, folder), places=places, **options), digits)
 
     return run
 
 
+def _sales_sample(spark: SparkSession, folder: str) -> DataFrame:
+    lines = star.circle_lines(spark, folder)
+    return plain(sales.sales_sample(lines, attach=lambda newest: star.with_circle(newest, folder)))
+
+
+def _sales_value_counts(spark: SparkSession, folder: str) -> DataFrame:
+    lines = star.circle_lines(spark, folder)
+    lookups = {"TERRITORY_ID": star.places(spark, folder), "l_orderkey": star.circles(spark, folder)}
+    return plain(sales.sales_value_counts(lines, lookups=lookups))
+
+
+def _named_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """Revenue per return flag of one year, by SQL with bound parameters."""
+    star.table(spark, folder, "lineitem").createOrReplaceTempView("shipped_lines")
+    sql = """SELECT l_returnflag, count(*) AS n, sum(l_quantity * l_extendedprice) AS amount FROM shipped_lines
+        WHERE year(l_shipdate) = :year AND l_quantity >= :least GROUP BY l_returnflag"""
+    return plain(tables.query(spark, sql, {"year": 1996, "least": 10}))
+
+
 def _source_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    history = star.sales_history(spark, folder)
-    return plain(series.sales_amounts(history, star.survey_quality(spark, folder), "area"))
+    history, survey = star.sales_history(spark, folder), star.quality_lines(spark, folder)
+    places, lines = star.places(spark, folder), star.clean_lines(spark, folder)
+    return plain(series.sales_amounts(history, survey, "area", probe=lines, places=places))
 
 
 def _source_fallback_survey(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(series.sales_amounts(None, star.survey_quality(spark, folder), "region"))
+    survey, places = star.quality_lines(spark, folder), star.places(spark, folder)
+    return plain(series.sales_amounts(None, survey, "region", places=places))
 
 
 def _period_sanitize(spark: SparkSession, folder: str) -> DataFrame:
-    survey = star.survey_text_periods(spark, folder)
-    return plain(series.sanitize_period(series.scope_series(survey, "area")))
+    survey, places = star.text_period_lines(spark, folder), star.places(spark, folder)
+    return plain(series.sanitize_period(series.scope_series(survey, "area", places=places)))
 
 
 def _monthly_series(scope: str) -> Query:
@@ -122,12 +147,9 @@ def _trend_fit(mode: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         models = trend.fit_trend(_series(spark, folder), "territory", mode)
         digits = FITTED if mode == "additive" else 6
-        effects = [
-            F.round(F.element_at("seasonal", m), digits).alias(f"season_{m}") for m in range(1, 13)
-        ]
-        kept = plain(models.drop("seasonal"), FITTED)
-        keys = ["Region", "Area", "Territory"]
-        return kept.join(models.select(*keys, *effects), keys)
+        effects = {f"season_{m}": F.element_at("seasonal", m) for m in range(1, 13)}
+        wide = models.withColumns(effects).drop("seasonal")
+        return plain(wide, FITTED, **{name: digits for name in effects})
 
     return run
 
@@ -148,8 +170,7 @@ def _stored_forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _training_report(spark: SparkSession, folder: str) -> DataFrame:
-    models = trend.fit_trend(_series(spark, folder), "territory")
-    report = modelstore.training_report(models, "territory")
+    report = training.train(_series(spark, folder), scratch_path(spark, "models"), "territory", "trend")
     return report.withColumn("model_key", key_label(SCOPES["territory"]))
 
 
@@ -159,14 +180,8 @@ def _forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 def _nested_forecast(spark: SparkSession, folder: str) -> DataFrame:
     nested = forecasting.nested_forecast(_forecast(spark, folder), "territory")
-    return nested.select(
-        "key",
-        F.size("forecast").cast("long").alias("months"),
-        F.element_at("forecast", 1)["ds"].alias("first_ds"),
-        F.round(F.element_at("forecast", 1)["yhat"], FITTED).alias("first_yhat"),
-        F.element_at("forecast", -1)["ds"].alias("last_ds"),
-        F.round(F.element_at("forecast", -1)["yhat"], FITTED).alias("last_yhat"),
-    )
+    months = nested.select("key", F.size("forecast").alias("months"), F.posexplode("forecast").alias("place", "m"))
+    return plain(months.select("key", "months", "place", "m.*"), FITTED)
 
 
 def _forecast_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,16 +194,8 @@ def forecast_views(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _view_status(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _forecast(spark, folder)
-    totals = rows.agg(F.count("*").alias("forecast_rows"))
-    status = views.view_status(rows).withColumns(
-        {
-            "dimensions": F.array_join("dimensions", ","),
-            "missing_dims": F.array_join("missing_dims", ","),
-            "_one": F.lit(1),
-        }
-    )
-    return status.join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    lists = {c: F.array_join(c, ",") for c in ("dimensions", "missing_dims")}
+    return plain(views.view_status(_forecast(spark, folder)).withColumns(lists), FITTED)
 
 
 def _evaluate_trend(mode: str) -> Query:
@@ -223,44 +230,90 @@ def _compare_models(spark: SparkSession, folder: str) -> DataFrame:
     return plain(evaluation.compare_models(metrics), FITTED, mape=6)
 
 
-def _short(params: trees.TreeParams) -> trees.TreeParams:
-    return trees.TreeParams(**{**params.__dict__, "rounds": ROUNDS})
-
+def _tree_forecast(params: trees.TreeParams, scope: str = "territory") -> Query:
+    """What SQL can tell of a tree forecast: its rows, that it has one band, that it stays in reach."""
 
-def _trees_forecast(params: trees.TreeParams) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(forecasting.tree_forecast(_prepared(spark, folder), "territory", _short(params)))
+        data, keys = _prepared(spark, folder, scope), SCOPES[scope]
+        reach = data.groupBy(*keys).agg((3 * F.max(F.abs("y"))).alias("reach"))
+        forecast = forecasting.tree_forecast(data, scope, params).join(reach, keys)
+        one_band = (F.col("yhat") == F.col("yhat_lower")) & (F.col("yhat") == F.col("yhat_upper"))
+        in_reach = F.abs("yhat") <= F.col("reach")
+        return plain(forecast.select(*keys, "ds", one_band.alias("one_band"), in_reach.alias("in_reach")))
 
     return run
 
 
-def _tree_metrics(data: DataFrame, params: trees.TreeParams) -> DataFrame:
-    features = trees.train_rows(data, "territory")
-    model = trees.fit_trees(features, "territory", _short(params))
-    per_key = trees.fit_mean(features, "territory")
-    return evaluation.evaluate_trees(features, per_key, model, "territory", _short(params))
+def _as_good(rmse: str, other: str) -> Column:
+    """Not above, up to the noise of sums."""
+    return F.col(rmse) <= F.col(other) * (1 + 1e-9)
 
 
 def _evaluate_trees(params: trees.TreeParams) -> Query:
-    return lambda spark, folder: plain(_tree_metrics(_prepared(spark, folder), params))
+    """Rows of the evaluation, and whether the trees fit every key at least as well as its mean."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        scope, keys = "territory", SCOPES["territory"]
+        features = forecasting.prepared(trees.train_rows(_series(spark, folder), scope))
+        model, per_key = trees.fit_trees(features, scope, params), trees.fit_keys(features, scope, params)
+        metrics = evaluation.evaluate_trees(features, per_key, model, scope)
+        mean = evaluation.evaluate_mean(features, scope).select(*keys, F.col("rmse").alias("mean_rmse"))
+        as_good = _as_good("rmse", "mean_rmse").alias("as_good_as_mean")
+        return plain(metrics.join(mean, keys).select(*keys, "count", as_good))
+
+    return run
 
 
-def _sequence_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(forecasting.sequence_forecast(_prepared(spark, folder), "territory"))
+def _sequence_forecast(scope: str = "territory") -> Query:
+    return lambda spark, folder: plain(forecasting.sequence_forecast(_prepared(spark, folder, scope), scope), FITTED)
 
 
 def _evaluate_sequence(spark: SparkSession, folder: str) -> DataFrame:
     data = _prepared(spark, folder)
     models = sequence.fit_sequence(data, "territory")
-    return plain(evaluation.evaluate_sequence(data, models, "territory"))
+    return plain(evaluation.evaluate_sequence(data, models, "territory"), FITTED, mape=6)
+
+
+def _own_mean(rows: pd.DataFrame) -> dict:
+    """A caller's library, in short: the mean of each calendar half-year."""
+    first = rows["ds"].map(lambda ds: ds.month <= 6)
+    overall = rows["y"].mean()
+    halves = [rows["y"][first].mean(), rows["y"][~first].mean()]
+    return {"first": float(np.nan_to_num(halves[0], nan=overall)), "second": float(np.nan_to_num(halves[1], nan=overall))}
+
+
+def _own_prediction(rows: pd.DataFrame, model: pd.Series) -> pd.Series:
+    return rows["ds"].map(lambda ds: model["first"] if ds.month <= 6 else model["second"])
+
+
+def _grouped_models(data: DataFrame) -> DataFrame:
+    return fit_grouped(data, "territory", _own_mean, "first double, second double", min_rows=6)
+
+
+def _grouped_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    data = _prepared(spark, folder)
+    return plain(forecast_grouped(data, _grouped_models(data), "territory", _own_prediction), FITTED)
+
+
+def _grouped_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    data = _prepared(spark, folder)
+    metrics = evaluation.evaluate_grouped(data, _grouped_models(data), "territory", _own_prediction)
+    return plain(metrics, FITTED, mape=6)
 
 
 def _compare_stored_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored models side by side with the mean; the numbers of the trend, how the trees compare."""
     data, path = _prepared(spark, folder), scratch_path(spark, "models")
-    short = {m: _short(p) for m, p in training.TREE_MODELS.items()}
     for model in training.COMPARED:
-        training.train(data, path, "territory", model, params=short.get(model))
-    return plain(training.compare(data, path, "territory", params=short))
+        training.train(data, path, "territory", model)
+    compared = training.compare(data, path, "territory")
+    mean = evaluation.evaluate_mean(trees.train_rows(data, "territory"), "territory")
+    mean = evaluation.summarize(mean).select(F.col("rmse").alias("mean_rmse"), F.lit(1).alias("_one"))
+    both = compared.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one")
+    numbers = {c: F.when(F.col("model") == "trend", F.col(c)) for c in ("rmse", "mae", "mape")}
+    as_good = _as_good("rmse", "mean_rmse").alias("as_good_as_mean")
+    shown = both.select("model", "groups", as_good, *[c.alias(n) for n, c in numbers.items()])
+    return plain(shown, FITTED, mape=6)
 
 
 def _model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,23 +342,23 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     four = {"digits": 4}
     return {
-        "sales_summary": _over(star.survey_quality, sales.sales_summary),
-        "region_summary": _over(star.survey_quality, sales.region_summary),
-        "region_summary_month": _over(star.survey_quality, sales.region_summary, year=1998, month=5),
+        "sales_summary": _by_place(sales.sales_summary),
+        "region_summary": _by_place(sales.region_summary),
+        "region_summary_month": _by_place(sales.region_summary, year=1998, month=5),
         "monthly_trend": _over(star.quality_lines, sales.monthly_trend),
-        "monthly_trend_region": _over(star.survey_quality, sales.monthly_trend, region_id="2"),
+        "monthly_trend_region": _by_place(sales.monthly_trend, region_id="2"),
         "top_products": _over(star.quality_lines, sales.top_products),
         "top_products_year": _over(star.quality_lines, sales.top_products, year=1999, limit=200),
-        "sales_sample": _over(star.survey_with_circle, sales.sales_sample),
+        "sales_sample": _sales_sample,
         "sales_summary_stats": _over(star.quality_lines, sales.sales_summary_stats, **four),
         "time_features": _over(star.quality_lines, sales.time_features),
         "price_change_mom": _over(star.quality_lines, sales.price_change_mom, digits=6),
-        "rolling_qty": _over(star.survey_quality, sales.rolling_qty, **four),
+        "rolling_qty": _by_place(sales.rolling_qty, **four),
         "sales_distribution": _over(star.quality_lines, sales.sales_distribution, **four),
-        "sales_value_counts": _over(star.survey_with_circle, sales.sales_value_counts),
+        "sales_value_counts": _sales_value_counts,
         "time_coverage": _over(star.quality_lines, sales.time_coverage),
         "price_qty_corr": _over(star.quality_lines, sales.price_quantity_corr, digits=8),
-        "region_avg_price": _over(star.survey_quality, sales.region_avg_price, **four),
+        "region_avg_price": _by_place(sales.region_avg_price, **four),
         "product_summary": _over(star.product_dirty, product.product_summary, **four),
         "product_search": _over(
             star.product, product.product_search, product_name="wid", min_price=950.0, max_price=1500.0
@@ -334,10 +387,10 @@ def queries() -> dict[str, Query]:
         "hierarchy_path": _market_path,
         "hierarchy_closure": _over(star.market, hierarchy.hierarchy_closure),
         "name_quality": _over(star.market, market.name_quality, digits=6),
-        "scope_series_territory": _scope_series("territory", "revenue"),
-        "scope_series_area": _scope_series("area", "revenue"),
-        "scope_series_region": _scope_series("region", "revenue"),
-        "qty_series": _scope_series("area", "qty"),
+        "scope_series_territory": _by_place(series.scope_series, scope="territory"),
+        "scope_series_area": _by_place(series.scope_series, scope="area"),
+        "scope_series_region": _by_place(series.scope_series, scope="region"),
+        "qty_series": _by_place(series.scope_series, scope="area", measure="qty"),
         "source_fallback": _source_fallback,
         "source_fallback_survey": _source_fallback_survey,
         "period_sanitize": _period_sanitize,
@@ -367,11 +420,20 @@ def queries() -> dict[str, Query]:
         "evaluation_summary": _evaluation_summary,
         "compare_models": _compare_models,
         "model_roundtrip": _model_roundtrip,
-        "trees_a_forecast": _trees_forecast(trees.TREES_A),
-        "trees_b_forecast": _trees_forecast(trees.TREES_B),
+        "trees_a_forecast": _tree_forecast(trees.TREES_A),
+        "trees_b_forecast": _tree_forecast(trees.TREES_B),
+        "trees_a_forecast_area": _tree_forecast(trees.TREES_A, "area"),
+        "trees_a_forecast_region": _tree_forecast(trees.TREES_A, "region"),
         "evaluate_trees_a": _evaluate_trees(trees.TREES_A),
         "evaluate_trees_b": _evaluate_trees(trees.TREES_B),
         "compare_stored_models": _compare_stored_models,
-        "sequence_forecast": _sequence_forecast,
+        "sequence_forecast": _sequence_forecast(),
+        "sequence_forecast_area": _sequence_forecast("area"),
+        "sequence_forecast_region": _sequence_forecast("region"),
         "evaluate_sequence": _evaluate_sequence,
+        "grouped_forecast": _grouped_forecast,
+        "grouped_evaluation": _grouped_evaluation,
+        "named_sql": _named_sql,
+        "sales_distribution_sample": _over(star.quality_lines, sales.sales_distribution, sample_limit=3000, **four),
+        "price_qty_corr_sample": _over(star.quality_lines, sales.price_quantity_corr, sample=3000, digits=8),
     }

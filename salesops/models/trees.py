@@ -2,9 +2,10 @@
 
 Two configurations, A and B. A library that fits one small ensemble per key does not use a
 cluster; here one pooled ensemble per scope is fitted by Spark ML on all keys at once. Target
-and lags are divided by the key's mean so that keys of any size share it. Configuration A keeps
-what it does on short series: below 40 training rows a leaf minimum of 20 allows no split, and
-the model is the key's mean.
+and lags are divided by the key's mean absolute value so that keys of any size share it.
+``mean_below`` keeps what configuration A does on short series: below 40 training rows a leaf
+minimum of 20 allows no split, and the model is the key's mean. It is a documented parameter, 0
+for never, and stored with every key's model, so that a forecast follows the rule of the training.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salesops.functions.params import check_range
 from salesops.operators.series import by_key, dealt, feature_columns, keyed, next_months, training_features
-from salesops.plans.lineage import cut
+from salesops.plans.lineage import written
 from salesops.scopes import DEFAULT_HORIZON, DEFAULT_LAGS, scope_keys
 
 HISTORY = max(DEFAULT_LAGS)
 SPLITTABLE_ROWS = 40
 # Every round passes over the training rows several times: enough tasks to share the work, each
-# with enough rows to be worth starting.
-ROWS_PER_TASK = 20_000
+# with enough rows to be worth starting. Their number follows from the rows alone and rows are
+# put in order, as the row and column samples of a round are drawn by task and place.
+ROWS_PER_TASK = 100_000
+# Months after which a recursive forecast is written and its plan starts over.
+CUT_EVERY = 12
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,18 @@ def fit_mean(features: DataFrame, scope: str) -> DataFrame:
     )
 
 
+def fit_keys(features: DataFrame, scope: str, params: TreeParams) -> DataFrame:
+    """As ``fit_mean``, with what a key's share in an ensemble needs: its scale and ``mean_below``."""
+    return features.groupBy(*scope_keys(scope)).agg(
+        F.avg("y").alias("mean_y"),
+        F.count("*").alias("n_obs"),
+        _scale(F.avg(F.abs("y"))).alias("scale"),
+        F.lit(params.mean_below).alias("mean_below"),
+    )
+
+
 def _scale(mean: Column) -> Column:
+    """Absolute values do not cancel out, as those of a key with many returns would."""
     return F.when(mean == 0, 1.0).otherwise(mean)
 
 
@@ -65,7 +80,8 @@ def _scaled(rows: DataFrame) -> DataFrame:
 
 def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineModel | None:
     """The pooled ensemble, or None when no key has enough rows to split."""
-    mean = F.avg("y").over(by_key(scope))
+    keys = scope_keys(scope)
+    mean = F.avg(F.abs("y")).over(by_key(scope))
     n_obs = F.count("*").over(by_key(scope))
     rows = (
         features.withColumns({"scale": _scale(mean), "n_obs": n_obs})
@@ -76,12 +92,11 @@ def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineMo
     # Rows are complete here and in every prediction; "skip" would filter on the features, and so
     # run the previous step's prediction again for every lag of a recursive forecast.
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    train = cut(_scaled(rows).select(*scope_keys(scope), "ds", *inputs, "label"))
+    train = written(_scaled(rows).select(*keys, "ds", *inputs, "label"), "tree-rows")
     count = train.count()
     if count == 0:
         return None
-    tasks = min(-(-count // ROWS_PER_TASK), 3 * train.sparkSession.sparkContext.defaultParallelism)
-    spread = train.repartition(tasks, *scope_keys(scope), "ds")
+    spread = train.repartition(-(-count // ROWS_PER_TASK), *keys, "ds").sortWithinPartitions(*keys, "ds")
     trees = GBTRegressor(
         featuresCol="features",
         labelCol="label",
@@ -98,18 +113,17 @@ def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineMo
     return PipelineModel([assembler, trees.fit(assembler.transform(spread))])
 
 
-def predict_trees(rows: DataFrame, model: PipelineModel | None, params: TreeParams) -> DataFrame:
-    """Adds yhat to feature rows that also hold ``mean_y`` and ``n_obs`` of their key."""
-    rows = rows.withColumn("scale", _scale(F.col("mean_y")))
-    kept = [F.col(c) for c in rows.columns if c != "scale"]
+def predict_trees(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """Adds yhat to feature rows that also hold the columns of ``fit_keys``."""
+    kept = rows.columns
     if model is None:
-        return rows.select(*kept, F.col("mean_y").alias("yhat"))
+        return rows.withColumn("yhat", F.col("mean_y"))
     raw = rows.withColumn("raw", F.struct(*[F.col(f"lag_{k}") for k in DEFAULT_LAGS]))
     scored = model.transform(_scaled(raw))
     pooled = F.col("scaled_yhat") * F.col("scale")
-    yhat = F.when(F.col("n_obs") < params.mean_below, F.col("mean_y")).otherwise(pooled)
+    yhat = F.when(F.col("n_obs") < F.col("mean_below"), F.col("mean_y")).otherwise(pooled)
     back = {f"lag_{k}": F.col(f"raw.lag_{k}") for k in DEFAULT_LAGS}
-    return scored.withColumn("yhat", yhat).withColumns(back).drop("raw", "features", "scaled_yhat", "scale")
+    return scored.withColumn("yhat", yhat).withColumns(back).select(*kept, "yhat")
 
 
 def _needed_positions(horizon: int) -> list[int]:
@@ -122,24 +136,28 @@ def forecast_trees(
     keys_model: DataFrame,
     model: PipelineModel | None,
     scope: str,
-    params: TreeParams,
     horizon: int = DEFAULT_HORIZON,
 ) -> DataFrame:
     """(keys, ds, yhat, yhat_lower, yhat_upper); every predicted value feeds the later lags.
 
     State is one row per key with its last twelve values; a step is a projection and adds no
-    shuffle. Keys whose lags would meet a NULL are left out.
+    shuffle. Keys whose lags would meet a NULL are left out. Every ``CUT_EVERY`` months the state is
+    written, so that the plan of a long horizon stays short.
     """
     check_range("horizon", horizon, 1)
     keys = scope_keys(scope)
+    columns = ["mean_y", "n_obs", "scale", "mean_below"]
+    newest = Window.partitionBy(*keys).orderBy(F.desc("ds"))
+    # One more row than the lags reach tells a key with enough history.
+    recent = dealt(keyed(series, scope), scope).withColumn("_place", F.row_number().over(newest))
     points = F.sort_array(F.collect_list(F.struct("ds", "y")))
     state = (
-        dealt(keyed(series, scope), scope)
+        recent.filter(F.col("_place") <= HISTORY + 1)
         .groupBy(*keys)
         .agg(points.alias("points"), F.max("ds").alias("last_ds"))
         .filter(F.size("points") > HISTORY)
         .select(*keys, "last_ds", F.slice(F.col("points.y"), -HISTORY, HISTORY).alias("hist"))
-        .join(keys_model.select(*keys, "mean_y", "n_obs"), keys)
+        .join(keys_model.select(*keys, *columns), keys)
     )
     for back in _needed_positions(horizon):
         state = state.filter(F.element_at("hist", -back).isNotNull())
@@ -152,8 +170,10 @@ def forecast_trees(
                 "year": F.year(ds),
             }
         )
-        scored = predict_trees(rows, model, params)
+        scored = predict_trees(rows, model)
         state = scored.withColumn("hist", F.concat("hist", F.array("yhat"))).select(*state.columns)
+        if step % CUT_EVERY == 0 and step < horizon:
+            state = written(state, "tree-state")
     predicted = F.slice("hist", HISTORY + 1, horizon)
     months = next_months(F.col("last_ds"), horizon)
     forecast = F.arrays_zip(months.alias("ds"), predicted.alias("yhat"))

@@ -11,7 +11,8 @@ calendar month (no Fourier terms), normal intervals (not sampled).
     sigma    sample deviation of y - fitted
     interval fitted -+ 1.2816 * sigma (80 %)
 
-Seasonality needs a span of two years; a calendar month never seen has no effect.
+Seasonality needs a span of ``season_months``, two years by default: within one year a season
+cannot be told from a trend. A calendar month never seen has no effect.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ def _combine(trend: Column, season: Column, mode: Column) -> Column:
     return F.when(mode == "multiplicative", trend * (1 + season)).otherwise(trend + season)
 
 
-def fitted_rows(series: DataFrame, scope: str, mode: str = "additive") -> DataFrame:
+def fitted_rows(
+    series: DataFrame, scope: str, mode: str = "additive", season_months: int = MONTHS_FOR_SEASON
+) -> DataFrame:
     """Series rows with the fit of their key beside them.
 
     All windows share the partitioning on the keys: one shuffle of monthly rows.
@@ -63,7 +66,7 @@ def fitted_rows(series: DataFrame, scope: str, mode: str = "additive") -> DataFr
     else:
         effect = y - F.col("trend")
     per_month = Window.partitionBy(*scope_keys(scope), "month")
-    season = F.when(F.col("span") >= MONTHS_FOR_SEASON, F.avg(effect).over(per_month))
+    season = F.when(F.col("span") >= season_months, F.avg(effect).over(per_month))
     return (
         rows.withColumn("season", F.coalesce(season, F.lit(0.0)))
         .withColumn("yhat", _combine(F.col("trend"), F.col("season"), F.lit(mode)))
@@ -71,11 +74,13 @@ def fitted_rows(series: DataFrame, scope: str, mode: str = "additive") -> DataFr
     )
 
 
-def fit_trend(series: DataFrame, scope: str, mode: str = "additive") -> DataFrame:
+def fit_trend(
+    series: DataFrame, scope: str, mode: str = "additive", season_months: int = MONTHS_FOR_SEASON
+) -> DataFrame:
     """One row per key: intercept, slope, seasonal (12 effects), sigma, n_obs, last_ds, mode."""
     effects = [F.coalesce(F.max(F.when(F.col("month") == m, F.col("season"))), F.lit(0.0)) for m in range(1, 13)]
     return (
-        fitted_rows(series, scope, mode)
+        fitted_rows(series, scope, mode, season_months)
         .groupBy(*scope_keys(scope))
         .agg(
             F.max("intercept").alias("intercept"),

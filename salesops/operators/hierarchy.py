@@ -16,7 +16,7 @@ from salesops.functions import columns as C
 from salesops.functions.params import check_range
 from salesops.operators.joins import lookup_join
 from salesops.operators.market import MARKET_COLUMNS
-from salesops.plans.lineage import cut
+from salesops.plans.lineage import cut, written
 
 # Which column a parent code is matched to.
 PARENT_MATCH = {"field_id": "FIELD_ID", "code": "MKT_CODE_OLD"}
@@ -76,24 +76,26 @@ def hierarchy_orphans(
 
 
 def hierarchy_path(market: DataFrame, field_id: str, max_steps: int = 10) -> DataFrame:
-    """The node with this id or code, its parent, and so on for at most ``max_steps`` steps."""
+    """The node with this id or code, its parent, and so on for at most ``max_steps`` steps.
+
+    Starts from the seed rows and climbs the inner nodes level by level; the market itself is read
+    for the seed and for its inner nodes. Rows that share a code are all followed, so a step holds
+    as many rows as there are ways up.
+    """
     check_range("max_steps", max_steps, 1, 50)
-    return market.sparkSession.sql(
-        """
-        WITH RECURSIVE walk AS (
-          SELECT FIELD_ID, MKT_NAME, MKT_LEVEL, PARENT_MKT_CODE, 0 AS depth
-          FROM {market}
-          WHERE FIELD_ID = :id OR MKT_CODE_OLD = :id
-          UNION ALL
-          SELECT up.FIELD_ID, up.MKT_NAME, up.MKT_LEVEL, up.PARENT_MKT_CODE, walk.depth + 1
-          FROM {market} up JOIN walk ON up.MKT_CODE_OLD = walk.PARENT_MKT_CODE
-          WHERE walk.depth < :max_steps
-        )
-        SELECT * FROM walk ORDER BY depth
-        """,
-        args={"id": field_id, "max_steps": max_steps},
-        market=market,
-    )
+    shown = ["FIELD_ID", "MKT_NAME", "MKT_LEVEL", "PARENT_MKT_CODE"]
+    seed = market.filter((F.col("FIELD_ID") == field_id) | (F.col("MKT_CODE_OLD") == field_id))
+    current = cut(seed.select(*shown, F.lit(0).alias("depth")))
+    internal = written(_internal(market, cut(_referenced(market))).select("MKT_CODE_OLD", *shown), "inner-nodes")
+    levels = [current]
+    for depth in range(1, max_steps + 1):
+        wanted = current.select(F.col("PARENT_MKT_CODE").alias("MKT_CODE_OLD"))
+        found = lookup_join(wanted.filter(F.col("MKT_CODE_OLD").isNotNull()), internal, "MKT_CODE_OLD")
+        current = cut(found.select(*shown, F.lit(depth).alias("depth")))
+        if current.isEmpty():
+            break
+        levels.append(current)
+    return reduce(DataFrame.unionByName, levels).orderBy("depth")
 
 
 def _internal(market: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -106,34 +108,45 @@ def hierarchy_closure(market: DataFrame, max_steps: int = 10) -> DataFrame:
     """(node_id, ancestor_id, ancestor_level, depth): ``hierarchy_path`` of every node at once.
 
     Depth 0 is the node itself. Rows that share a code are all followed, cycles end after
-    ``max_steps``.
+    ``max_steps``. Rows of one code that agree in id, level and parent are walked once, with the
+    number of ways, so that rows sharing codes do not multiply level by level on the way up.
     """
     check_range("max_steps", max_steps, 1, 50)
-    internal = cut(_internal(market, cut(_referenced(market))))
-    step = internal.select(
-        F.col("MKT_CODE_OLD").alias("next_code"),
-        F.col("FIELD_ID").alias("ancestor_id"),
-        C.whole_number(market, "MKT_LEVEL").alias("ancestor_level"),
-        F.col("PARENT_MKT_CODE").alias("parent"),
+    internal = _internal(market, cut(_referenced(market)))
+    step = cut(
+        internal.groupBy(
+            F.col("MKT_CODE_OLD").alias("next_code"),
+            F.col("FIELD_ID").alias("ancestor_id"),
+            C.whole_number(market, "MKT_LEVEL").alias("ancestor_level"),
+            F.col("PARENT_MKT_CODE").alias("parent"),
+        ).agg(F.count("*").alias("same"))
     )
     reached = cut(
-        step.select(F.col("next_code").alias("code"), "ancestor_id", "ancestor_level", "parent", F.lit(1).alias("depth"))
-    )
+        step.select(
+            F.col("next_code").alias("code"), "ancestor_id", "ancestor_level", "parent",
+            F.col("same").alias("ways"), F.lit(1).alias("depth"),
+        )
+    )
     levels = [reached]
     while len(levels) < max_steps:
-        onward = reached.filter(F.col("parent").isNotNull()).select(
-            "code", "depth", F.col("parent").alias("next_code")
+        onward = (
+            reached.filter(F.col("parent").isNotNull())
+            .groupBy("code", "depth", F.col("parent").alias("next_code"))
+            .agg(F.sum("ways").alias("ways"))
         )
+        above = lookup_join(cut(onward), step, "next_code")
         reached = cut(
-            lookup_join(onward, step, "next_code").select(
-                "code", "ancestor_id", "ancestor_level", "parent", (F.col("depth") + 1).alias("depth")
-            )
+            above.groupBy("code", "ancestor_id", "ancestor_level", "parent", (F.col("depth") + 1).alias("depth"))
+            .agg(F.sum(F.col("ways") * F.col("same")).alias("ways"))
         )
         if reached.isEmpty():
             break
         levels.append(reached)
-    ancestors = reduce(DataFrame.unionByName, levels).select(
-        F.col("code").alias("PARENT_MKT_CODE"), "ancestor_id", "ancestor_level", "depth"
+    every_way = F.explode(F.sequence(F.lit(1).cast("long"), F.col("ways")))
+    ancestors = (
+        reduce(DataFrame.unionByName, levels)
+        .select(F.col("code").alias("PARENT_MKT_CODE"), "ancestor_id", "ancestor_level", "depth", every_way)
+        .drop("col")
     )
     nodes = market.select(F.col("FIELD_ID").alias("node_id"), "PARENT_MKT_CODE")
     above = lookup_join(nodes.filter(F.col("PARENT_MKT_CODE").isNotNull()), ancestors, "PARENT_MKT_CODE")
@@ -146,17 +159,19 @@ def hierarchy_closure(market: DataFrame, max_steps: int = 10) -> DataFrame:
     return itself.unionByName(above.drop("PARENT_MKT_CODE"))
 
 
-def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int = 50) -> DataFrame:
+def market_tree(market: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Every node with its place in the forest.
 
     Adds ``is_root``, ``root_code``, ``depth``, ``path`` (codes from the root down, joined by
     ``/``), ``n_children`` and ``reachable``. A node whose parent code is missing or unknown is
     a root; of rows that share a code the last by level, name and id is the parent of that
-    code's children. Nodes on a cycle, or deeper than ``max_depth``, have no path and are not
-    reachable. The children of a node are the rows that carry its code as parent: a nested list
-    would put all children of a hot parent into one row.
+    code's children. Nodes on a cycle, or below one, have no path and are not reachable; any depth
+    is. The children of a node are the rows that carry its code as parent: a nested list would put
+    all children of a hot parent into one row.
+
+    The walk ends by itself: it starts at roots, and every inner code has one parent, so that it
+    meets each code at most once and never enters a cycle.
     """
-    check_range("max_depth", max_depth, 1, 50)
     nodes = market.select(*MARKET_COLUMNS).withColumn("MKT_LEVEL", C.whole_number(market, "MKT_LEVEL"))
     if max_nodes is not None:
         check_range("max_nodes", max_nodes, 1, 20_000)
@@ -177,7 +192,7 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
         "code", F.col("code").alias("root_code"), F.lit(0).alias("depth"), F.col("code").alias("path")
     )
     levels = [frontier]
-    for _ in range(max_depth):
+    while True:
         upper = frontier.withColumnRenamed("code", "parent")
         frontier = cut(
             lookup_join(below, upper, "parent").select(
@@ -192,7 +207,7 @@ def market_tree(market: DataFrame, max_nodes: int | None = None, max_depth: int
         levels.append(frontier)
     placed = reduce(DataFrame.unionByName, levels)
 
-    # A known parent without a path lies on a cycle or too deep; an unknown one makes a root.
+    # A known parent without a path lies on a cycle or below one; an unknown one makes a root.
     above = cut(
         internal.select("code").join(placed, "code", "left").select(
             F.col("code").alias("PARENT_MKT_CODE"),

@@ -9,7 +9,9 @@ from salesops.functions import columns as C
 from salesops.functions.params import check_range, contains_text, equal_to, where_all, within
 from salesops.operators import quality
 from salesops.operators.quantiles import approximate_quantiles, exact_quantiles
+from salesops.plans.lineage import written
 
+# Columns of the master, its texts and its categories.
 MASTER_COLUMNS = [
     "PRODUCT_ID",
     "PRODUCT_CODE",
@@ -86,27 +88,44 @@ def product_duplicates(product: DataFrame, list_limit: int = 200) -> DataFrame:
 def product_price_stats(
     product: DataFrame, sample_limit: int | None = None, approx: bool = False
 ) -> DataFrame:
-    """Count, NULLs, range, mean, deviation and quartiles of the price."""
-    price = C.number("UNIT_PRICE")
-    stats = product.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("UNIT_PRICE").isNull()).alias("nulls"),
-        F.min(price).alias("min_price"),
-        F.max(price).alias("max_price"),
-        F.avg(price).alias("avg_price"),
-        F.stddev_samp(price).alias("std_price"),
+    """Count, NULLs, range, mean, deviation and quartiles of the price.
+
+    The products are scanned once, into the number of rows of every price; all measures follow
+    from that. ``sample_limit`` restricts the quartiles to the first priced products by id.
+    """
+    price, raw = C.number("UNIT_PRICE"), F.col("UNIT_PRICE")
+    counted = product.groupBy(price.alias("value"), raw.isNull().alias("missing")).agg(F.count("*").alias("cnt"))
+    counted = written(counted, "price-frequencies")
+    value, cnt = F.col("value"), F.col("cnt")
+    priced = F.sum(F.when(value.isNotNull(), cnt))
+    # The mean first, then deviations from it: both passes read the few written rows.
+    mean = counted.agg((F.sum(value * cnt) / priced).alias("mean"))
+    off = value - F.col("mean")
+    one = F.lit(1)
+    stats = counted.withColumn("_one", one).join(F.broadcast(mean.withColumn("_one", one)), "_one").agg(
+        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("missing"), cnt)), F.lit(0)).alias("nulls"),
+        F.min("value").alias("min_price"),
+        F.max("value").alias("max_price"),
+        F.max("mean").alias("avg_price"),
+        F.sqrt(F.try_divide(F.sum(off * off * cnt), F.nullif(priced - 1, F.lit(0)))).alias("std_price"),
+        F.lit(1).alias("_one"),
     )
-    priced = product
+    prices, freq = product, None
     if sample_limit is not None:
         check_range("sample_limit", sample_limit, 1)
-        priced = product.filter(price.isNotNull()).orderBy("PRODUCT_ID").limit(sample_limit)
-    quantiles = approximate_quantiles if approx else exact_quantiles
-    found = quantiles(priced, ["UNIT_PRICE"], [0.25, 0.5, 0.75])
+        prices = product.filter(price.isNotNull()).orderBy("PRODUCT_ID").limit(sample_limit)
+    elif not approx:
+        known = counted.filter(value.isNotNull() & ~F.isnan("value"))
+        freq = known.groupBy(F.lit("UNIT_PRICE").alias("column"), "value").agg(F.sum("cnt").alias("cnt"))
+    if approx:
+        found = approximate_quantiles(prices, ["UNIT_PRICE"], [0.25, 0.5, 0.75])
+    else:
+        found = exact_quantiles(prices, ["UNIT_PRICE"], [0.25, 0.5, 0.75], freq)
     q = F.col("quantiles")
     # Two one-row frames side by side.
-    one = F.lit(1).alias("_one")
-    quartiles = found.select(one, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
-    return stats.select("*", one).join(F.broadcast(quartiles), "_one").drop("_one")
+    quartiles = found.select(one.alias("_one"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
+    return stats.join(F.broadcast(quartiles), "_one").drop("_one")
 
 
 def product_value_counts(product: DataFrame, top_n: int = 50) -> DataFrame:

@@ -49,19 +49,28 @@ def _column_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return texts.unpivot([], columns, "column", "value")
 
 
+def column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, cnt): how often every value of each column occurs, from one scan."""
+    return _column_values(df, columns).groupBy("column", "value").agg(F.count("*").alias("cnt"))
+
+
+def most_frequent(counts: DataFrame, top_n: int) -> DataFrame:
+    """The ``top_n`` values of each column; every task keeps that many before the shuffle."""
+    check_range("top_n", top_n, 1, 1000)
+    best = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc_nulls_first("value"))
+    return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n).drop("rank")
+
+
 def value_counts(
     df: DataFrame, columns: list[str], top_n: int = 50, with_distinct: bool = False
 ) -> DataFrame:
     """(column, value, cnt): the most frequent values of each column, NULL included.
 
-    One scan and one grouping serve all columns; the rank filter keeps ``top_n`` rows per column
-    in every task before the shuffle. ``with_distinct`` adds the number of non-NULL values.
+    One scan and one grouping serve all columns. ``with_distinct`` adds the number of non-NULL
+    values.
     """
-    check_range("top_n", top_n, 1, 1000)
-    counts = _column_values(df, columns).groupBy("column", "value").agg(F.count("*").alias("cnt"))
-    best = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc_nulls_first("value"))
-    top = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
-    top = top.drop("rank")
+    counts = column_counts(df, columns)
+    top = most_frequent(counts, top_n)
     if not with_distinct:
         return top
     distinct = counts.groupBy("column").agg(F.count("value").alias("distinct"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesops.functions import columns as C
 from salesops.functions.params import check_range, equal_to, where_all, within
 from salesops.operators import quality
+from salesops.operators.joins import summed_by_place
 from salesops.operators.quantiles import approximate_quantiles, exact_quantiles
+from salesops.plans.lineage import written
 from salesops.sources.tables import newest_rows
 
+# Id columns, columns of a sample, columns of a place.
 ID_COLUMNS = ["PRODUCT_ID", "SURVEY_CIRCLE_ID", "TERRITORY_ID", "AREA_ID", "REGION_ID"]
 SAMPLE_COLUMNS = [
     "ROW_DATA_ID",
@@ -28,11 +34,16 @@ SAMPLE_COLUMNS = [
 PLACE_IDS = ["REGION_ID", "AREA_ID", "TERRITORY_ID"]
 
 
+def _measures() -> dict[str, Column]:
+    return {"total_qty": C.number("SALES_QTY"), "sales_amount": C.revenue()}
+
+
 def _totals() -> list:
-    return [
-        F.sum(C.number("SALES_QTY")).alias("total_qty"),
-        F.sum(C.revenue()).alias("sales_amount"),
-    ]
+    return [F.sum(c).alias(n) for n, c in _measures().items()]
+
+
+def _months(survey: DataFrame) -> dict[str, Column]:
+    return {c: C.whole_number(survey, c) for c in ("YEAR_NO", "MONTH_NO")}
 
 
 def _period(df: DataFrame, year: int | None, month: int | None) -> list:
@@ -44,50 +55,66 @@ def _period(df: DataFrame, year: int | None, month: int | None) -> list:
     return preds
 
 
-def sales_summary(survey: DataFrame) -> DataFrame:
+def sales_summary(survey: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Row count, year range and distinct ids.
 
-    The distinct counts share one scan and shuffle on (id column, value), so their size follows
-    the number of ids and not of rows.
+    Rows are counted by product and territory first: the distinct ids follow from these groups,
+    and so do the areas and regions, from the places of the distinct territories.
     """
     year = C.whole_number(survey, "YEAR_NO")
-    return survey.agg(
-        F.count("*").alias("row_count"),
-        F.min(year).alias("min_year"),
-        F.max(year).alias("max_year"),
-        F.count_distinct("PRODUCT_ID").alias("product_count"),
+    place_columns = ["TERRITORY_ID"] if places is not None else PLACE_IDS
+    groups = written(
+        survey.groupBy("PRODUCT_ID", *place_columns).agg(
+            F.count("*").alias("n"), F.min(year).alias("min_year"), F.max(year).alias("max_year")
+        ),
+        "sales-groups",
+    )
+    located = groups.select(*place_columns).distinct()
+    if places is not None:
+        located = located.join(places, "TERRITORY_ID")
+    counts = located.agg(
         F.count_distinct("REGION_ID").alias("region_count"),
         F.count_distinct("AREA_ID").alias("area_count"),
         F.count_distinct("TERRITORY_ID").alias("territory_count"),
+        F.lit(1).alias("_one"),
+    )
+    totals = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.min("min_year").alias("min_year"),
+        F.max("max_year").alias("max_year"),
+        F.count_distinct("PRODUCT_ID").alias("product_count"),
+        F.lit(1).alias("_one"),
     )
+    # Two one-row frames side by side.
+    return totals.join(F.broadcast(counts), "_one").drop("_one")
 
 
-def region_summary(survey: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+def region_summary(
+    survey: DataFrame, year: int | None = None, month: int | None = None, places: DataFrame | None = None
+) -> DataFrame:
     wanted = where_all(survey, _period(survey, year, month))
-    return wanted.groupBy(*PLACE_IDS).agg(*_totals()).orderBy(*PLACE_IDS)
+    found = summed_by_place(wanted, places, {c: F.col(c) for c in PLACE_IDS}, _measures())
+    return found.select(*PLACE_IDS, *_measures()).orderBy(*PLACE_IDS)
 
 
 def monthly_trend(
-    survey: DataFrame, region_id=None, area_id=None, territory_id=None, product_id=None
+    survey: DataFrame,
+    region_id=None,
+    area_id=None,
+    territory_id=None,
+    product_id=None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
-    wanted = where_all(
-        survey,
-        equal_to(
-            survey,
-            REGION_ID=region_id,
-            AREA_ID=area_id,
-            TERRITORY_ID=territory_id,
-            PRODUCT_ID=product_id,
-        ),
-    )
-    return (
-        wanted.groupBy(
-            C.whole_number(survey, "YEAR_NO").alias("YEAR_NO"),
-            C.whole_number(survey, "MONTH_NO").alias("MONTH_NO"),
-        )
-        .agg(*_totals())
-        .orderBy("YEAR_NO", "MONTH_NO")
+    """Totals per month. With ``places`` the region and area are looked for there."""
+    located = equal_to(
+        survey if places is None else places, REGION_ID=region_id, AREA_ID=area_id, TERRITORY_ID=territory_id
     )
+    wanted = where_all(survey, equal_to(survey, PRODUCT_ID=product_id))
+    if places is None:
+        wanted = where_all(wanted, located)
+    else:
+        places = where_all(places, located)
+    return summed_by_place(wanted, places, _months(survey), _measures()).orderBy("YEAR_NO", "MONTH_NO")
 
 
 def top_products(
@@ -107,12 +134,19 @@ def top_products(
     return products.orderBy(F.desc("sales_amount"), "PRODUCT_ID").limit(limit)
 
 
-def sales_sample(survey: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest rows; rows of one ROW_DATA_ID are ordered by the columns that tell them apart."""
+def sales_sample(
+    survey: DataFrame, limit: int = 50, attach: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Newest rows; rows of one ROW_DATA_ID are ordered by the columns that tell them apart.
+
+    ``attach`` adds columns to the rows that were picked, so that no join sees the others.
+    """
     check_range("limit", limit, 1, 500)
-    ties = ["PRODUCT_ID", "TERRITORY_ID", "SALES_QTY", "UNIT_PRICE"]
-    present = [c for c in SAMPLE_COLUMNS if c in survey.columns]
-    return survey.select(*present).orderBy(F.desc("ROW_DATA_ID"), *ties).limit(limit)
+    order = [F.desc("ROW_DATA_ID"), "PRODUCT_ID", "TERRITORY_ID", "SALES_QTY", "UNIT_PRICE"]
+    newest = survey.orderBy(*order).limit(limit)
+    found = attach(newest) if attach else newest
+    present = [c for c in SAMPLE_COLUMNS if c in found.columns]
+    return found.select(*present).orderBy(*order)
 
 
 def sales_summary_stats(survey: DataFrame) -> DataFrame:
@@ -156,49 +190,44 @@ def price_change_mom(
 ) -> DataFrame:
     """Average monthly price and its change in percent for the products with most months.
 
-    The months of a product, one entry per period, travel as an array, so the ranking picks
-    products and their data together: one scan of the facts, no join back.
+    The monthly prices are written once: their number per product picks the products, and a semi
+    join with at most ``limit_products`` of them picks their rows.
     """
     check_range("limit_products", limit_products, 1, 5000)
     years = within(C.filterable_number(survey, "YEAR_NO"), start_year, end_year)
     wanted = where_all(survey, equal_to(survey, PRODUCT_ID=product_id), years)
     monthly = wanted.groupBy(
-        "PRODUCT_ID",
-        C.whole_number(survey, "YEAR_NO").alias("YEAR_NO"),
-        C.whole_number(survey, "MONTH_NO").alias("MONTH_NO"),
+        "PRODUCT_ID", *[c.alias(n) for n, c in _months(survey).items()]
     ).agg(F.avg(C.number("UNIT_PRICE")).alias("monthly_price"))
-    top = (
-        monthly.groupBy("PRODUCT_ID")
-        .agg(
-            F.count("*").alias("n_months"),
-            F.collect_list(F.struct("YEAR_NO", "MONTH_NO", "monthly_price")).alias("months"),
-        )
-        .orderBy(F.desc("n_months"), "PRODUCT_ID")
-        .limit(limit_products)
+    monthly = written(monthly, "monthly-prices")
+    counted = monthly.groupBy("PRODUCT_ID").agg(F.count("*").alias("n_months"))
+    top = counted.orderBy(F.desc("n_months"), "PRODUCT_ID").limit(limit_products).select("PRODUCT_ID")
+    # A missing product is a group like others, so the match treats NULL as a value.
+    chosen = monthly.alias("m").join(
+        F.broadcast(top.alias("t")), F.col("m.PRODUCT_ID").eqNullSafe(F.col("t.PRODUCT_ID")), "left_semi"
     )
     in_order = Window.partitionBy("PRODUCT_ID").orderBy("YEAR_NO", "MONTH_NO")
     previous = F.lag("monthly_price").over(in_order)
     return (
-        top.select("PRODUCT_ID", F.inline("months"))
-        .withColumn("previous", previous)
+        chosen.withColumn("previous", previous)
         .withColumn("pct_change", C.pct_change(F.col("monthly_price"), F.col("previous")))
         .drop("previous")
         .orderBy("PRODUCT_ID", "YEAR_NO", "MONTH_NO")
     )
 
 
-def rolling_qty(survey: DataFrame, window: int = 3, region_id=None) -> DataFrame:
+def rolling_qty(
+    survey: DataFrame, window: int = 3, region_id=None, places: DataFrame | None = None
+) -> DataFrame:
     """Mean of the monthly quantity over the last ``window`` monthly rows of a region."""
     check_range("window", window, 2, 12)
-    monthly = (
-        where_all(survey, equal_to(survey, REGION_ID=region_id))
-        .groupBy(
-            "REGION_ID",
-            C.whole_number(survey, "YEAR_NO").alias("YEAR_NO"),
-            C.whole_number(survey, "MONTH_NO").alias("MONTH_NO"),
-        )
-        .agg(F.sum(C.number("SALES_QTY")).alias("total_qty"))
-    )
+    located = equal_to(survey if places is None else places, REGION_ID=region_id)
+    if places is None:
+        survey = where_all(survey, located)
+    else:
+        places = where_all(places, located)
+    keys = {"REGION_ID": F.col("REGION_ID"), **_months(survey)}
+    monthly = summed_by_place(survey, places, keys, {"total_qty": C.number("SALES_QTY")})
     recent = Window.partitionBy("REGION_ID").orderBy("YEAR_NO", "MONTH_NO").rowsBetween(1 - window, 0)
     return monthly.withColumn("rolling_avg_qty", F.avg("total_qty").over(recent)).orderBy(
         "REGION_ID", "YEAR_NO", "MONTH_NO"
@@ -237,8 +266,25 @@ def sales_distribution(
     )
 
 
-def sales_value_counts(survey: DataFrame, top_n: int = 50) -> DataFrame:
-    return quality.value_counts(survey, [c for c in ID_COLUMNS if c in survey.columns], top_n)
+def sales_value_counts(
+    survey: DataFrame, top_n: int = 50, lookups: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """The most frequent values of every id column.
+
+    ``lookups`` names, by the column they are joined on, tables that hold further ids: rows are
+    counted by that column first, and the counts meet the table.
+    """
+    own = [c for c in ID_COLUMNS if c in survey.columns]
+    others = lookups or {}
+    counted = quality.column_counts(survey, [*own, *[on for on in others if on not in own]])
+    parts = [counted.filter(F.col("column").isin(own))]
+    for on, lookup in others.items():
+        ids = [c for c in ID_COLUMNS if c in lookup.columns and c not in own]
+        here = counted.filter(F.col("column") == on).select(F.col("value").alias("_value"), "cnt")
+        named = lookup.select(F.col(on).cast("string").alias("_value"), *[F.col(c).cast("string") for c in ids])
+        wide = here.join(named, "_value").unpivot(["cnt"], ids, "column", "value")
+        parts.append(wide.groupBy("column", "value").agg(F.sum("cnt").alias("cnt")))
+    return quality.most_frequent(reduce(DataFrame.unionByName, parts), top_n)
 
 
 def time_coverage(survey: DataFrame) -> DataFrame:
@@ -279,9 +325,10 @@ def price_quantity_corr(survey: DataFrame, sample: int | None = None) -> DataFra
     return pairs.agg(F.count("*").alias("sample"), corr.alias("corr"))
 
 
-def region_avg_price(survey: DataFrame, top_n: int = 200) -> DataFrame:
+def region_avg_price(survey: DataFrame, top_n: int = 200, places: DataFrame | None = None) -> DataFrame:
     check_range("top_n", top_n, 1, 1000)
-    regions = survey.groupBy("REGION_ID").agg(
-        F.avg(C.number("UNIT_PRICE")).alias("avg_price"), F.count("*").alias("n")
-    )
-    return regions.orderBy(F.desc("avg_price"), "REGION_ID").limit(top_n)
+    price = C.number("UNIT_PRICE")
+    sums = {"total": price, "priced": F.when(price.isNotNull(), 1).otherwise(0), "n": F.lit(1)}
+    regions = summed_by_place(survey, places, {"REGION_ID": F.col("REGION_ID")}, sums)
+    average = F.try_divide("total", "priced").alias("avg_price")
+    return regions.select("REGION_ID", average, "n").orderBy(F.desc("avg_price"), "REGION_ID").limit(top_n)

@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesops.functions import columns as C
-from salesops.scopes import DEFAULT_LAGS, scope_keys
+from salesops.operators.joins import summed_by_place
+from salesops.scopes import DEFAULT_LAGS, SURVEY_KEYS, scope_keys
 from salesops.sources.tables import first_non_empty
 
-# Accepted calendar years, 1900 to 2100.
-MIDDLE_YEAR, YEAR_SPAN = 2000, 100
+# Accepted calendar years.
+FIRST_YEAR, LAST_YEAR = 1900, 2100
+# Keys that one task of per-key work gets, and the most tasks there are.
+KEYS_PER_TASK = 8
+MOST_TASKS = 2_000
 
 
-def scope_series(survey: DataFrame, scope: str, measure: str = "revenue") -> DataFrame:
+def scope_series(
+    survey: DataFrame, scope: str, measure: str = "revenue", places: DataFrame | None = None
+) -> DataFrame:
     """(keys, Year, Month, SalesAmount): sums per key and period of the rows that have a period.
 
-    ``measure`` is ``revenue`` (quantity times price, NULLs as 0) or ``qty``.
+    ``measure`` is ``revenue`` (quantity times price, NULLs as 0) or ``qty``. With ``places`` the
+    rows hold only their territory, and their sums meet the places.
     """
     if measure not in ("revenue", "qty"):
         raise ValueError(f"measure must be revenue or qty, not {measure!r}")
     amount = C.revenue_or_zero() if measure == "revenue" else C.quantity_or_zero()
-    return _with_period(survey).select(
-        *C.key_columns(scope),
-        C.whole_number(survey, "YEAR_NO").alias("Year"),
-        C.whole_number(survey, "MONTH_NO").alias("Month"),
-        amount.alias("amount"),
-    ).groupBy(*scope_keys(scope), "Year", "Month").agg(F.sum("amount").alias("SalesAmount"))
+    sources = [source for source, key in SURVEY_KEYS.items() if key in scope_keys(scope)]
+    keys = {
+        **{source: F.col(source) for source in sources},
+        "Year": C.whole_number(survey, "YEAR_NO"),
+        "Month": C.whole_number(survey, "MONTH_NO"),
+    }
+    sums = summed_by_place(_with_period(survey), places, keys, {"SalesAmount": amount})
+    return sums.select(*C.key_columns(scope), "Year", "Month", "SalesAmount")
 
 
 def _with_period(survey: DataFrame) -> DataFrame:
@@ -49,18 +58,24 @@ def aggregated_series(history: DataFrame, scope: str) -> DataFrame:
 
 
 def sales_amounts(
-    history: DataFrame | None, survey: DataFrame, scope: str, measure: str | None = None
+    history: DataFrame | None,
+    survey: DataFrame,
+    scope: str,
+    measure: str | None = None,
+    probe: DataFrame | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """Sales history if it holds rows, else survey revenue, else survey quantity.
 
-    ``measure`` forces one of the two survey forms.
+    ``measure`` forces one of the two survey forms. A history that is itself a grouping comes with
+    its raw rows as ``probe``: one of them answers whether it holds any.
     """
     if measure is not None:
-        return scope_series(survey, scope, measure)
+        return scope_series(survey, scope, measure, places)
     return first_non_empty(
-        (history, lambda: aggregated_series(history, scope)),
-        (_with_period(survey), lambda: scope_series(survey, scope, "revenue")),
-        (None, lambda: scope_series(survey, scope, "qty")),
+        (history if probe is None else probe, lambda: aggregated_series(history, scope)),
+        (_with_period(survey), lambda: scope_series(survey, scope, "revenue", places)),
+        (None, lambda: scope_series(survey, scope, "qty", places)),
     )
 
 
@@ -71,14 +86,9 @@ def input_diagnostics(survey: DataFrame) -> DataFrame:
 
 
 def sanitize_period(df: DataFrame) -> DataFrame:
-    """Keep rows with a whole Year in 1900..2100 and a whole Month in 1..12, both as integers.
-
-    Each condition names its column once: the optimizer moves the filter down to the facts, where
-    every mention parses the period text again.
-    """
+    """Keep rows with a whole Year in 1900..2100 and a whole Month in 1..12, both as integers."""
     numbers = df.withColumns({"Year": C.whole_number(df, "Year"), "Month": C.whole_number(df, "Month")})
-    distance = F.abs(F.col("Year").cast("long") - MIDDLE_YEAR)
-    return numbers.filter(F.col("Month").isin(*range(1, 13)) & (distance <= YEAR_SPAN))
+    return numbers.filter(F.col("Year").between(FIRST_YEAR, LAST_YEAR) & F.col("Month").between(1, 12))
 
 
 def monthly_series(amounts: DataFrame, scope: str) -> DataFrame:
@@ -101,13 +111,14 @@ def keyed(series: DataFrame, scope: str) -> DataFrame:
 
 
 def dealt(series: DataFrame, scope: str) -> DataFrame:
-    """Keys dealt out to all cores by number.
+    """Keys dealt out to tasks, a few for each, and in the same way on every cluster.
 
     For per-key work that costs far more than its few bytes suggest: adaptive execution would
-    pack the keys by size into a handful of tasks.
+    pack the keys by size into a handful of tasks. Reads the keys once to count them.
     """
-    cores = series.sparkSession.sparkContext.defaultParallelism
-    return series.repartition(cores, *scope_keys(scope))
+    keys = scope_keys(scope)
+    count = series.select(*keys).distinct().count()
+    return series.repartition(min(-(-count // KEYS_PER_TASK), MOST_TASKS) or 1, *keys)
 
 
 def by_key(scope: str) -> Window:

@@ -61,8 +61,8 @@ def tree_forecast(
     """Fit on every key, forecast the wanted ones. Reads the series more than once: prepare it."""
     features = trees.train_rows(series, scope)
     model = trees.fit_trees(features, scope, params)
-    per_key = trees.fit_mean(features, scope)
-    return trees.forecast_trees(known_filters(series, filters), per_key, model, scope, params, horizon)
+    per_key = trees.fit_keys(features, scope, params)
+    return trees.forecast_trees(known_filters(series, filters), per_key, model, scope, horizon)
 
 
 def sequence_forecast(

@@ -42,14 +42,23 @@ def available_views(forecast: DataFrame, views: list[str] | None = None) -> dict
 
 
 def view_status(forecast: DataFrame, views: list[str] | None = None) -> DataFrame:
-    """(view, status, dimensions, missing_dims, measure) of every requested view."""
+    """(view, status, dimensions, missing_dims, measure, n_rows, total) of every requested view.
+
+    ``n_rows`` and ``total`` tell how many rows the view has and what its forecasts add up to; an
+    unavailable view has none.
+    """
     rows = with_calendar(forecast)
     status = []
     for view, dims in view_dims(views).items():
         missing = missing_dims(rows, dims)
         status.append((view, "unavailable" if missing else "ok", dims, missing, "sales_amount"))
     schema = "view string, status string, dimensions array<string>, missing_dims array<string>, measure string"
-    return forecast.sparkSession.createDataFrame(status, schema)
+    listed = forecast.sparkSession.createDataFrame(status, schema)
+    sums = forecast_views(forecast, views).groupBy("view").agg(
+        F.count("*").alias("n_rows"), F.sum("yhat").alias("total")
+    )
+    # One row per view on either side.
+    return listed.join(F.broadcast(sums), "view", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def forecast_views(forecast: DataFrame, views: list[str] | None = None) -> DataFrame:

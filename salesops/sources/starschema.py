@@ -3,9 +3,11 @@
 A deployment reads its own survey, product and market tables; this module derives the same
 layouts from ``lineitem orders supplier nation region part`` with fixed, documented rules. The
 driver tables hold no NULLs, so a few attribute values stand for missing or dirty ones. Every
-line has its supplier, so the layouts without region and area need no join at all. Lines meet
-their places in a counted lookup join: after a plain join on the territory a grouping by
-territory would reuse its partitioning, and a hot territory would stay in one task.
+line has its supplier, so the layouts without region and area need no join at all. Queries that sum
+lines by place take the lines and ``places`` apart, and sum first. Only where lines themselves are
+the result do they meet their places, in a counted lookup join: after a plain join on the
+territory a grouping by territory would reuse its partitioning, and a hot territory would stay in
+one task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _places(spark: SparkSession, folder: str) -> DataFrame:
+def places(spark: SparkSession, folder: str) -> DataFrame:
     """Area and region of a territory; AREA_ID is NULL for suppliers with a negative balance."""
     supplier = table(spark, folder, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
@@ -68,7 +70,7 @@ def quality_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _placed(lines: DataFrame, folder: str) -> DataFrame:
-    return lookup_join(lines, _places(lines.sparkSession, folder), "TERRITORY_ID")
+    return lookup_join(lines, places(lines.sparkSession, folder), "TERRITORY_ID")
 
 
 def survey(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,19 +81,25 @@ def survey_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _placed(quality_lines(spark, folder), folder)
 
 
-def survey_with_circle(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``survey_quality``, with the two text ids that come from the order.
+def circle_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``quality_lines``, with the key of their order."""
+    return _lines(spark, folder, *_dirty_measures(), *_ship_period(), "l_orderkey")
 
-    Orders outgrow any broadcast. Nothing downstream groups by order, so that AQE is free to
-    split a skewed partition of this join.
-    """
-    lines = _lines(spark, folder, *_dirty_measures(), *_ship_period(), "l_orderkey")
-    orders = table(spark, folder, "orders").select(
+
+def circles(spark: SparkSession, folder: str) -> DataFrame:
+    """The two text ids that come from an order."""
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_orderpriority").alias("SURVEY_CIRCLE_ID"),
         F.col("o_custkey").cast("string").alias("PRS_ID"),
     )
-    return _placed(lines, folder).join(orders, "l_orderkey").drop("l_orderkey")
+
+
+def with_circle(lines: DataFrame, folder: str) -> DataFrame:
+    """A few ``circle_lines`` with their place and the ids of their order."""
+    spark = lines.sparkSession
+    placed = lines.join(places(spark, folder), "TERRITORY_ID")
+    return placed.join(circles(spark, folder), "l_orderkey").drop("l_orderkey")
 
 
 def text_period_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,10 +112,6 @@ def text_period_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder, *_dirty_measures(), years, F.coalesce(broken, month))
 
 
-def survey_text_periods(spark: SparkSession, folder: str) -> DataFrame:
-    return _placed(text_period_lines(spark, folder), folder)
-
-
 def product(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     return _product_columns(part, F.col("p_name"))
@@ -182,7 +186,7 @@ def sales_history(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("TERRITORY_ID", "YEAR_NO", "MONTH_NO")
         .agg(F.sum(F.col("SALES_QTY") * F.col("UNIT_PRICE")).alias("SalesAmount"))
     )
-    return amounts.join(_places(spark, folder), "TERRITORY_ID").select(
+    return amounts.join(places(spark, folder), "TERRITORY_ID").select(
         F.col("REGION_ID").alias("Region"),
         F.col("AREA_ID").alias("Area"),
         F.col("TERRITORY_ID").alias("Territory"),

@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from checks.compare import local_session  # noqa: E402
+from salesops.plans.lineage import release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,6 +18,7 @@ def spark():
     session = local_session(4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -91,15 +91,24 @@ class FakeContext:
 
 
 def fake_session(master: str, named: str | None):
-    return SimpleNamespace(conf={"spark.checkpoint.dir": named}, sparkContext=FakeContext(master))
+    conf = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "/shared/warehouse"}
+    return SimpleNamespace(conf=conf, sparkContext=FakeContext(master))
 
 
 def test_shared_folder_comes_from_the_session():
     assert lineage.shared_dir(fake_session("spark://m:7077", "/shared/x")) == "/shared/x"
-    with pytest.raises(ValueError):
-        lineage.shared_dir(fake_session("spark://m:7077", None))
-    local = fake_session("local[2]", None)
-    assert lineage.shared_dir(local) == lineage.shared_dir(local) == local.sparkContext.folder
+    for master in ("spark://m:7077", "local[2]"):
+        assert lineage.shared_dir(fake_session(master, None)) == "/shared/warehouse/_scratch"
+
+
+def test_released_folders_are_gone(spark):
+    path = lineage.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    kept, lineage._made[:] = lineage._made[:-1], [path]
+    lineage.release(spark)
+    lineage._made[:] = kept
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_scratch_paths_differ(spark):

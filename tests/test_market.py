@@ -87,12 +87,28 @@ def test_tree_counts_roots_and_attached(nodes):
     assert roots + attached == len(NODES)
 
 
-def test_tree_of_first_nodes_and_depth_bound(nodes):
+def test_tree_of_first_nodes(nodes):
     cut = {r["FIELD_ID"]: r for r in hierarchy.market_tree(nodes, max_nodes=3).collect()}
     # Level, then name: the two roots and North; every child of a cut parent would be a root.
     assert sorted(cut) == ["f1", "f2", "f3"]
-    shallow = {r["FIELD_ID"]: r for r in hierarchy.market_tree(nodes, max_depth=1).collect()}
-    assert shallow["f5"]["reachable"]
+
+
+def test_a_deep_chain_is_followed_to_its_end(spark):
+    chain = [(f"f{i}", f"n{i}", i, f"c{i - 1}" if i else None, f"c{i}") for i in range(60)]
+    found = {r["FIELD_ID"]: r for r in hierarchy.market_tree(spark.createDataFrame(chain, MARKET_SCHEMA)).collect()}
+    assert found["f59"]["depth"] == 59 and found["f59"]["root_code"] == "c0"
+    assert all(r["reachable"] for r in found.values())
+    path = hierarchy.hierarchy_path(spark.createDataFrame(chain, MARKET_SCHEMA), "f59", 50).collect()
+    assert [r["FIELD_ID"] for r in path] == [f"f{59 - i}" for i in range(51)]
+
+
+def test_closure_is_the_path_of_every_node(nodes):
+    """Rows that share a code are all followed, each as often as there are ways to it."""
+    closure = sorted((r["node_id"], r["depth"], r["ancestor_id"]) for r in hierarchy.hierarchy_closure(nodes, 4).collect())
+    paths = []
+    for field in sorted({n[0] for n in NODES}):
+        paths += [(field, r["depth"], r["FIELD_ID"]) for r in hierarchy.hierarchy_path(nodes, field, 4).collect()]
+    assert closure == sorted(paths)
 
 
 def test_walks_with_large_lookups(nodes, monkeypatch):

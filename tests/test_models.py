@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesops.models import sequence, trees, trend
-from salesops.models.grouped import fit_grouped
+from salesops.models.grouped import fit_grouped, forecast_grouped
 from salesops.operators import series
 from salesops.plans import evaluation, forecasting, training, views
 from salesops.plans.lineage import scratch_path
@@ -156,9 +156,9 @@ def small_trees(spark, data):
 
 def test_tree_recursion_matches_brute_force(spark, data, small_trees):
     params, features, model = small_trees
-    per_key = trees.fit_mean(features, "region")
-    means = {r["Region"]: r["mean_y"] for r in per_key.collect()}
-    found = trees.forecast_trees(data, per_key, model, "region", params, 4).orderBy("Region", "ds").collect()
+    per_key = trees.fit_keys(features, "region", params)
+    means = {r["Region"]: r["scale"] for r in per_key.collect()}
+    found = trees.forecast_trees(data, per_key, model, "region", 4).orderBy("Region", "ds").collect()
     for region, values in ((1, wave(48)), (2, wave(30, 900.0)), (3, wave(13))):
         history = list(values)
         for step in range(4):
@@ -174,8 +174,8 @@ def test_tree_recursion_matches_brute_force(spark, data, small_trees):
 
 def test_trees_fit_better_than_the_mean(data, small_trees):
     params, features, model = small_trees
-    per_key = trees.fit_mean(features, "region")
-    fitted = evaluation.evaluate_trees(features, per_key, model, "region", params)
+    per_key = trees.fit_keys(features, "region", params)
+    fitted = evaluation.evaluate_trees(features, per_key, model, "region")
     means = evaluation.evaluate_mean(features, "region")
     better = {r["Region"]: r["rmse"] for r in fitted.collect()}
     plain = {r["Region"]: r["rmse"] for r in means.collect()}
@@ -189,11 +189,12 @@ def test_unknown_history_leaves_a_key_out(spark, small_trees):
     holes = wave(20)
     holes[-5] = None
     data = make(spark, {1: holes, 2: wave(20)})
-    per_key = spark.createDataFrame([(1, 100.0, 8), (2, 100.0, 8)], "Region int, mean_y double, n_obs long")
+    columns = "Region int, mean_y double, n_obs long, scale double, mean_below int"
+    per_key = spark.createDataFrame([(1, 100.0, 8, 100.0, 0), (2, 100.0, 8, 100.0, 0)], columns)
     # One step reads lags 1, 2, 3, 6 and 12: the hole five back is not read yet.
-    one = trees.forecast_trees(data, per_key, model, "region", params, 1)
+    one = trees.forecast_trees(data, per_key, model, "region", 1)
     assert sorted(r[0] for r in rows(one.select("Region"))) == [1, 2]
-    two = trees.forecast_trees(data, per_key, model, "region", params, 2)
+    two = trees.forecast_trees(data, per_key, model, "region", 2)
     assert {r[0] for r in rows(two.select("Region"))} == {2}
 
 
@@ -202,8 +203,8 @@ def test_trees_survive_a_store(spark, data, small_trees):
     path = scratch_path(spark, "trees")
     trees.save_trees(model, path)
     again = trees.load_trees(spark, path)
-    per_key = trees.fit_mean(features, "region")
-    before = rows(trees.forecast_trees(data, per_key, model, "region", params, 2).orderBy("Region", "ds"))
+    per_key = trees.fit_keys(features, "region", params)
+    before = rows(trees.forecast_trees(data, per_key, model, "region", 2).orderBy("Region", "ds"))
     after = rows(trees.forecast_trees(data, per_key, again, "region", params, 2).orderBy("Region", "ds"))
     assert before == after
 
@@ -213,8 +214,7 @@ def test_trees_survive_a_store(spark, data, small_trees):
 
 def test_lifecycle(spark, data):
     path = scratch_path(spark, "life")
-    short = trees.TreeParams(rounds=3, step=0.3, depth=3, leaf_rows=1, bins=32)
-    params = {"trees_a": None, "trees_b": short}
+    params = {"trees_a": SHORT, "trees_b": SHORT}
     trained = {}
     for model in training.MODELS:
         assert training.forecast(data, path, "region", model).count() == 0
@@ -223,17 +223,20 @@ def test_lifecycle(spark, data):
         trained[model] = sorted(r["Region"] for r in report.collect())
     assert trained == {"trend": [1, 2, 3, 4, 5], "trees_a": [1, 2, 3], "trees_b": [1, 2, 3], "sequence": [1, 2, 3]}
     for model in training.MODELS:
-        forecast = training.forecast(data, path, "region", model, 4, {"Region": 1}, params.get(model))
+        forecast = training.forecast(data, path, "region", model, 4, {"Region": 1})
         assert forecast.columns == ["Region", "ds", "yhat", "yhat_lower", "yhat_upper"]
         found = rows(forecast.select("Region", "ds").orderBy("ds"))
         assert found == [(1, month(48 + i)) for i in range(4)]
-        assert training.evaluate(data, path, "region", model, params.get(model)).count() == len(trained[model])
-    compared = {r["model"]: r["groups"] for r in training.compare(data, path, "region", params=params).collect()}
+        assert training.evaluate(data, path, "region", model).count() == len(trained[model])
+    compared = {r["model"]: r["groups"] for r in training.compare(data, path, "region").collect()}
     assert compared == {"trend": 5, "trees_a": 3, "trees_b": 3}
     with pytest.raises(ValueError):
         training.train(data, path, "region", "forest")
 
 
+SHORT = trees.TreeParams(rounds=2, step=0.3, depth=2, leaf_rows=1, bins=32)
+
+
 def test_training_on_nothing(spark, data):
     path = scratch_path(spark, "life")
     empty = data.filter("false")
@@ -242,6 +245,73 @@ def test_training_on_nothing(spark, data):
         assert training.forecast(empty, path, "region", model).count() == 0
 
 
+def test_training_on_nothing_replaces_the_models(spark, data):
+    path = scratch_path(spark, "life")
+    for model in training.MODELS:
+        assert training.train(data, path, "region", model, params=SHORT).count() > 0
+        assert training.train(data.filter("false"), path, "region", model, params=SHORT).count() == 0
+        assert training.forecast(data, path, "region", model).count() == 0
+        assert training.evaluate(data, path, "region", model).count() == 0
+
+
+def test_reasons_for_nothing(spark, data):
+    survey = spark.createDataFrame([(2020, None), (2020, 1)], "YEAR_NO int, MONTH_NO int")
+    path = scratch_path(spark, "life")
+    report = training.train(data.filter("false"), path, "region", "trend")
+    assert rows(training.with_reason(report, survey, "region")) == [(None, None, "no data", 2, 1)]
+    forecast = training.forecast(data, path, "region", "trend")
+    found = training.with_reason(forecast, survey, "region", "no models").first()
+    assert (found["status"], found["rows_all"], found["Region"]) == ("no models", 2, None)
+    trained = training.with_reason(training.train(data, path, "region", "trend"), survey, "region").collect()
+    assert {r["status"] for r in trained} == {"ok"} and {r["rows_with_period"] for r in trained} == {1}
+
+
+def test_a_model_that_does_not_load_is_reported(spark, data):
+    path = scratch_path(spark, "life")
+    training.train(data, path, "region", "trees_b", params=SHORT)
+    training.train(data, path, "region", "trend")
+    folder = modelstore.load_models(spark, f"{path}/models", "region", "trees_b").first()["ensemble"]
+    spark.range(1).write.mode("overwrite").parquet(folder)
+    assert training.forecast(data, path, "region", "trees_b").count() == 0
+    found = training.evaluate_all(data, path, "region", ("trend", "trees_a", "trees_b")).collect()
+    status = {r["model"]: r["status"] for r in found}
+    assert status["trend"] == "ok" and status["trees_a"] == "no models"
+    assert status["trees_b"].startswith("error: ")
+    assert sum(r["model"] == "trend" for r in found) == 5
+
+
+def test_the_rule_for_short_keys_is_stored(spark, data):
+    path = scratch_path(spark, "life")
+    always_mean = trees.TreeParams(rounds=2, step=0.3, depth=2, leaf_rows=1, bins=32, mean_below=1000)
+    training.train(data, path, "region", "trees_b", params=always_mean)
+    found = training.forecast(data, path, "region", "trees_b", 2).filter("Region = 1").collect()
+    assert {round(r["yhat"], 6) for r in found} == {round(float(np.mean(wave(48)[12:])), 6)}
+
+
+def test_trees_are_repeated_exactly(data):
+    params = trees.TreeParams(
+        rounds=8, step=0.3, depth=4, leaf_rows=1, bins=32, row_share=0.7, column_share="0.5"
+    )
+    first = rows(forecasting.tree_forecast(data, "region", params, 3).orderBy("Region", "ds"))
+    shuffled = data.repartition(7, "ds")
+    assert rows(forecasting.tree_forecast(shuffled, "region", params, 3).orderBy("Region", "ds")) == first
+
+
+def test_returns_do_not_rule_the_pooled_trees(spark):
+    """A key whose values cancel out is scaled by their size, not by their mean."""
+    features = trees.train_rows(make(spark, {1: [(-1) ** i * 100.0 + i / 100 for i in range(40)]}), "region")
+    found = trees.fit_keys(features, "region", SHORT).first()
+    assert abs(found["mean_y"]) < 2 and found["scale"] == pytest.approx(100, rel=0.01)
+
+
+def test_a_long_horizon_is_cut(spark, data, small_trees):
+    params, features, model = small_trees
+    per_key = trees.fit_keys(features, "region", params)
+    long = trees.forecast_trees(data, per_key, model, "region", 26).filter("Region = 1").orderBy("ds").collect()
+    short = trees.forecast_trees(data, per_key, model, "region", 11).filter("Region = 1").orderBy("ds").collect()
+    assert [r["yhat"] for r in long[:11]] == pytest.approx([r["yhat"] for r in short]) and len(long) == 26
+
+
 # --- sequence and the hook -------------------------------------------------------------------
 
 
@@ -278,6 +348,26 @@ def test_own_library_per_key(data):
     ]
 
 
+def test_own_library_forecasts_and_scores(data):
+    models = fit_grouped(
+        data, "region", lambda g: {"first": float(g["y"].iloc[0]), "last": float(g["y"].iloc[-1])},
+        "first double, last double", min_rows=13,
+    )
+
+    def ahead(rows: pd.DataFrame, model: pd.Series) -> pd.Series:
+        assert list(rows["ds"]) == sorted(rows["ds"])
+        return pd.Series(model["last"], index=rows.index) + np.arange(1, len(rows) + 1)
+
+    forecast = forecast_grouped(data, models, "region", ahead, 2).orderBy("Region", "ds").collect()
+    assert [(r["Region"], r["ds"]) for r in forecast[:2]] == [(1, month(48)), (1, month(49))]
+    assert [r["yhat"] for r in forecast[:2]] == [wave(48)[-1] + 1, wave(48)[-1] + 2]
+    assert len(forecast) == 6 and all(r["yhat"] == r["yhat_lower"] == r["yhat_upper"] for r in forecast)
+    score = evaluation.evaluate_grouped(data, models, "region", lambda rows, model: rows["y"] * 0 + model["first"])
+    found = {r["Region"]: r["mae"] for r in score.collect()}
+    assert found[2] == pytest.approx(np.mean(np.abs(np.array(wave(30, 900.0)) - wave(30, 900.0)[0])))
+    assert sorted(found) == [1, 2, 3]
+
+
 # --- views -----------------------------------------------------------------------------------
 
 

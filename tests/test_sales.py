@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salesops.operators import joins, product, sales
+from salesops.operators import joins, product, quantiles, sales, series
 from salesops.sources import starschema as star
 from salesops.scopes import PRODUCT_SCHEMA, SURVEY_SCHEMA
 from tests.conftest import plan, rows
@@ -52,7 +53,7 @@ def test_price_change_limits_products_by_months(survey):
 
 def test_price_change_reads_the_facts_once(spark, small):
     text = plan(sales.price_change_mom(star.quality_lines(spark, small)))
-    assert text.count("FileScan") == 1
+    assert "lineitem" not in text and text.count("monthly-prices") == text.count("FileScan") == 2
     assert "TakeOrderedAndProject" in text
 
 
@@ -63,7 +64,7 @@ def test_ranked_lists_do_not_sort_everything(spark, small):
 
 
 @pytest.mark.parametrize("kind", ["int", "bigint"])
-def test_period_filters_reach_the_scan(spark, small, tmp_path, kind):
+def test_period_filters_reach_the_scan(spark, small, tmp_path, kind, monkeypatch):
     lines = star.quality_lines(spark, small).withColumns(
         {"YEAR_NO": F.col("YEAR_NO").cast(kind), "MONTH_NO": F.col("MONTH_NO").cast(kind)}
     )
@@ -73,6 +74,7 @@ def test_period_filters_reach_the_scan(spark, small, tmp_path, kind):
     assert "(YEAR_NO#" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     assert "EqualTo(MONTH_NO,5)" in text
     assert rows(sales.top_products(stored, 1998, 5)) == rows(sales.top_products(lines, 1998, 5))
+    monkeypatch.setattr(sales, "written", lambda df, name: df)
     text = plan(sales.price_change_mom(stored, start_year=1997, end_year=1998))
     assert "(YEAR_NO#" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
 
@@ -156,12 +158,54 @@ def test_results_do_not_depend_on_partitions(spark, small):
 
 
 def test_places_by_salted_join(spark, small):
-    lines, places = star.quality_lines(spark, small), star._places(spark, small)
+    lines, places = star.quality_lines(spark, small), star.places(spark, small)
     salted = joins.lookup_join(lines, places, "TERRITORY_ID", max_broadcast_rows=0)
     expected = rows(sales.region_summary(star.survey_quality(spark, small)).select("TERRITORY_ID", "total_qty"))
     assert rows(sales.region_summary(salted).select("TERRITORY_ID", "total_qty")) == expected
 
 
+def test_lines_are_summed_before_they_meet_their_places(spark, small):
+    lines, places = star.quality_lines(spark, small), star.places(spark, small)
+    whole = star.survey_quality(spark, small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for operator, options in (
+            (sales.region_summary, {}),
+            (sales.monthly_trend, {"region_id": "2"}),
+            (sales.rolling_qty, {}),
+            (sales.region_avg_price, {}),
+            (series.scope_series, {"scope": "area"}),
+        ):
+            apart = operator(lines, places=places, **options)
+            text = plan(apart)
+            assert text.count("lineitem.parquet") == 1
+            above = text[: text.index("lineitem.parquet")]
+            assert "partial_sum" in above[above.rindex("Join") :]
+            found = [[round(v, 4) if isinstance(v, float) else v for v in r] for r in rows(apart)]
+            expected = [[round(v, 4) if isinstance(v, float) else v for v in r] for r in rows(operator(whole, **options))]
+            assert sorted(found, key=repr) == sorted(expected, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(sales.sales_summary(lines, places=places)) == rows(sales.sales_summary(whole))
+
+
+def test_only_the_newest_lines_are_joined(spark, small):
+    lines = star.circle_lines(spark, small)
+    text = plan(sales.sales_sample(lines, 5, lambda newest: star.with_circle(newest, small)))
+    assert text.index("Join") < text.rindex("TakeOrderedAndProject")
+
+
+@pytest.mark.parametrize("least", [1, 40])
+def test_quantiles_of_a_narrow_band_beside_an_outlier(spark, monkeypatch, least):
+    """All but one value fall into one cell of the first histogram; it is divided until it is small."""
+    monkeypatch.setattr(quantiles, "ORDERED_VALUES", least)
+    monkeypatch.setattr(quantiles, "CELLS", 16)
+    values = [1e300] + [1.0 + i * 1e-9 for i in range(3000)] + [5.0] * 700 + [-3.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = quantiles.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.9, 1.0]).first()
+    assert found["quantiles"] == pytest.approx(list(np.quantile(values, [0.0, 0.1, 0.5, 0.9, 1.0])), rel=1e-15)
+
+
 @pytest.fixture(scope="module")
 def master(spark):
     return spark.createDataFrame(
