@@ -237,10 +237,11 @@ def find(
     near = F.when(F.size("spans") > 0, F.flatten(F.transform("spans", beside))).otherwise(none)
     rows = written(rows.withColumn("near", near).select("doc_id", "text_key", "spans", "near"), "pii-spans")
     beside_one = rows.select("doc_id", "text_key", F.explode("near").alias("w")).select("doc_id", "text_key", "w.*")
-    together = beside_one.groupBy("entity", "term", "doc_id", "text_key").agg(F.min("context").alias("context"))
-    together = together.groupBy("entity", "term").agg(
-        F.count("*").alias("both"), (F.min("context") < F.max("context")).alias("varied")
-    )
+    # A document counts once for a pair, however often the two stand together in it.
+    pairs = F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))
+    counted = rows.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
+    varied = (F.min("context") < F.max("context")).alias("varied")
+    together = counted.join(beside_one.groupBy("entity", "term").agg(varied), ["entity", "term"])
     asked = written(together.filter((F.col("both") >= min_docs) & F.col("varied")), "pii-pairs")
     judged = written(_judged(docs, rows, asked, generalise_from, remove_from), "pii-terms")
     hits = beside_one.join(judged, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end")

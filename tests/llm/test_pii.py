@@ -3,9 +3,12 @@ from __future__ import annotations
 import hashlib
 import re
 
+import duckdb
 import pytest
 
+from checks.compare import connect, differences
 from salesops.llm import pii
+from salesops.llm.oracle import oracle_sql
 from salesops.llm.queries import personal_data
 from tests.llm.conftest import ODD
 
@@ -103,6 +106,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[200] == text[200]
 
 
+def test_matches_sql(spark, small, tmp_path):
+    assert differences(personal_data(spark, small), connect(small), oracle_sql()["op3_pii"]) == []
+    docs = people(spark).unionByName(spark.createDataFrame(list(enumerate(TRICKY[:6], 900)), "doc_id long, text string"))
+    docs = docs.unionByName(docs.limit(20)).cache()
+    docs.write.parquet(str(tmp_path / "documents"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    found = pii.digest(pii.find(docs))
+    assert found.filter("spans LIKE '%term%'").count() >= 6
+    assert differences(found, connection, oracle_sql()["op3_pii"]) == []
+
+
 def test_copies_alone_give_nothing_away(spark):
     docs = [(i, "Quibbledash may be reached at q@mail.org from noon") for i in range(30)]
     docs += [(100 + i, f"plain text number{i}") for i in range(50)]
