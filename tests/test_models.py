@@ -205,7 +205,7 @@ def test_trees_survive_a_store(spark, data, small_trees):
     again = trees.load_trees(spark, path)
     per_key = trees.fit_keys(features, "region", params)
     before = rows(trees.forecast_trees(data, per_key, model, "region", 2).orderBy("Region", "ds"))
-    after = rows(trees.forecast_trees(data, per_key, again, "region", params, 2).orderBy("Region", "ds"))
+    after = rows(trees.forecast_trees(data, per_key, again, "region", 2).orderBy("Region", "ds"))
     assert before == after
 
 
