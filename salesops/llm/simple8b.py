@@ -48,9 +48,9 @@ CHUNK = 65_536
 # A block is closed once it holds so many ids; a document is never split.
 BLOCK_TOKENS = 262_144
 # Characters of text tokenised at a time, but one document at least.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 # Words whose ids a worker keeps from one portion to the next.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, doc_ids array<long>, lengths array<long>, n_tokens long, "
