@@ -87,7 +87,7 @@ class Features:
         counts: dict[str, int] = {}
         for w in words:
             counts[w] = counts.get(w, 0) + 1
-        if len(self.looks) > 200_000:
+        if len(self.looks) > 30_000:
             self.looks.clear()
         looks: dict[str, int] = {}
         names = set()
@@ -241,7 +241,7 @@ def _placed(found: DataFrame, hashes, tasks: int) -> DataFrame:
                 names=["grades", "offsets", "places"],
             )
 
-    spread = found.repartition(tasks, F.xxhash64("features"))
+    spread = found.repartition(tasks)
     return written(spread.mapInArrow(rows, "grades array<int>, offsets array<long>, places array<int>"), "examples")
 
 
