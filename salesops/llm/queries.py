@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesops.llm import decontaminate, html, mixing, pii, quality, simhash, simple8b, tokencounts, topk, urls
-from salesops.llm.common import table
+from salesops.llm.common import table, written
 from salesops.plans.lineage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,12 +66,14 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("1-load", inserts)
     text = F.sha2(F.coalesce("text", F.lit("")), 256)
     first = docs.select("doc_id", text.alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # Written, so that a text with very many copies is a skewed join that Spark can split.
+    first = written(first, "first-of-text")
     marked = docs.withColumn("digest", text).join(first, "digest")
     copies = marked.filter("doc_id != first").select(
         F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("tokenizer"), "source", "lang",
         F.lit(0).alias("tokens"), F.lit(0).alias("chars"),
     )
-    store.commit("2-copies", copies)
+    store.commit("2-copies", written(copies, "copies"))
     licensed = docs.filter(F.col("text").rlike(LICENCE))
     licensed = licensed.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     cut = licensed.withColumn("text", F.regexp_replace("text", LICENCE, ""))
