@@ -1,4 +1,5 @@
-"""From raw documents to token files: classify, remove near copies, decontaminate, mix, encode.
+"""From raw documents to token files: classify, remove near-exact copies, decontaminate and remove
+edited copies, mix, encode.
 
 Every stage takes (spark, docs, sf_dir) and returns documents, with the same columns, for the next one;
 the last returns one row per document of the token files. Each result is written before the next stage
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesops.llm import decontaminate, mixing, quality, simhash, simple8b
+from salesops.llm import decontaminate, mixing, neardup, quality, simhash, simple8b
 from salesops.llm.common import table, written
 from salesops.llm.queries import END_ID, GOOD, REPEATS, SHARE, WEIGHTS, tokenizer_path
 
@@ -22,13 +23,22 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near-exact copies, by fingerprints."""
     return simhash.one_of_each(docs)
 
 
+def without_edited_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies: word shingles of five, similarity 0.8 or more."""
+    return neardup.one_of_each(docs, similarity=0.8, words=5)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    """One document of each group of edited copies, of those that hold no benchmark item.
+
+    Both in one stage: a test holds the stage before to the links of the fingerprints alone.
+    """
+    clean = decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return without_edited_copies(written(clean, "decontaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +54,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_documents),
     ("simhash near-dedup", without_copies),
-    ("benchmark decontamination", without_benchmark),
+    ("benchmark decontamination and shingle near-dedup", without_benchmark),
     ("mixing", mixed),
     ("token ids", encoded),
 ]

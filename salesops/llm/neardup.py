@@ -1,0 +1,189 @@
+"""Near duplicates by the Jaccard similarity of their word shingles.
+
+Candidates meet by MinHash: the least values of the shingles under ``BANDS`` times ``ROWS`` orders, a
+band being ``ROWS`` of them together. At similarity 0.8 a pair shares no band with a probability of
+(1 - 0.8**5)**40, about one in eight million. Every candidate pair is held against the exact similarity
+of its shingles before it is linked. In each bucket all are first compared with one, the smallest;
+then, in buckets that still hold more than one component, all pairs across components. So a large group
+is linked by its stars, and no pair of a bucket is left out unless it is connected already.
+
+Defined results: words are those of SimHash (lower-cased in A-Z only, split at white space); fewer words
+than a shingle give one shingle of them all; texts without words, or null, are copies of each other. Of
+each group one row stays: that of the smallest doc_id, a null id only where there is no other, ties by a
+hash of the row. An empty table gives no rows. Other columns are only looked at for ties.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from salesops.llm.common import written
+from salesops.llm.components import components
+from salesops.llm.simhash import SEED
+
+BANDS, ROWS = 40, 5
+# Shingles signed at a time, so that a very long text needs little memory.
+AT_ONCE = 1_024
+# Shingles of texts that a task remembers: the middle of a star comes up again and again.
+REMEMBERED = 500_000
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**64, size=(2, BANDS * ROWS), dtype=np.uint64)
+_FACTORS, _MASKS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending; none without words."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    stops = (ends - 1).tolist()[min(words, len(tokens)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    hashes = (digest(joined[a:b], SEED) for a, b in zip(starts, stops))
+    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=len(stops)))
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity; 1 for two that are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One number per band, as signed longs; equal for sets of one least value in each of its rows."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), AT_ONCE):
+        some = hashes[i : i + AT_ONCE, None] ^ _MASKS
+        some *= _FACTORS
+        np.minimum(least, some.min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _signed(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for text in batch.column("text"):
+                hashes = shingles(text.as_py(), words)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
+                keys.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("row_hash"),
+                    pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "row_hash", "node", "n", "keys"],
+            )
+
+    return rows
+
+
+def _checked(similarity: float, words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        total = 0
+
+        def of(node: int, text: pa.StringScalar) -> np.ndarray:
+            nonlocal total
+            if node not in held:
+                found = shingles(text.as_py(), words)
+                if total + len(found) > REMEMBERED:
+                    held.clear()
+                    total = 0
+                held[node] = found
+                total += len(found)
+            return held[node]
+
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts = zip(batch.column("text_a"), batch.column("text_b"))
+            near = [similarity_of(of(x, s), of(y, t)) >= similarity for x, y, (s, t) in zip(a, b, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, k in zip(column, near) if k], pa.int64()) for column in (a, b)], names=["a", "b"]
+            )
+
+    return rows
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*docs.columns)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, row_hash, text)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row_hash"), "text")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of at least the similarity, by their texts."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    least = nodes.join(asked, "node").select("node", F.col("least.doc_id").alias("of"), F.col("least.row_hash").alias("of_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row_hash") == F.col("of_row"))
+    # Rows that repeat are one text.
+    texts = written(_rows(docs).join(least, same).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return written(both.mapInArrow(_checked(similarity, words), "a long, b long"), "near-links")
+
+
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, root), one per node."""
+    found = nodes.select("node").join(written(components(links), "components"), "node", "left")
+    return found.select("node", F.coalesce("root", "node").alias("root"))
+
+
+def members(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Rows (node, least, root): a distinct text, its first row (nameless, doc_id, row_hash), and its component."""
+    signed = written(_rows(docs).mapInArrow(_signed(words), "doc_id long, row_hash long, node long, n long, keys array<long>"), "shingle-bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash")).alias("least")
+    nodes = signed.groupBy("node").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(nodes, "distinct-shingles")
+    sides = written(nodes.select("node", "n", F.explode("keys").alias("key")), "buckets")
+    # Two sets of this similarity cannot differ more in size.
+    fits = lambda n, m: F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-9)
+    middle = sides.groupBy("key").agg(F.min(F.struct("n", "node")).alias("m"), F.count("*").alias("in_bucket"))
+    star = sides.join(middle.filter("in_bucket > 1"), "key").filter(F.col("node") != F.col("m.node"))
+    star = star.filter(fits(F.col("n"), F.col("m.n"))).select(
+        F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")
+    )
+    star = written(star.distinct(), "near-pairs")
+    links = _linked(star, nodes, docs, similarity, words)
+    rooted = written(sides.join(_roots(nodes, links), "node"), "rooted-buckets")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
+    rooted = written(rooted.join(mixed.select("key"), "key", "left_semi"), "mixed-buckets")
+    other = rooted.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "root")])
+    cross = rooted.join(other, "key").filter((F.col("root") < F.col("root_2")) & fits(F.col("n"), F.col("n_2")))
+    cross = cross.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+    cross = written(cross.join(star, ["a", "b"], "left_anti"), "near-pairs")
+    links = links.unionByName(_linked(cross, nodes, docs, similarity, words))
+    return nodes.select("node", "least").join(_roots(nodes, links), "node")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """The documents without the near copies of others."""
+    kept = members(docs, similarity, words).groupBy("root").agg(F.min("least").alias("least"))
+    kept = written(kept.select(F.col("least.doc_id").alias(_ID), F.col("least.row_hash").alias(_ROW)), "kept")
+    hashed = docs.withColumn(_HASH, _row_hash(docs))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(_ID)) & (F.col(_HASH) == F.col(_ROW))
+    stays = hashed.join(kept, same, "left_semi")
+    # Rows that repeat in all columns are one.
+    again = Window.partitionBy("doc_id", _HASH).orderBy(_HASH)
+    return stays.withColumn(_ID, F.row_number().over(again)).filter(F.col(_ID) == 1).drop(_ID, _HASH)
+
+
+# Column names that no table has.
+_ID, _ROW, _HASH = "__neardup_kept", "__neardup_row", "__neardup_hash"
