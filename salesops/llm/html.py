@@ -6,8 +6,12 @@ text lengths, without link text, are summed over sliding windows of lines. The a
 sums surge and ends where they dive to nothing; the text between is kept, in page order. Where the page
 marks its article, or its main part, the windows slide over its lines only, and any text there is a surge.
 
-Defined results: null or empty html, and pages without text, give an empty text; unclosed elements end
-where their parent ends; stray end tags are skipped; character references are decoded; white space inside a line
+What would be taken out stays where it holds the longest article or main part, or most of the unlinked text of
+a page whose article is no surge without it; what is hidden never does. A name of a class, id or role marks as a whole:
+has-sidebar or comments-open do not.
+
+Defined results: null or empty html, and pages without text, give an empty text; p, li, dd, dt, tr, td and the like
+end at the start tags that HTML ends them at, other unclosed elements where their parent ends; stray end tags are skipped; character references are decoded; white space inside a line
 becomes one space, ``br`` counts as white space; lines are joined by two line feeds. Repeated rows give the
 same text each; an empty table gives no rows; other columns stay out of it.
 """
@@ -15,6 +19,7 @@ same text each; an empty table gives no rows; other columns stay out of it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,8 +33,9 @@ SURGE = 86
 # Elements by how they are treated.
 RAW = frozenset("script style noscript template iframe object svg math textarea title noembed noframes xmp".split())
 DROPPED = frozenset(
-    "head nav aside form button select option datalist fieldset dialog menu canvas audio video map input".split()
+    "nav aside form button select option datalist fieldset dialog menu canvas audio video map input".split()
 )
+GONE = frozenset(("head",))
 OUTER = frozenset("header footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -53,88 +59,187 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
+# What may stand before or after a marking word in a name of several words. Other names
+# with such a word, like has-sidebar or comments-open, tell of the page around it.
+BEFORE = frozenset(
+    "site page main primary secondary top bottom left right global social cookie post article blog entry user "
+    "google text display the js block inline sticky floating email".split()
+) | MARKED
+AFTER = frozenset(
+    "box bar block list area section container wrapper wrap inner outer panel links link buttons button icons icon "
+    "form item items slot unit top bottom left right main primary secondary text title header body "
+    "message overlay popup".split()
+) | MARKED
+# Words of a layout or a state; a name that holds one marks nothing.
+STATE = frozenset(
+    "has no with without is not open closed enabled disabled layout content result results page template".split()
+)
 
+# Elements that a start tag ends where they are open, and the elements beyond which it does not look.
+_BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
+    "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section search summary table ul li dd dt".split()
+)
+_CLOSES = {tag: ("p",) for tag in _BLOCKS} | {
+    "body": ("head",),
+    "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"),
+    "tr": ("tr", "td", "th", "caption", "colgroup"), "td": ("td", "th"), "th": ("td", "th"),
+    "thead": ("tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"),
+    "option": ("option",), "optgroup": ("option", "optgroup"), "rt": ("rt", "rp"), "rp": ("rt", "rp"),
+}
+_CLOSES["tbody"] = _CLOSES["tfoot"] = _CLOSES["thead"]
+# Elements beyond which a start tag does not look: those of the scope of p, or these.
+_SCOPE = frozenset("table td th caption button object html body".split())
+_ITEMS = (_BLOCKS - frozenset("address div p li dd dt".split())) | _SCOPE
+_STOPS = {"li": _ITEMS, "dd": _ITEMS, "dt": _ITEMS, "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr"))} | {
+    tag: frozenset(("table",)) for tag in ("tr", "thead", "tbody", "tfoot")
+}
 
-def _marked(attributes: str) -> bool:
-    if not attributes:
+
+def _marks(name: str) -> bool:
+    """Whether a whole name of a class, an id or a role marks what is not the article."""
+    words = _WORD.findall(name)
+    if not MARKED.intersection(words) or STATE.intersection(words):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    for groups in _ATTRIBUTE.findall(attributes):
-        if MARKED.intersection(_WORD.findall("".join(groups).lower())):
-            return True
-    return False
+    first = next(i for i, w in enumerate(words) if w in MARKED)
+    last = len(words) - 1 - next(i for i, w in enumerate(reversed(words)) if w in MARKED)
+    return BEFORE.issuperset(words[:first]) and AFTER.issuperset(words[last + 1 :])
+
+
+def _marked(attributes: str) -> bool:
+    """Whether a class, an id or a role marks it."""
+    return any(_marks(name) for groups in _ATTRIBUTE.findall(attributes) for name in "".join(groups).lower().split())
 
 
 class _Lines:
-    """Lines of a page: [text, letters outside of links, number of the article around it]."""
+    """Lines of a page: pieces (text, in a link, number of the article around it, doubtful element around it).
+
+    A doubtful element is one that is dropped unless it turns out to hold the page's article. Number 0 is the page.
+    """
 
     def __init__(self) -> None:
-        self.done: list[tuple[str, int, int]] = []
-        self.parts: list[str] = []
-        self.plain = 0
-        self.article = 0
+        self.done: list[list[tuple[str, bool, int, int]]] = []
+        self.parts: list[tuple[str, bool, int, int]] = []
+        # Doubtful element around each doubtful one, and around each article.
+        self.around: list[int] = [0]
+        self.articles: list[int] = [0]
 
-    def text(self, piece: str, linked: bool) -> None:
+    def text(self, piece: str, linked: bool, article: int, doubt: int) -> None:
         if piece:
-            self.parts.append(piece)
-            if not linked:
-                self.plain += len(piece)
+            self.parts.append((piece, linked, article, doubt))
 
     def end(self) -> None:
         if self.parts:
-            text = " ".join(unescape("".join(self.parts)).split())
+            self.done.append(self.parts)
+            self.parts = []
+
+    def stays(self) -> list[bool]:
+        """Which doubtful elements stay: those that hold the longest article, or most unlinked text of the page.
+
+        Text alone does not count below half a surge, or where an article outside of them is a surge by itself.
+        """
+        plain, marked, alone = [0] * len(self.around), [0] * len(self.articles), 0
+        for line in self.done:
+            for piece, linked, article, doubt in line:
+                if not linked:
+                    letters = len("".join(piece.split()))
+                    plain[doubt] += letters
+                    marked[article] += letters if article else 0
+                    alone += letters if article and not doubt else 0
+        holds = [False] * len(self.around)
+        if max(marked):
+            holds[self.articles[marked.index(max(marked))]] = True
+        for i in range(len(self.around) - 1, 0, -1):
+            plain[self.around[i]] += plain[i]
+            holds[self.around[i]] |= holds[i]
+        stays = [True]
+        for i in range(1, len(self.around)):
+            most = 2 * plain[i] > max(plain[0], SURGE) and alone < SURGE
+            stays.append(stays[self.around[i]] and (holds[i] or most))
+        return stays
+
+    def kept(self) -> list[tuple[str, int, int]]:
+        """Lines as (text, letters outside of links, number of the article around it)."""
+        stays, out = self.stays(), []
+        for line in self.done:
+            parts = [part for part in line if stays[part[3]]]
+            text = " ".join(unescape("".join(part[0] for part in parts)).split())
             if text:
-                self.done.append((text, min(self.plain, len(text)), self.article))
-            self.parts, self.plain = [], 0
+                plain = sum(len(piece) for piece, linked, _, _ in parts if not linked)
+                out.append((text, min(plain, len(text)), parts[-1][2]))
+        return out
+
+
+def _ended(stack: list[tuple], tag: str) -> int:
+    """From which place on the stack a start tag ends what is open."""
+    targets, place = _CLOSES[tag], len(stack)
+    for i in range(len(stack) - 1, 0, -1):
+        name = stack[i][0]
+        if name in targets:
+            place = i
+        elif name in _STOPS.get(tag, _SCOPE):
+            break
+    return place
 
 
 def _lines(html: str) -> list[tuple[str, int, int]]:
-    """Strip the markup. The stack holds (element, dropped, number of its article, in a link)."""
-    lines, stack, articles, at = _Lines(), [("", False, 0, False)], 0, 0
+    """Strip the markup. The stack holds (element, dropped, number of its article, in a link, doubtful element)."""
+    lines, stack, at, opened = _Lines(), [("", False, 0, False, 0)], 0, Counter()
     position = 0
+
+    def cut(place: int) -> None:
+        opened.subtract(entry[0] for entry in stack[place:])
+        del stack[place:]
+
     while True:
         found = _TOKEN.search(html, position)
-        name, dropped, article, linked = stack[-1]
+        _, dropped, article, linked, doubt = stack[-1]
         piece = html[at : found.start() if found else len(html)]
         if not dropped:
-            lines.article = article
-            lines.text(piece, linked)
+            lines.text(piece, linked, article, doubt)
         if not found:
             break
         at = position = found.end()
         closing, tag, attributes = found.groups()
         if tag is None:
             if html.startswith("<![CDATA[", found.start()) and not dropped:
-                lines.text(html[found.start() + 9 : found.end() - 3], linked)
+                lines.text(html[found.start() + 9 : found.end() - 3], linked, article, doubt)
             continue
         tag = tag.lower()
         if tag not in INLINE:
             lines.end()
-        elif tag == "br":
-            lines.text(" ", True)
+        elif tag == "br" and not dropped:
+            lines.text(" ", True, article, doubt)
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    cut(i)
                     break
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = position = end.end() if end else len(html)
             continue
+        if any(opened[name] for name in _CLOSES.get(tag, ())):
+            cut(_ended(stack, tag))
+            _, dropped, article, linked, doubt = stack[-1]
         if tag in VOID or attributes.endswith("/"):
             continue
+        if not dropped and tag not in ("html", "body") and (tag in GONE or attributes and _HIDDEN.search(attributes)):
+            dropped = True
         if not dropped:
-            dropped = tag in DROPPED or tag in OUTER and not (tag == "header" and article) or (
+            if tag in DROPPED or tag in OUTER and not (tag == "header" and article) or (
                 tag not in ("html", "body") and _marked(attributes)
-            )
-            if tag in ("article", "main") and not dropped and not article:
-                articles += 1
-                article = articles
-        stack.append((tag, dropped, article, linked or tag == "a"))
+            ):
+                lines.around.append(doubt)
+                doubt = len(lines.around) - 1
+            if tag in ("article", "main"):
+                lines.articles.append(doubt)
+                article = len(lines.articles) - 1
+        stack.append((tag, dropped, article, linked or tag == "a", doubt))
+        opened[tag] += 1
     lines.end()
-    return lines.done
+    return lines.kept()
 
 
 def _between(sizes: list[int], surge: int) -> list[bool]:

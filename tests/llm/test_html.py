@@ -76,3 +76,35 @@ def test_odd_rows(spark):
     found = html.extract(frame).collect()
     assert sorted(r["text"] for r in found) == ["", "", "", "a"]
     assert html.extract(frame.filter("page_id > 5")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["has-sidebar", "right-sidebar", "comments-open", "widget-content", "no-banner", "search-result", "layout sidebar", "Widget"],
+)
+def test_containers_with_a_marking_word_keep_the_article(name):
+    page = f"<body><div class='{name}'><nav>Home</nav><article><p>{P1}</p></article><aside>More</aside></div></body>"
+    assert html.main_text(page) == P1
+    assert html.main_text(f"<body><div id='{name}'><p>{P1}</p><p>{P2}</p></div></body>") == f"{P1}\n\n{P2}"
+    assert html.main_text(f"<body><main><div role='{name}'><p>{P1}</p></div></main></body>") == P1
+
+
+def test_form_around_the_page_and_comments_that_are_articles():
+    page = f"<body><form><main><p>{P1}</p></main><div class='site-footer'>Imprint</div></form></body>"
+    assert html.main_text(page) == P1
+    comments = "".join(f"<article class='comment'>{P2}</article>" for _ in range(9))
+    assert html.main_text(f"<article><p>{P1}</p><div class='comment-list'>{comments}</div></article>") == P1
+
+
+@pytest.mark.parametrize("name", ["ad-box", "cookie-notice", "site-footer", "sidebar_widget", "share-buttons", "top-nav", "comments"])
+def test_marked_names_are_dropped(name):
+    assert html.main_text(f"<article><p>{P1}</p><div class='x {name}'>Gone</div></article>") == P1
+
+
+def test_implied_end_tags():
+    page = f"<article><p>{P1}<p class=ad>Buy<p>{P2}<ul><li>a<li class=ad>Buy<li>b</ul><p class=ad>Buy<div>c</div></article>"
+    assert html.main_text(page) == f"{P1}\n\n{P2}\n\na\n\nb\n\nc"
+    page = "<article><table><tr><td>a<td class=ad>Buy<td>b<tr class=ad><td>Buy<tr><td>c</table><dl><dt>d<dd class=ad>Buy<dt>e</dl></article>"
+    assert html.main_text(page) == "a\n\nb\n\nc\n\nd\n\ne"
+    nested = "<article><ul><li class=ad>Buy<ul><li>Buy</ul>Buy<li>kept</ul></article>"
+    assert html.main_text(nested) == "kept"
