@@ -1,14 +1,14 @@
 """Personal data: patterns, and terms that give away what the patterns find.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Blanking them is not enough
-where a word beside them tells who is meant. So the corpus is asked how much a term t in the context
-of a protected entity e (one found value) says about it: the share of e's information that t
+where a word of the same document tells who is meant. So the corpus is asked how much a term t in the
+documents of a protected entity e (one found value) says about it: the share of e's information that t
 discloses is PMI(e; t) / IC(e) = 1 - log p(e|t) / log p(e), from document counts. From a threshold on
 the term is generalised to its kind, from a higher one it is removed.
 
 All of it is DataFrame expressions; positions come from what stands between the matches of a
-pattern, summed up. Text itself is never shuffled: only contexts of found values and counts of
-words are.
+pattern, summed up. Text itself is never shuffled: only words of documents with found values and counts
+of words are.
 
 Defined results: a null text is empty and has no spans; starts and ends count code points, the end is
 exclusive; a kind's spans do not overlap each other, spans of different kinds may. Rows that repeat
@@ -160,32 +160,20 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], bare)
 
 
-def _context_terms(text: Column, span: Column, reach: int) -> Column:
-    """Whole words (start, end, value) within ``reach`` code points on either side of a span."""
-
-    def side(first: Column, past: Column) -> Column:
-        """Words between two places of the text; one more character shows which words are cut."""
-        begin, stop = F.greatest(first - 1, F.lit(0)), past + 1
-        piece = F.substring(text, begin + 1, stop - begin)
-
-        def inside(piece: Column) -> Column:
-            words = matches(piece, _WORDS)
-            moved = F.transform(
-                words,
-                lambda w: F.struct(
-                    (w["start"] + begin).cast("int").alias("start"),
-                    (w["end"] + begin).cast("int").alias("end"),
-                    w["value"].alias("value"),
-                ),
-            )
-            whole = lambda w: (w["start"] >= first) & (w["end"] <= past)
-            return F.filter(moved, whole)
-
-        return _let(piece, inside)
-
-    left = side(F.greatest(span["start"] - reach, F.lit(0)), span["start"])
-    right = side(span["end"], span["end"] + reach)
-    return F.concat(left, right)
+def _terms(text: Column, spans: Column, min_chars: int) -> Column:
+    """Words (term, start, end, value) of a text outside of its base spans."""
+    words = F.filter(
+        matches(text, _WORDS),
+        lambda w: (F.length(w["value"]) >= min_chars)
+        & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
+    )
+    return F.transform(
+        words,
+        lambda w: F.struct(
+            F.lower(w["value"]).alias("term"), w["start"].cast("int").alias("start"), w["end"].cast("int").alias("end"),
+            w["value"].alias("value"),
+        ),
+    )
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -196,7 +184,6 @@ def _key(docs: DataFrame) -> list[Column]:
 
 def find(
     docs: DataFrame,
-    reach: int = 48,
     min_chars: int = 4,
     min_docs: int = 3,
     generalise_from: float = 0.9,
@@ -204,55 +191,37 @@ def find(
 ) -> DataFrame:
     """Rows (doc_id, text_key, spans, terms): base spans, and terms (start, end, value, removed).
 
-    A term is a word of at least ``min_chars`` within ``reach`` code points of a base span and outside
-    of all base spans. It is judged by the entity it stands beside, if that is so in at least
-    ``min_docs`` documents and not always in one and the same context, which copies would show.
+    A term is a word of at least ``min_chars`` outside of all base spans, anywhere in a document that
+    has some. It is judged by each entity of the document, if the two share at least ``min_docs``
+    documents and not only copies of one text. What is judged is marked wherever it stands in the
+    documents that hold the entity.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*_key(docs), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    none = F.array().cast("array<struct<entity:string,context:bigint,term:string,start:int,end:int,value:string>>")
-
-    def beside(span: Column) -> Column:
-        words = _context_terms(F.col("text"), span, reach)
-        outside = F.filter(
-            words,
-            lambda w: (F.length(w["value"]) >= min_chars)
-            & ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
-        )
-        return _let(
-            outside,
-            lambda words: F.transform(
-                words,
-                lambda w: F.struct(
-                    entity(span).alias("entity"),
-                    F.xxhash64(F.array_join(F.transform(words, lambda x: x["value"]), " ")).alias("context"),
-                    F.lower(w["value"]).alias("term"),
-                    w["start"].alias("start"),
-                    w["end"].alias("end"),
-                    w["value"].alias("value"),
-                ),
-            ),
-        )
-
-    near = F.when(F.size("spans") > 0, F.flatten(F.transform("spans", beside))).otherwise(none)
-    rows = written(rows.withColumn("near", near).select("doc_id", "text_key", "spans", "near"), "pii-spans")
-    beside_one = rows.select("doc_id", "text_key", F.explode("near").alias("w")).select("doc_id", "text_key", "w.*")
-    # A document counts once for a pair, however often the two stand together in it.
-    pairs = F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))
-    counted = rows.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
-    varied = (F.min("context") < F.max("context")).alias("varied")
-    together = counted.join(beside_one.groupBy("entity", "term").agg(varied), ["entity", "term"])
-    asked = written(together.filter((F.col("both") >= min_docs) & F.col("varied")), "pii-pairs")
-    judged = written(_judged(docs, rows, asked, generalise_from, remove_from), "pii-terms")
-    hits = beside_one.join(judged, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end")
-    hits = hits.agg(F.min("value").alias("value"), F.max("removed").alias("removed"))
-    terms = hits.groupBy("doc_id", "text_key").agg(
+    none = F.array().cast("array<struct<term:string,start:int,end:int,value:string>>")
+    words = F.when(F.size("spans") > 0, _terms(F.col("text"), F.col("spans"), min_chars)).otherwise(none)
+    rows = written(rows.withColumn("words", words).select("doc_id", "text_key", "spans", "words"), "pii-spans")
+    found = rows.filter(F.size("spans") > 0)
+    # By distinct texts, each with the number of its rows; a document counts once for a pair.
+    holds = found.select("text_key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    holds = written(holds.groupBy("text_key", "entity").agg(F.count("*").alias("copies")), "pii-entities")
+    # A pair is in no more documents than its entity.
+    often = holds.groupBy("entity").agg(F.sum("copies").alias("entity_docs")).filter(F.col("entity_docs") >= min_docs)
+    often = written(holds.join(often.select("entity"), "entity"), "pii-often")
+    held = found.join(often.select("text_key").distinct(), "text_key", "left_semi")
+    terms = held.select("text_key", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    together = often.join(terms.distinct(), "text_key").groupBy("entity", "term")
+    together = together.agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
+    asked = together.filter((F.col("both") >= min_docs) & (F.col("texts") > 1)).drop("texts")
+    judged = written(_judged(docs, rows, written(asked, "pii-pairs"), generalise_from, remove_from), "pii-terms")
+    marked = often.join(judged, "entity").groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    places = held.select("text_key", F.explode("words").alias("w")).select("text_key", "w.*").distinct()
+    hits = places.join(marked, ["text_key", "term"])
+    terms = hits.groupBy("text_key").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "value", "removed"))).alias("terms")
     )
-    terms = terms.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "terms")
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>")
-    return rows.join(terms, same, "left").select(
+    return rows.join(terms, "text_key", "left").select(
         "doc_id", "text_key", "spans", F.coalesce("terms", empty).alias("terms")
     )
 
