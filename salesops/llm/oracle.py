@@ -127,5 +127,54 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+_OP11 = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text
+), failed AS (
+    SELECT doc_id, part,
+      (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END)
+      + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+      + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+      + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+      + (CASE WHEN first_id < doc_id THEN 16 ELSE 0 END) AS mask
+    FROM texts JOIN firsts USING (text)
+), counted AS (
+    SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS toxic
+    FROM failed LEFT JOIN (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+      FROM labels GROUP BY doc_id) USING (doc_id)
+    GROUP BY part, mask
+), letters AS (
+    SELECT unnest(string_split('ABCDE', '')) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+      [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+      AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+    SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS earlier
+    FROM orders, range(1, 6) AS r(step)
+), counts AS (
+    SELECT part, filter_order, step, bit,
+      sum(CASE WHEN mask::INT & earlier::INT = 0 AND mask::INT & bit = 0 THEN n ELSE 0 END) AS kept,
+      sum(CASE WHEN mask::INT & earlier::INT = 0 AND mask::INT & bit > 0 THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN mask::INT & earlier::INT > 0 AND mask::INT & bit > 0 THEN n ELSE 0 END) AS redundant,
+      sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN mask::INT & earlier::INT = 0 AND mask::INT & bit > 0 THEN good ELSE 0 END) AS good_lost,
+      sum(CASE WHEN mask::INT & earlier::INT = 0 AND mask::INT & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counted, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pii": _personal_data(), "op6_tokencounts": _OP6, "op8_topk": _OP8}
+    return {"op3_pii": _personal_data(), "op6_tokencounts": _OP6, "op8_topk": _OP8, "op11_interactions": _OP11}

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesops.llm import decontaminate, html, mixing, pii, quality, simhash, simple8b, tokencounts, topk, urls
+from salesops.llm import (
+    decontaminate,
+    html,
+    interactions,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    simple8b,
+    tokencounts,
+    topk,
+    urls,
+)
 from salesops.llm.common import table, written
 from salesops.plans.lineage import scratch_path
 
@@ -101,6 +113,10 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing_sources,
@@ -113,4 +129,5 @@ def queries() -> dict[str, Query]:
         "op8_topk": exact_top_k,
         "op9_html": main_text,
         "op10_decontaminate": benchmark_leaks,
+        "op11_interactions": filter_interactions,
     }
