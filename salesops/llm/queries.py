@@ -13,6 +13,7 @@ from salesops.llm import (
     html,
     interactions,
     mixing,
+    periodic,
     pii,
     quality,
     simhash,
@@ -117,6 +118,24 @@ def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the CRC of its id, with a tail of repeated words; the others as they are."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), interactions.SPACE), "")
+    rows = docs.select("doc_id", "text", code.alias("h"), F.when(code % 10 == 0, words).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    rows = rows.withColumns({"a": F.try_mod(g, n).cast("int"), "n": n, "g": g})
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    tail = F.transform(F.sequence(a, F.col("n") - 1), lambda i: F.get("words", a + (i - a) % p))
+    repeated = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(with_periods(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing_sources,
@@ -130,4 +149,5 @@ def queries() -> dict[str, Query]:
         "op9_html": main_text,
         "op10_decontaminate": benchmark_leaks,
         "op11_interactions": filter_interactions,
+        "op12_periodic": periodic_runs,
     }

@@ -71,7 +71,7 @@ def test_matches_applying_filters(spark):
 
 def test_hot_text(spark):
     """One text as nearly all rows: salted, and all but the first are copies."""
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2900, "same").otherwise(F.col("id")).cast("string").alias("text"), F.lit("en").alias("lang"))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2900, "same").otherwise(F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     rows = interactions.flagged(docs, interactions.standard_filters())
     copied = interactions.copies(docs, rows.select("doc_id", "hash"))
     assert sorted(r["doc_id"] for r in copied.collect()) == list(range(1, 2900))
