@@ -16,6 +16,7 @@ from salesops.llm import (
     periodic,
     pii,
     quality,
+    setsketch,
     simhash,
     simple8b,
     tokencounts,
@@ -136,6 +137,10 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find(with_periods(table(spark, sf_dir, "documents"))))
 
 
+def near_duplicate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing_sources,
@@ -150,4 +155,5 @@ def queries() -> dict[str, Query]:
         "op10_decontaminate": benchmark_leaks,
         "op11_interactions": filter_interactions,
         "op12_periodic": periodic_runs,
+        "op13_setsketch": near_duplicate_sets,
     }
