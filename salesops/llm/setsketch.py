@@ -7,7 +7,7 @@ place, and two sets agree in a place about as often as their similarity says.
 
 Distinct shingle sets meet where a band of ``ROWS`` registers agrees. At similarity 0.8 a pair shares none of
 ``BANDS`` bands with a probability of at most (1 - 0.8**5)**40, one in eight million. In a bucket all sets are
-compared with one, the smallest not compared yet, then with two more, then four, in rounds; sets that were
+compared with one, the smallest not compared yet, then with ``GROWTH`` more, and so on in rounds; sets that were
 compared leave the bucket, and a bucket is done when all that are left are connected. So a group of near
 copies is linked by few stars, and no pair of a bucket is left out unless it is connected already.
 A pair is judged by its registers first: likelihood of how often one is greater, given both sizes. Pairs
@@ -23,7 +23,6 @@ doc_id; a null id only where it has no other. An empty table gives no rows. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ REGISTERS = BANDS * ROWS
 # Base of the logarithm of a register, rate of the values, and the greatest register.
 BASE, RATE, GREATEST = 1.02, 20.0, 2**16 - 1
 DOUBT = 20.0
+# How many times more sets of a bucket are compared with the others of it from round to round.
+GROWTH = 16
 # Shingles sketched or returned at a time, and words whose hashes a task remembers.
 AT_ONCE, BATCH, REMEMBERED = 1_024, 500_000, 500_000
 
@@ -217,16 +218,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return written(both.filter(100 * shared >= percent * (total - shared)).select("a", "b"), "near-links")
 
 
-def _rooted(nodes: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Rows (node, root) for the nodes; nodes without a link are their own root."""
-    if not links:
-        return nodes.withColumn("root", F.col("node"))
-    found = written(components(reduce(DataFrame.unionByName, links)), "components")
-    return nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _linked(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> list[DataFrame]:
-    """Links (a, b) among nodes, in parts, that connect all pairs of the similarity."""
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, root) after the links: only roots are put together, so that paths stay short."""
+    for side in ("a", "b"):
+        end = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        links = links.join(end, side)
+    edges = written(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "root-links")
+    if edges.isEmpty():
+        return roots
+    found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("smaller"))
+    merged_ = roots.join(written(found, "components"), "root", "left")
+    return written(merged_.select("node", F.coalesce("smaller", "root").alias("root")), "roots")
+
+
+def _roots(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Rows (node, root) of all nodes that share a bucket: root is the smallest node reachable."""
     width = ROWS * 2
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width)))
@@ -234,13 +240,11 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> list
     sides = nodes.select("node", "n", F.explode(keys).alias("key"))
     repeated = sides.groupBy("key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1").select("key")
     buckets = written(sides.join(repeated, "key"), "buckets")
-    members = written(buckets.select("node").distinct(), "bucket-nodes")
-    links: list[DataFrame] = []
+    roots = written(buckets.select("node").distinct().withColumn("root", F.col("node")), "roots")
     seen: list[DataFrame] = []
     pivots = 1
     while not buckets.isEmpty():
-        rooted = _rooted(members, links)
-        rooted = written(buckets.join(rooted, "node"), "rooted-buckets")
+        rooted = written(buckets.join(roots, "node"), "rooted-buckets")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
         open_ = written(rooted.join(mixed, "key"), "open-buckets")
         if open_.isEmpty():
@@ -257,11 +261,11 @@ def _linked(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> list
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         seen.append(pairs)
-        links.append(_verified(pairs, nodes, docs, percent, words))
+        roots = _joined(roots, _verified(pairs, nodes, docs, percent, words))
         compared = middle.select("key", F.col("m_node").alias("node"))
         buckets = open_.select("node", "n", "key").join(compared, ["key", "node"], "left_anti")
-        pivots *= 2
-    return links
+        pivots *= GROWTH
+    return roots
 
 
 def _members(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
@@ -271,8 +275,9 @@ def _members(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     same = [F.first(c).alias(c) for c in ("n", "registers")]
     nodes = found.filter("n > 0").groupBy("digest").agg(first, *same).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "distinct-sets")
-    links = _linked(nodes, docs, percent, words)
-    return found, written(_rooted(nodes.select("node", "digest", "least"), links), "rooted-sets")
+    roots = _roots(nodes, docs, percent, words)
+    rooted = nodes.select("node", "digest", "least").join(roots, "node", "left")
+    return found, written(rooted.withColumn("root", F.coalesce("root", "node")), "rooted-sets")
 
 
 def groups(docs: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
