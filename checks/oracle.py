@@ -110,6 +110,37 @@ def _features() -> str:
     ), features AS (SELECT * FROM lagged WHERE lag_12 IS NOT NULL)"""
 
 
+def _stumps(step: float, leaf_rows: int, l2: int, rounds: int = 3) -> str:
+    """Boosting with one cut a round: gradient sums by value of every feature, the best of all cuts per key."""
+    inputs = "lag_1, lag_2, lag_3, lag_6, lag_12, month, year"
+    doubled = ", ".join(f"{c}::DOUBLE AS {c}" for c in inputs.split(", "))
+    by_key, in_order = f"PARTITION BY {_T}, f", f"PARTITION BY {_T}, f ORDER BY v"
+    parts = [f"""r0 AS (
+      SELECT {_T}, ds, y::DOUBLE AS y, {doubled}, avg(y) OVER (PARTITION BY {_T}) AS pred FROM features)"""]
+    for i in range(rounds):
+        parts.append(f"""long{i} AS (UNPIVOT r{i} ON {inputs} INTO NAME f VALUE v), sums{i} AS (
+      SELECT {_T}, f, v, sum(pred - y) AS g, count(*) AS n FROM long{i} GROUP BY ALL
+    ), running{i} AS (
+      SELECT {_T}, f, v, sum(g) OVER ({in_order}) AS gl, sum(n) OVER ({in_order}) AS nl,
+        sum(g) OVER ({by_key}) AS gt, sum(n) OVER ({by_key}) AS nt
+      FROM sums{i}
+    ), cuts{i} AS (
+      SELECT *, gl * gl / (nl + {l2}) + (gt - gl) * (gt - gl) / (nt - nl + {l2}) AS score
+      FROM running{i} WHERE nl >= {leaf_rows} AND nt - nl >= {leaf_rows}
+    ), best{i} AS (
+      SELECT DISTINCT ON ({_T}) *, score - gt * gt / (nt + {l2}) AS gain FROM cuts{i}
+      WHERE score - gt * gt / (nt + {l2}) > 1e-9 * score ORDER BY {_T}, gain DESC, f, v
+    ), whole{i} AS (
+      SELECT {_T}, sum(pred - y) AS g, count(*) AS n FROM r{i} GROUP BY ALL
+    ), r{i + 1} AS (
+      SELECT r.* EXCLUDE (pred), pred - {step} * CASE WHEN b.f IS NULL THEN w.g / (w.n + {l2})
+        WHEN CASE b.f {' '.join(f"WHEN '{c}' THEN r.{c}" for c in inputs.split(', '))} END <= b.v
+        THEN b.gl / (b.nl + {l2}) ELSE (b.gt - b.gl) / (b.nt - b.nl + {l2}) END AS pred
+      FROM r{i} r JOIN whole{i} w USING ({_T}) LEFT JOIN best{i} b USING ({_T}))""")
+    return f"""{_features()}, {', '.join(parts)}
+      SELECT {_T}, {_DS}, round(pred, 0) AS yhat FROM r{rounds}"""
+
+
 def _means() -> str:
     return f"""{_features()}, means AS (
       SELECT Region, Area, Territory, avg(y) AS mean_y, count(*) AS n_obs FROM features GROUP BY ALL
@@ -538,6 +569,8 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = _tree_rows("territory")
     for scope in ("area", "region"):
         sql[f"trees_a_forecast_{scope}"] = _tree_rows(scope)
+    sql["boosted_stumps_a"] = _stumps(step=0.1, leaf_rows=20, l2=0)
+    sql["boosted_stumps_b"] = _stumps(step=0.3, leaf_rows=1, l2=1)
     for name in ("evaluate_trees_a", "evaluate_trees_b"):
         sql[name] = f"{_means()} SELECT {_T}, n_obs AS count, TRUE AS as_good_as_mean FROM means"
     sql["compare_stored_models"] = f"""{_fit(head=_means())}, predicted AS (

@@ -244,6 +244,24 @@ def _tree_forecast(params: trees.TreeParams, scope: str = "territory") -> Query:
     return run
 
 
+# Three rounds of trees of one cut, without and with a penalty on leaf values.
+STUMPS_A = trees.TreeParams(rounds=3, step=0.1, leaves=2, leaf_rows=20)
+STUMPS_B = trees.TreeParams(rounds=3, step=0.3, depth=1, leaf_rows=1, l2=1.0)
+
+
+def _stumps(params: trees.TreeParams) -> Query:
+    """What the first rounds of boosting predict for every training row."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        scope, keys = "territory", SCOPES["territory"]
+        features = forecasting.prepared(trees.train_rows(_series(spark, folder), scope))
+        rows = features.join(trees.fit_keys(features, scope, params), keys)
+        predicted = trees.predict_trees(rows, trees.fit_trees(features, scope, params), scope)
+        return plain(predicted.select(*keys, "ds", "yhat"), FITTED)
+
+    return run
+
+
 def _as_good(rmse: str, other: str) -> Column:
     """Not above, up to the noise of sums."""
     return F.col(rmse) <= F.col(other) * (1 + 1e-9)
@@ -424,6 +442,8 @@ def queries() -> dict[str, Query]:
         "trees_b_forecast": _tree_forecast(trees.TREES_B),
         "trees_a_forecast_area": _tree_forecast(trees.TREES_A, "area"),
         "trees_a_forecast_region": _tree_forecast(trees.TREES_A, "region"),
+        "boosted_stumps_a": _stumps(STUMPS_A),
+        "boosted_stumps_b": _stumps(STUMPS_B),
         "evaluate_trees_a": _evaluate_trees(trees.TREES_A),
         "evaluate_trees_b": _evaluate_trees(trees.TREES_B),
         "compare_stored_models": _compare_stored_models,

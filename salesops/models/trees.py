@@ -1,54 +1,39 @@
-"""Boosted trees on lag and calendar features.
-
-Two configurations, A and B. A library that fits one small ensemble per key does not use a
-cluster; here one pooled ensemble per scope is fitted by Spark ML on all keys at once. Target
-and lags are divided by the key's mean absolute value so that keys of any size share it.
-``mean_below`` keeps what configuration A does on short series: below 40 training rows a leaf
-minimum of 20 allows no split, and the model is the key's mean. It is a documented parameter, 0
-for never, and stored with every key's model, so that a forecast follows the rule of the training.
+"""Boosted trees on lag and calendar features, an ensemble per key, in two configurations.
+
+A grows best first with at least 20 rows a leaf and no penalty, B level by level with second-order gains, a
+penalty on leaf values, and rows and columns drawn anew for every tree. Both are fitted by
+``boosting.tree_rows`` in one pass over the rows in order of key. The model is a table, one row per key and tree
+with its nodes as flat arrays, beside one row per key with the mean that the trees start from.
+``mean_below`` keeps what configuration A does on short series: below 40 training rows a leaf minimum of 20
+allows no split, and the model is the key's mean. It is stored with every key, 0 for never.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesops.functions.params import check_range
-from salesops.operators.series import by_key, dealt, feature_columns, keyed, next_months, training_features
+from salesops.models.boosting import TreeParams, tree_rows, walked
+from salesops.operators.series import by_key, dealt, keyed, next_months, training_features
 from salesops.plans.lineage import written
 from salesops.scopes import DEFAULT_HORIZON, DEFAULT_LAGS, scope_keys
 
 HISTORY = max(DEFAULT_LAGS)
 SPLITTABLE_ROWS = 40
-# Every round passes over the training rows several times: enough tasks to share the work, each
-# with enough rows to be worth starting. Their number follows from the rows alone and rows are
-# put in order, as the row and column samples of a round are drawn by task and place.
-ROWS_PER_TASK = 100_000
-# Months after which a recursive forecast is written and its plan starts over.
-CUT_EVERY = 12
-
-
-@dataclass(frozen=True)
-class TreeParams:
-    rounds: int
-    step: float
-    depth: int
-    leaf_rows: int
-    bins: int
-    row_share: float = 1.0
-    column_share: str = "all"
-    seed: int = 42
-    mean_below: int = 0
-
+# The features of a row, in the order in which trees number them.
+INPUTS = (*(f"lag_{k}" for k in DEFAULT_LAGS), "month", "year")
+# Rounds cost time for every row: so many rows are a task's share.
+ROWS_PER_TASK = 5_000
 
 # The two configurations.
-TREES_A = TreeParams(rounds=200, step=0.1, depth=5, leaf_rows=20, bins=255, mean_below=SPLITTABLE_ROWS)
-TREES_B = TreeParams(rounds=300, step=0.05, depth=6, leaf_rows=1, bins=256, row_share=0.9, column_share="0.9")
+TREES_A = TreeParams(rounds=200, step=0.1, leaves=31, leaf_rows=20, bins=255, mean_below=SPLITTABLE_ROWS)
+TREES_B = TreeParams(rounds=300, step=0.05, depth=6, leaf_rows=1, bins=256, l2=1.0, row_share=0.9, column_share=0.9)
 
 
 def fit_mean(features: DataFrame, scope: str) -> DataFrame:
@@ -59,71 +44,61 @@ def fit_mean(features: DataFrame, scope: str) -> DataFrame:
 
 
 def fit_keys(features: DataFrame, scope: str, params: TreeParams) -> DataFrame:
-    """As ``fit_mean``, with what a key's share in an ensemble needs: its scale and ``mean_below``."""
-    return features.groupBy(*scope_keys(scope)).agg(
-        F.avg("y").alias("mean_y"),
-        F.count("*").alias("n_obs"),
-        _scale(F.avg(F.abs("y"))).alias("scale"),
-        F.lit(params.mean_below).alias("mean_below"),
-    )
+    """As ``fit_mean``, with the ``mean_below`` that a key's forecast has to follow."""
+    return fit_mean(features, scope).withColumn("mean_below", F.lit(params.mean_below))
 
 
-def _scale(mean: Column) -> Column:
-    """Absolute values do not cancel out, as those of a key with many returns would."""
-    return F.when(mean == 0, 1.0).otherwise(mean)
+def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> DataFrame:
+    """Rows (keys, tree, feature, left, value); none for keys below ``mean_below`` or without a split.
 
+    The rows of a key come together, ordered by month, in one of as many tasks as the number of rows asks for.
+    """
+    keys = scope_keys(scope)
+    rows = features.withColumn("n_obs", F.count("*").over(by_key(scope)))
+    rows = rows.filter(F.col("n_obs") >= params.mean_below).select(
+        *keys,
+        "ds",
+        F.col("y").cast("double").alias("y"),
+        *[F.col(c).cast("double").alias(c) for c in INPUTS],
+        F.xxhash64(*keys, "ds").alias("row_draw"),
+        F.xxhash64(*keys).alias("key_draw"),
+    )
+    rows = written(rows, "tree-rows")
+    tasks = -(-rows.count() // ROWS_PER_TASK) or 1
+    nodes = [("feature", T.IntegerType()), ("left", T.IntegerType()), ("value", T.DoubleType())]
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("tree", T.IntegerType())])
+    for name, kind in nodes:
+        schema = schema.add(name, T.ArrayType(kind))
+    dealt_out = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "ds")
+    return written(dealt_out.mapInArrow(tree_rows(keys, list(INPUTS), params), schema), "trees")
 
-def _scaled(rows: DataFrame) -> DataFrame:
-    lags = {f"lag_{k}": F.col(f"lag_{k}") / F.col("scale") for k in DEFAULT_LAGS}
-    return rows.withColumns(lags)
 
+def _flat(trees: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The nodes of all trees of a key one after the other, and where each tree starts."""
+    trees = trees.sort_values("tree")
+    sizes = trees["feature"].map(len).to_numpy()
+    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    feature, left, value = (np.concatenate(trees[c].to_list()) for c in ("feature", "left", "value"))
+    return feature, left + np.repeat(roots, sizes), value, roots[None, :]
 
-def fit_trees(features: DataFrame, scope: str, params: TreeParams) -> PipelineModel | None:
-    """The pooled ensemble, or None when no key has enough rows to split."""
-    keys = scope_keys(scope)
-    mean = F.avg(F.abs("y")).over(by_key(scope))
-    n_obs = F.count("*").over(by_key(scope))
-    rows = (
-        features.withColumns({"scale": _scale(mean), "n_obs": n_obs})
-        .filter(F.col("n_obs") >= params.mean_below)
-        .withColumn("label", F.col("y") / F.col("scale"))
-    )
-    inputs = feature_columns(features, scope)
-    # Rows are complete here and in every prediction; "skip" would filter on the features, and so
-    # run the previous step's prediction again for every lag of a recursive forecast.
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    train = written(_scaled(rows).select(*keys, "ds", *inputs, "label"), "tree-rows")
-    count = train.count()
-    if count == 0:
-        return None
-    spread = train.repartition(-(-count // ROWS_PER_TASK), *keys, "ds").sortWithinPartitions(*keys, "ds")
-    trees = GBTRegressor(
-        featuresCol="features",
-        labelCol="label",
-        predictionCol="scaled_yhat",
-        maxIter=params.rounds,
-        stepSize=params.step,
-        maxDepth=params.depth,
-        minInstancesPerNode=params.leaf_rows,
-        maxBins=params.bins,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=params.column_share,
-        seed=params.seed,
-    )
-    return PipelineModel([assembler, trees.fit(assembler.transform(spread))])
 
+def predict_trees(rows: DataFrame, model: DataFrame | None, scope: str) -> DataFrame:
+    """Adds yhat to feature rows that also hold the columns of ``fit_keys``.
 
-def predict_trees(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
-    """Adds yhat to feature rows that also hold the columns of ``fit_keys``."""
-    kept = rows.columns
+    The rows of a key meet its trees; both are bounded, by the months there are and by the rounds.
+    """
     if model is None:
         return rows.withColumn("yhat", F.col("mean_y"))
-    raw = rows.withColumn("raw", F.struct(*[F.col(f"lag_{k}") for k in DEFAULT_LAGS]))
-    scored = model.transform(_scaled(raw))
-    pooled = F.col("scaled_yhat") * F.col("scale")
-    yhat = F.when(F.col("n_obs") < F.col("mean_below"), F.col("mean_y")).otherwise(pooled)
-    back = {f"lag_{k}": F.col(f"raw.lag_{k}") for k in DEFAULT_LAGS}
-    return scored.withColumn("yhat", yhat).withColumns(back).select(*kept, "yhat")
+    keys = scope_keys(scope)
+
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        yhat = left["mean_y"].astype(float).to_numpy(copy=True)
+        if len(left) and len(right) and left["n_obs"].iloc[0] >= left["mean_below"].iloc[0]:
+            yhat += walked(left[list(INPUTS)].to_numpy(dtype=float), *_flat(right))
+        return left.assign(yhat=yhat)
+
+    schema = T.StructType(list(rows.schema.fields)).add("yhat", T.DoubleType())
+    return rows.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(scored, schema)
 
 
 def _needed_positions(horizon: int) -> list[int]:
@@ -131,22 +106,30 @@ def _needed_positions(horizon: int) -> list[int]:
     return sorted({k - step for k in DEFAULT_LAGS for step in range(horizon) if k > step})
 
 
+def _walk(history: list, year: int, month: int, trees: tuple, mean: float, horizon: int) -> Iterator[float]:
+    """Month by month; every value becomes the history of the next."""
+    history = [np.nan if v is None else v for v in history]
+    for _ in range(horizon):
+        year, month = year + month // 12, month % 12 + 1
+        x = np.array([[*(history[-k] for k in DEFAULT_LAGS), month, year]], dtype=float)
+        history.append(mean + float(walked(x, *trees)[0]))
+        yield history[-1]
+
+
 def forecast_trees(
     series: DataFrame,
     keys_model: DataFrame,
-    model: PipelineModel | None,
+    model: DataFrame | None,
     scope: str,
     horizon: int = DEFAULT_HORIZON,
 ) -> DataFrame:
     """(keys, ds, yhat, yhat_lower, yhat_upper); every predicted value feeds the later lags.
 
-    State is one row per key with its last twelve values; a step is a projection and adds no
-    shuffle. Keys whose lags would meet a NULL are left out. Every ``CUT_EVERY`` months the state is
-    written, so that the plan of a long horizon stays short.
+    One row per key with its last twelve values meets the key's trees and walks the whole horizon; its length
+    changes nothing in the plan. Keys whose lags would meet a NULL are left out.
     """
     check_range("horizon", horizon, 1)
     keys = scope_keys(scope)
-    columns = ["mean_y", "n_obs", "scale", "mean_below"]
     newest = Window.partitionBy(*keys).orderBy(F.desc("ds"))
     # One more row than the lags reach tells a key with enough history.
     recent = dealt(keyed(series, scope), scope).withColumn("_place", F.row_number().over(newest))
@@ -157,37 +140,51 @@ def forecast_trees(
         .agg(points.alias("points"), F.max("ds").alias("last_ds"))
         .filter(F.size("points") > HISTORY)
         .select(*keys, "last_ds", F.slice(F.col("points.y"), -HISTORY, HISTORY).alias("hist"))
-        .join(keys_model.select(*keys, *columns), keys)
+        .join(keys_model.select(*keys, "mean_y", "n_obs", "mean_below"), keys)
     )
     for back in _needed_positions(horizon):
         state = state.filter(F.element_at("hist", -back).isNotNull())
-    for step in range(1, horizon + 1):
-        ds = F.add_months("last_ds", step)
-        rows = state.withColumns(
-            {
-                **{f"lag_{k}": F.element_at("hist", -k) for k in DEFAULT_LAGS},
-                "month": F.month(ds),
-                "year": F.year(ds),
-            }
-        )
-        scored = predict_trees(rows, model)
-        state = scored.withColumn("hist", F.concat("hist", F.array("yhat"))).select(*state.columns)
-        if step % CUT_EVERY == 0 and step < horizon:
-            state = written(state, "tree-state")
-    predicted = F.slice("hist", HISTORY + 1, horizon)
-    months = next_months(F.col("last_ds"), horizon)
-    forecast = F.arrays_zip(months.alias("ds"), predicted.alias("yhat"))
-    return state.select(*keys, F.inline(forecast).alias("ds", "yhat")).withColumns(
+    if model is None:
+        walks = state.withColumn("walk", F.array_repeat(F.col("mean_y"), horizon))
+    else:
+        walks = _walks(state, model, keys, horizon)
+    forecast = F.arrays_zip(next_months(F.col("last_ds"), horizon).alias("ds"), F.col("walk").alias("yhat"))
+    return walks.select(*keys, F.inline(forecast).alias("ds", "yhat")).withColumns(
         {"yhat_lower": F.col("yhat"), "yhat_upper": F.col("yhat")}
     )
 
 
-def save_trees(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def _walks(state: DataFrame, model: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    dated = state.withColumns({"year": F.year("last_ds"), "month": F.month("last_ds")})
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return left[[*keys, "last_ds"]].assign(walk=pd.Series(dtype=object))
+        key = left.iloc[0]
+        walked_ = [float(key["mean_y"])] * horizon
+        if len(right) and key["n_obs"] >= key["mean_below"]:
+            start = int(key["year"]), int(key["month"])
+            walked_ = list(_walk(list(key["hist"]), *start, _flat(right), float(key["mean_y"]), horizon))
+        return left[[*keys, "last_ds"]].assign(walk=[walked_])
+
+    schema = T.StructType([state.schema[c] for c in (*keys, "last_ds")]).add("walk", T.ArrayType(T.DoubleType()))
+    return dated.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(walk, schema)
+
+
+def save_trees(model: DataFrame, path: str) -> None:
+    model.write.mode("overwrite").parquet(path)
+
+
+def checked_trees(model: DataFrame) -> DataFrame:
+    """The table, if it is one of trees."""
+    missing = {"tree", "feature", "left", "value"} - set(model.columns)
+    if missing:
+        raise ValueError(f"no table of trees, it lacks {sorted(missing)}")
+    return model
 
 
-def load_trees(spark: SparkSession, path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_trees(spark: SparkSession, path: str) -> DataFrame:
+    return checked_trees(spark.read.parquet(path))
 
 
 def train_rows(series: DataFrame, scope: str) -> DataFrame:

@@ -14,7 +14,7 @@ from salesops.operators import series
 from salesops.plans import evaluation, forecasting, training, views
 from salesops.plans.lineage import scratch_path
 from salesops.sources import modelstore
-from tests.conftest import rows
+from tests.conftest import plan, rows
 
 
 def month(i: int) -> datetime.date:
@@ -154,19 +154,29 @@ def small_trees(spark, data):
     return params, features, trees.fit_trees(features, "region", params)
 
 
+def plain_walk(model, region: int, row: list, mean: float) -> float:
+    """The mean and one leaf of every tree of the region, node by node."""
+    for tree in model:
+        if tree["Region"] == region:
+            node = 0
+            while tree["feature"][node] >= 0:
+                node = tree["left"][node] + (row[tree["feature"][node]] > tree["value"][node])
+            mean += tree["value"][node]
+    return mean
+
+
 def test_tree_recursion_matches_brute_force(spark, data, small_trees):
     params, features, model = small_trees
     per_key = trees.fit_keys(features, "region", params)
-    means = {r["Region"]: r["scale"] for r in per_key.collect()}
+    means = {r["Region"]: r["mean_y"] for r in per_key.collect()}
     found = trees.forecast_trees(data, per_key, model, "region", 4).orderBy("Region", "ds").collect()
+    nodes = model.collect()
     for region, values in ((1, wave(48)), (2, wave(30, 900.0)), (3, wave(13))):
         history = list(values)
         for step in range(4):
             ds = month(len(history))
-            row = {f"lag_{k}": history[-k] / means[region] for k in (1, 2, 3, 6, 12)}
-            row.update(month=ds.month, year=ds.year)
-            frame = spark.createDataFrame(pd.DataFrame([row]))
-            history.append(model.transform(frame).first()["scaled_yhat"] * means[region])
+            row = [*(history[-k] for k in (1, 2, 3, 6, 12)), ds.month, ds.year]
+            history.append(plain_walk(nodes, region, row, means[region]))
         mine = [r for r in found if r["Region"] == region]
         assert [r["yhat"] for r in mine] == pytest.approx(history[len(values):], rel=1e-9)
         assert [r["ds"] for r in mine] == [month(len(values) + i) for i in range(4)]
@@ -270,8 +280,8 @@ def test_a_model_that_does_not_load_is_reported(spark, data):
     path = scratch_path(spark, "life")
     training.train(data, path, "region", "trees_b", params=SHORT)
     training.train(data, path, "region", "trend")
-    folder = modelstore.load_models(spark, f"{path}/models", "region", "trees_b").first()["ensemble"]
-    spark.range(1).write.mode("overwrite").parquet(folder)
+    version = modelstore.current(spark, f"{path}/models", "region", "trees_b")
+    spark.range(1).write.mode("overwrite").parquet(f"{version.folder}/trees")
     assert training.forecast(data, path, "region", "trees_b").count() == 0
     found = training.evaluate_all(data, path, "region", ("trend", "trees_a", "trees_b")).collect()
     status = {r["model"]: r["status"] for r in found}
@@ -280,6 +290,35 @@ def test_a_model_that_does_not_load_is_reported(spark, data):
     assert sum(r["model"] == "trend" for r in found) == 5
 
 
+def test_a_training_that_breaks_off_changes_nothing(spark, data, monkeypatch):
+    """Keys of one fit never meet the trees of another: without its commit a version does not count."""
+    path = scratch_path(spark, "life")
+    training.train(data, path, "region", "trees_b", params=SHORT)
+    before = rows(training.forecast(data, path, "region", "trees_b", 2).orderBy("Region", "ds"))
+    opened = modelstore.current(spark, f"{path}/models", "region", "trees_b")
+    lost = trees.fit_trees
+
+    def broken(*args):
+        return lost(*args).withColumn("value", F.raise_error(F.lit("lost")))
+
+    monkeypatch.setattr(trees, "fit_trees", broken)
+    with pytest.raises(Exception, match="lost"):
+        training.train(data.filter("Region = 1"), path, "region", "trees_b", params=SHORT)
+    assert rows(training.forecast(data, path, "region", "trees_b", 2).orderBy("Region", "ds")) == before
+    monkeypatch.setattr(trees, "fit_trees", lost)
+    training.train(data.filter("Region = 1"), path, "region", "trees_b", params=SHORT)
+    assert {r["Region"] for r in training.forecast(data, path, "region", "trees_b", 2).collect()} == {1}
+    # A reader that opened the version before still finds it.
+    assert opened.part(spark).count() == 3
+    for _ in range(2):
+        training.train(data.filter("Region = 2"), path, "region", "trees_b", params=SHORT)
+    found = modelstore.versions(spark, f"{path}/models", "region", "trees_b")
+    assert [v.number for v in found] == [4, 3, 2]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found[0].folder).getParent()
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert len(files.listStatus(folder)) == modelstore.KEPT
+
+
 def test_the_rule_for_short_keys_is_stored(spark, data):
     path = scratch_path(spark, "life")
     always_mean = trees.TreeParams(rounds=2, step=0.3, depth=2, leaf_rows=1, bins=32, mean_below=1000)
@@ -290,26 +329,29 @@ def test_the_rule_for_short_keys_is_stored(spark, data):
 
 def test_trees_are_repeated_exactly(data):
     params = trees.TreeParams(
-        rounds=8, step=0.3, depth=4, leaf_rows=1, bins=32, row_share=0.7, column_share="0.5"
+        rounds=8, step=0.3, depth=4, leaf_rows=1, bins=32, row_share=0.7, column_share=0.5
     )
     first = rows(forecasting.tree_forecast(data, "region", params, 3).orderBy("Region", "ds"))
     shuffled = data.repartition(7, "ds")
     assert rows(forecasting.tree_forecast(shuffled, "region", params, 3).orderBy("Region", "ds")) == first
 
 
-def test_returns_do_not_rule_the_pooled_trees(spark):
-    """A key whose values cancel out is scaled by their size, not by their mean."""
-    features = trees.train_rows(make(spark, {1: [(-1) ** i * 100.0 + i / 100 for i in range(40)]}), "region")
-    found = trees.fit_keys(features, "region", SHORT).first()
-    assert abs(found["mean_y"]) < 2 and found["scale"] == pytest.approx(100, rel=0.01)
+def test_every_key_has_trees_of_its_own(spark):
+    """A key of another pattern and size changes nothing in the trees of the first."""
+    both = trees.train_rows(make(spark, {1: wave(60), 2: [(-1) ** i * 1e6 + i for i in range(80)]}), "region")
+    alone = trees.train_rows(make(spark, {1: wave(60)}), "region")
+    fits = [trees.fit_trees(f, "region", SHORT).filter("Region = 1").orderBy("tree") for f in (both, alone)]
+    assert rows(fits[0]) == rows(fits[1])
 
 
-def test_a_long_horizon_is_cut(spark, data, small_trees):
+def test_a_long_horizon_keeps_its_plan(spark, data, small_trees):
     params, features, model = small_trees
     per_key = trees.fit_keys(features, "region", params)
     long = trees.forecast_trees(data, per_key, model, "region", 26).filter("Region = 1").orderBy("ds").collect()
     short = trees.forecast_trees(data, per_key, model, "region", 11).filter("Region = 1").orderBy("ds").collect()
     assert [r["yhat"] for r in long[:11]] == pytest.approx([r["yhat"] for r in short]) and len(long) == 26
+    plans = [plan(trees.forecast_trees(data, per_key, model, "region", h)).count("\n") for h in (1, 60)]
+    assert plans[0] == plans[1]
 
 
 # --- sequence and the hook -------------------------------------------------------------------
