@@ -569,6 +569,31 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = _tree_rows("territory")
     for scope in ("area", "region"):
         sql[f"trees_a_forecast_{scope}"] = _tree_rows(scope)
+    sql["maintained_history"] = f"""{CLEAN}
+      SELECT REGION_ID AS Region, AREA_ID AS Area, TERRITORY_ID AS Territory, YEAR_NO, MONTH_NO,
+        round(sum(CASE WHEN ROW_DATA_ID % 7 = 0 THEN 2 ELSE 1 END * SALES_QTY * UNIT_PRICE), 2) AS SalesAmount
+      FROM survey GROUP BY ALL"""
+    hinges = ", ".join(f"greatest(t - {0.8 * (j + 1) / 8!r}, 0.0)" for j in range(8))
+    curve = ", ".join(
+        f"CASE WHEN span >= 24 THEN {f}(mi * 2 * pi() * {k} / 12) ELSE 0.0 END" for k in (1, 2) for f in ("cos", "sin")
+    )
+    sql["changepoint_normal_equations"] = f"""{_series()}, known AS (
+        SELECT {_T}, y::DOUBLE AS y, ((year(ds) - 2000) * 12 + month(ds) - 1)::DOUBLE AS mi
+        FROM series WHERE y IS NOT NULL
+      ), own AS (
+        SELECT {_T}, min(mi) AS first, greatest(max(mi) - min(mi), 1.0) AS span, count(*) AS n,
+          CASE WHEN max(abs(y)) > 0 THEN max(abs(y)) ELSE 1.0 END AS scale
+        FROM known GROUP BY ALL
+      ), timed AS (
+        SELECT {_T}, mi, (mi - first) / span AS t, span, y / scale AS y FROM known JOIN own USING ({_T}) WHERE n >= 2
+      ), design AS (SELECT {_T}, [1.0::DOUBLE, t, {hinges}, {curve}, y] AS x FROM timed)
+      SELECT {_T}, i, j, round(sum(x[i + 1] * x[j + 1]), 6) AS total
+      FROM design, range(15) AS a(i), range(15) AS b(j) WHERE i <= j GROUP BY ALL"""
+    sql["changepoint_forecast"] = f"""{_series()}, known AS (
+        SELECT {_T}, max(ds) AS last_ds FROM series WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 2
+      )
+      SELECT {_T}, strftime(last_ds + to_months(CAST(step AS INTEGER)), '%Y-%m-%d') AS ds, TRUE AS inside
+      FROM known, range(1, 7) AS r(step)"""
     sql["boosted_stumps_a"] = _stumps(step=0.1, leaf_rows=20, l2=0)
     sql["boosted_stumps_b"] = _stumps(step=0.3, leaf_rows=1, l2=1)
     for name in ("evaluate_trees_a", "evaluate_trees_b"):

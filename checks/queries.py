@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesops.functions.columns import as_text_date, key_label
-from salesops.models import sequence, trees, trend
+from salesops.models import changepoint, sequence, trees, trend
 from salesops.models.grouped import fit_grouped, forecast_grouped
 from salesops.operators import hierarchy, market, product, quality, sales, series
 from salesops.plans import evaluation, forecasting, training, views
 from salesops.plans.lineage import scratch_path
 from salesops.scopes import SCOPES
 from salesops.sources import modelstore, tables
+from salesops.sources.history import SalesHistory, changes
 from salesops.sources import starschema as star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,6 +263,33 @@ def _stumps(params: trees.TreeParams) -> Query:
     return run
 
 
+def _maintained_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches, one sent twice: early facts; late ones; every seventh fact corrected to twice its quantity."""
+    lines, places = star.clean_lines(spark, folder), star.places(spark, folder)
+    kept = SalesHistory(spark, scratch_path(spark, "history"))
+    early = F.col("YEAR_NO") < 1995
+    kept.commit("early", changes(lines.filter(early)), places)
+    kept.commit("late", changes(lines.filter(~early)), places)
+    kept.commit("early", changes(lines.filter(early)), places)
+    kept.compact()
+    wrong = lines.filter(F.col("ROW_DATA_ID") % 7 == 0)
+    kept.commit("corrections", changes(wrong.withColumn("SALES_QTY", F.col("SALES_QTY") * 2), wrong), places)
+    return plain(kept.read())
+
+
+def _normal_equations(spark: SparkSession, folder: str) -> DataFrame:
+    """The sums that a trend with changepoints is solved from: eight changes, two pairs of the year."""
+    params = changepoint.ChangepointParams(changes=8, order=2)
+    return plain(changepoint.normal_equations(_series(spark, folder), "territory", params), 6)
+
+
+def _changepoint_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of every key, and whether the interval holds the value."""
+    forecast = forecasting.changepoint_forecast(_prepared(spark, folder), "territory")
+    inside = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return plain(forecast.select(*SCOPES["territory"], "ds", inside.alias("inside")))
+
+
 def _as_good(rmse: str, other: str) -> Column:
     """Not above, up to the noise of sums."""
     return F.col(rmse) <= F.col(other) * (1 + 1e-9)
@@ -442,6 +470,9 @@ def queries() -> dict[str, Query]:
         "trees_b_forecast": _tree_forecast(trees.TREES_B),
         "trees_a_forecast_area": _tree_forecast(trees.TREES_A, "area"),
         "trees_a_forecast_region": _tree_forecast(trees.TREES_A, "region"),
+        "maintained_history": _maintained_history,
+        "changepoint_normal_equations": _normal_equations,
+        "changepoint_forecast": _changepoint_forecast,
         "boosted_stumps_a": _stumps(STUMPS_A),
         "boosted_stumps_b": _stumps(STUMPS_B),
         "evaluate_trees_a": _evaluate_trees(trees.TREES_A),

@@ -1,8 +1,8 @@
 """Walks over the market forest: integrity, path to the root, closure, tree.
 
 A node names its parent by code, so leaves, which are nearly all rows, are never a join target.
-The walks run on the referenced nodes alone, level by level, each level written to the shared
-checkpoint folder; the leaves join the finished result once.
+The walks run on the referenced nodes alone, level by level or by jumps of doubled length, each round
+written to the shared checkpoint folder; the leaves join the finished result once.
 """
 
 from __future__ import annotations
@@ -159,6 +159,42 @@ def hierarchy_closure(market: DataFrame, max_steps: int = 10) -> DataFrame:
     return itself.unionByName(above.drop("PARENT_MKT_CODE"))
 
 
+def _placed(marked: DataFrame) -> DataFrame:
+    """(code, root_code, depth, path) of the codes that have a root, from (code, parent, known).
+
+    Every code holds how far it has come (``up``, none once the root is met), in how many steps and past
+    which codes, and takes over what the code it has come to holds: after r rounds 2**r steps are done. A code
+    of any depth has one of half that depth above it, so a round in which no code meets its root leaves
+    those on cycles, and below them, alone; their paths are no longer than twice the longest one.
+    """
+    known = F.col("known").isNotNull()
+    jump = marked.select(
+        "code",
+        F.when(known, F.col("parent")).alias("up"),
+        F.when(~known, F.col("code")).alias("root_code"),
+        F.when(known, 1).otherwise(0).alias("depth"),
+        F.col("code").alias("path"),
+    )
+    left = jump.filter("up IS NOT NULL").count()
+    while left:
+        upper = jump.select(F.col("code").alias("up"), *[F.col(c).alias(f"upper_{c}") for c in ("up", "root_code", "depth", "path")])
+        # All rows take part, those without a jump unchanged, so that no round adds partitions.
+        moved = lookup_join(jump, upper, "up", "left")
+        jump = cut(
+            moved.select(
+                "code",
+                F.col("upper_up").alias("up"),
+                F.coalesce("root_code", "upper_root_code").alias("root_code"),
+                (F.col("depth") + F.coalesce("upper_depth", F.lit(0))).alias("depth"),
+                F.concat_ws("/", "upper_path", "path").alias("path"),
+            )
+        )
+        before, left = left, jump.filter("up IS NOT NULL").count()
+        if left == before:
+            break
+    return jump.filter("up IS NULL").drop("up")
+
+
 def market_tree(market: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Every node with its place in the forest.
 
@@ -169,8 +205,8 @@ def market_tree(market: DataFrame, max_nodes: int | None = None) -> DataFrame:
     is. The children of a node are the rows that carry its code as parent: a nested list would put
     all children of a hot parent into one row.
 
-    The walk ends by itself: it starts at roots, and every inner code has one parent, so that it
-    meets each code at most once and never enters a cycle.
+    Inner codes find their root by jumps of doubled length, so the rounds grow with the logarithm of
+    the depth.
     """
     nodes = market.select(*MARKET_COLUMNS).withColumn("MKT_LEVEL", C.whole_number(market, "MKT_LEVEL"))
     if max_nodes is not None:
@@ -187,25 +223,7 @@ def market_tree(market: DataFrame, max_nodes: int | None = None) -> DataFrame:
     )
     parents = internal.select(F.col("code").alias("parent"), F.lit(True).alias("known"))
     marked = cut(lookup_join(internal.select("code", "parent"), parents, "parent", "left"))
-    below = marked.filter(F.col("known"))
-    frontier = marked.filter(F.col("known").isNull()).select(
-        "code", F.col("code").alias("root_code"), F.lit(0).alias("depth"), F.col("code").alias("path")
-    )
-    levels = [frontier]
-    while True:
-        upper = frontier.withColumnRenamed("code", "parent")
-        frontier = cut(
-            lookup_join(below, upper, "parent").select(
-                "code",
-                "root_code",
-                (F.col("depth") + 1).alias("depth"),
-                F.concat_ws("/", "path", "code").alias("path"),
-            )
-        )
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    placed = reduce(DataFrame.unionByName, levels)
+    placed = _placed(marked)
 
     # A known parent without a path lies on a cycle or below one; an unknown one makes a root.
     above = cut(

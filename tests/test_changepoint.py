@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import datetime
+import math
+
+import numpy as np
+import pytest
+
+from salesops.models import changepoint
+from salesops.models.changepoint import ChangepointParams
+from salesops.plans import evaluation, forecasting
+from tests.test_models import make, wave
+
+BREAK = [100 + 1.0 * i if i < 48 else 148 + 6.0 * (i - 48) for i in range(80)]
+CURVE = [500 + 40 * math.sin(2 * math.pi * i / 12) + 25 * math.cos(4 * math.pi * i / 12) for i in range(60)]
+
+
+@pytest.fixture(scope="module")
+def series(spark):
+    rng = np.random.default_rng(3)
+    noisy = [v + float(e) for v, e in zip(BREAK, rng.normal(0, 2, 80))]
+    return make(spark, {1: noisy, 2: CURVE, 3: [5.0, 7.0], 4: [1.0], 5: [0.0] * 30, 6: wave(40)}).cache()
+
+
+def test_planted_break_is_found(series):
+    params = ChangepointParams()
+    model = next(r for r in changepoint.fit_changepoint(series, "region").collect() if r["Region"] == 1)
+    changes = np.array(model["coefficients"][2 : 2 + params.changes])
+    places = params.share * np.arange(1, params.changes + 1) / params.changes
+    heavy = (changes * places).sum() / changes.sum()
+    assert changes.sum() > 0 and abs(heavy - 48 / 79) < 0.05
+    rows = forecasting.changepoint_forecast(series, "region", 6, {"Region": 1}).orderBy("ds").collect()
+    assert [r["ds"] for r in rows][:2] == [datetime.date(2024, 9, 1), datetime.date(2024, 10, 1)]
+    expected = [148 + 6.0 * (i - 48) for i in range(80, 86)]
+    assert [r["yhat"] for r in rows] == pytest.approx(expected, rel=0.03)
+    # A straight line is far off.
+    line = forecasting.trend_forecast(series, "region", 6, {"Region": 1}).orderBy("ds").collect()
+    assert abs(line[-1]["yhat"] - expected[-1]) > 3 * abs(rows[-1]["yhat"] - expected[-1])
+
+
+def test_yearly_curve_goes_on(series):
+    rows = forecasting.changepoint_forecast(series, "region", 12, {"Region": 2}).orderBy("ds").collect()
+    expected = [500 + 40 * math.sin(2 * math.pi * i / 12) + 25 * math.cos(4 * math.pi * i / 12) for i in range(60, 72)]
+    assert [r["yhat"] for r in rows] == pytest.approx(expected, rel=0.01)
+
+
+def test_intervals_widen_and_repeat(series):
+    def bands():
+        rows = forecasting.changepoint_forecast(series.repartition(3), "region", 24, {"Region": 1}).orderBy("ds").collect()
+        return [(r["yhat_lower"], r["yhat_upper"]) for r in rows]
+
+    first = bands()
+    assert first == bands()
+    assert first[-1][1] - first[-1][0] > 1.5 * (first[0][1] - first[0][0])
+
+
+def test_keys_too_short_or_constant(series):
+    models = {r["Region"]: r for r in changepoint.fit_changepoint(series, "region").collect()}
+    assert sorted(models) == [1, 2, 3, 5, 6]
+    rows = forecasting.changepoint_forecast(series, "region", 3, {"Region": 5}).collect()
+    assert [round(r["yhat"], 9) for r in rows] == [0.0] * 3
+    fitted = {r["Region"]: r["rmse"] for r in evaluation.evaluate_changepoint(series, "region").collect()}
+    assert fitted[3] < 1 and fitted[1] < 4 and fitted[2] < 1
+
+
+def test_solution_is_the_optimum():
+    """Conditions of the least penalised squares: gradients vanish, or stay within the penalty at zero."""
+    params = ChangepointParams(changes=6, order=2, rounds=1, sweeps=5000)
+    rng = np.random.default_rng(1)
+    t = np.linspace(0, 1, 50)
+    hinges = [np.maximum(t - params.share * (j + 1) / 6, 0) for j in range(6)]
+    curve = [f(2 * np.pi * k * np.arange(50) / 12) for k in (1, 2) for f in (np.cos, np.sin)]
+    x = np.column_stack([np.ones(50), t, *hinges, *curve])
+    y = np.abs(t - 0.4) + 0.1 * curve[0] + rng.normal(0, 0.05, 50)
+    found, _ = changepoint.solved((x.T @ x)[None], (x.T @ y)[None], np.array([y @ y]), np.array([50]), params)
+    b = found[0]
+    variance = y @ y / 50 * 0.1
+    gradient = x.T @ (y - x @ b)
+    prior = np.array([5.0, 5.0, *[0] * 6, *[10.0] * 4])
+    other = np.r_[0:2, 8:12]
+    assert gradient[other] == pytest.approx(variance * b[other] / prior[other] ** 2, abs=1e-7)
+    penalty = variance / params.change_prior
+    for j in range(2, 8):
+        if b[j]:
+            assert gradient[j] == pytest.approx(np.sign(b[j]) * penalty, abs=1e-6)
+        else:
+            assert abs(gradient[j]) <= penalty + 1e-6
+    assert (b[2:8] == 0).any() and (b[2:8] != 0).any()

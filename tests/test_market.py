@@ -93,6 +93,20 @@ def test_tree_of_first_nodes(nodes):
     assert sorted(cut) == ["f1", "f2", "f3"]
 
 
+def test_a_chain_of_thousands_takes_few_rounds(spark, monkeypatch):
+    """5,000 levels, a cycle and a node below it: rounds grow with the logarithm of the depth."""
+    chain = [(f"f{i}", f"n{i}", i, f"c{i - 1}" if i else None, f"c{i}") for i in range(5000)]
+    cycle = [("x", "x", 1, "cz", "cx"), ("y", "y", 1, "cx", "cy"), ("z", "z", 1, "cy", "cz"), ("w", "w", 1, "cz", "cw")]
+    rounds, cut = [], hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda df: rounds.append(df) or cut(df))
+    tree = hierarchy.market_tree(spark.createDataFrame(chain + cycle, MARKET_SCHEMA)).drop("path").collect()
+    found = {r["FIELD_ID"]: r for r in tree}
+    # Four of them are not rounds.
+    assert len(rounds) - 4 <= 14
+    assert all(found[f"f{i}"]["depth"] == i and found[f"f{i}"]["root_code"] == "c0" for i in range(5000))
+    assert not any(found[k]["reachable"] for k in "xyzw")
+
+
 def test_a_deep_chain_is_followed_to_its_end(spark):
     chain = [(f"f{i}", f"n{i}", i, f"c{i - 1}" if i else None, f"c{i}") for i in range(60)]
     found = {r["FIELD_ID"]: r for r in hierarchy.market_tree(spark.createDataFrame(chain, MARKET_SCHEMA)).collect()}

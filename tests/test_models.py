@@ -231,7 +231,7 @@ def test_lifecycle(spark, data):
         assert training.evaluate(data, path, "region", model).count() == 0
         report = training.train(data, path, "region", model, params=params.get(model))
         trained[model] = sorted(r["Region"] for r in report.collect())
-    assert trained == {"trend": [1, 2, 3, 4, 5], "trees_a": [1, 2, 3], "trees_b": [1, 2, 3], "sequence": [1, 2, 3]}
+    assert trained == {"trend": [1, 2, 3, 4, 5], "changepoint": [1, 2, 3, 4, 5], "trees_a": [1, 2, 3], "trees_b": [1, 2, 3], "sequence": [1, 2, 3]}
     for model in training.MODELS:
         forecast = training.forecast(data, path, "region", model, 4, {"Region": 1})
         assert forecast.columns == ["Region", "ds", "yhat", "yhat_lower", "yhat_upper"]
