@@ -12,7 +12,9 @@ compared leave the bucket, and a bucket is done when all that are left are conne
 copies is linked by few stars, and no pair of a bucket is left out unless it is connected already.
 A pair is judged by its registers first: likelihood of how often one is greater, given both sizes. Pairs
 whose best similarity is below the wanted one, and ``DOUBT`` nats more likely, are given up; an honest pair is
-lost so with a probability below exp(-DOUBT). All others are held against the sets themselves.
+lost so with a probability below exp(-DOUBT). The verification of the others begins with ``PARITIES`` bits per set, whether
+an odd number of its hashes falls into a place: two sets differ in at least as many elements as bits, and a pair that
+differs in too many cannot reach the similarity. What is left is held against the sets themselves.
 
 Defined results: text is lower-cased in A-Z only and split at white space; fewer words than a shingle
 give one shingle of them all; without words, or null, the set is empty and linked with nothing. Sets are held
@@ -39,6 +41,7 @@ REGISTERS = BANDS * ROWS
 # Base of the logarithm of a register, rate of the values, and the greatest register.
 BASE, RATE, GREATEST = 1.02, 20.0, 2**16 - 1
 DOUBT = 20.0
+PARITIES = 2_048
 # How many times more sets of a bucket are compared with the others of it from round to round.
 GROWTH = 16
 # Shingles sketched or returned at a time, and words whose hashes a task remembers.
@@ -90,6 +93,18 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1.0 - np.log(values) / np.log(BASE)), 0, GREATEST).astype(np.uint16)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits, packed: whether an odd number of the distinct hashes falls into a place."""
+    places = (hashes >> np.uint64(20)) % np.uint64(PARITIES)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8))
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these parities, as rows of packed bits, and sizes can have the similarity; never False if they have."""
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * differ <= (100 - percent) * (n_a + n_b)
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(a, b)
@@ -128,16 +143,17 @@ def _sketched(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            digests, sizes, kept = [], [], []
+            digests, sizes, kept, odd = [], [], [], []
             for text in batch.column("text"):
                 hashes = shingles(text.as_py(), words, known)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
                 kept.append(registers(hashes).astype(">u2").tobytes())
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary())]
+                odd.append(parities(hashes).tobytes())
+            columns = [pa.array(sizes, pa.int64()), *[pa.array(c, pa.binary()) for c in (digests, kept, odd)]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), *columns],
-                names=["doc_id", "text_hash", "digest", "n", "registers"],
+                names=["doc_id", "text_hash", "n", "digest", "registers", "odd"],
             )
 
     return rows
@@ -152,8 +168,8 @@ def _text_hash() -> Column:
 
 
 def sketches(docs: DataFrame, words: int = 2) -> DataFrame:
-    """Rows (doc_id, text_hash, digest, n, registers), one per document: its set's digest, size and sketch."""
-    schema = "doc_id long, text_hash long, digest binary, n long, registers binary"
+    """Rows (doc_id, text_hash, n, digest, registers, odd), one per document: its set's size, digest, sketch, parities."""
+    schema = "doc_id long, text_hash long, n long, digest binary, registers binary, odd binary"
     return _texts(docs).mapInArrow(_sketched(words), schema)
 
 
@@ -185,15 +201,23 @@ def _sets(words: int):
     return rows
 
 
+def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    """Rows of numbers from binary values of one length."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    return values.view(dtype).reshape(len(column), -1)
+
+
 def _likely(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.array([np.frombuffer(r.as_py(), dtype=">u2") for r in batch.column(c)]) for c in ("registers_a", "registers_b"))
-            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_a", "n_b")]
-            best, nats = estimated(a, b, *sizes, at=percent / 100)
-            stays = pa.array((best >= percent / 100) | (nats <= DOUBT))
+            a, b = (_matrix(batch.column(c), ">u2") for c in ("registers_a", "registers_b"))
+            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b")]
+            best, nats = estimated(a, b, *[n.astype(np.float64) for n in sizes], at=percent / 100)
+            near = may_reach(*[_matrix(batch.column(c), "u1") for c in ("odd_a", "odd_b")], *sizes, percent)
+            stays = pa.array(near & ((best >= percent / 100) | (nats <= DOUBT)))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(stays) for c in ("a", "b")], names=["a", "b"])
 
     return rows
@@ -201,9 +225,9 @@ def _likely(percent: int):
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the similarity."""
-    sketch = nodes.select("node", "n", "registers")
     for side in ("a", "b"):
-        pairs = pairs.join(sketch.select(*[F.col(c).alias(n) for c, n in (("node", side), ("n", f"n_{side}"), ("registers", f"registers_{side}"))]), side)
+        sketch = [F.col(c).alias(f"{c}_{side}") for c in ("n", "registers", "odd")]
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *sketch), side)
     likely = written(pairs.mapInArrow(_likely(percent), "a long, b long"), "likely-pairs")
     asked = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     of = nodes.join(asked, "node").select("node", "digest", F.col("least.doc_id").alias("of"), F.col("least.text_hash").alias("of_hash"))
@@ -272,7 +296,7 @@ def _members(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     """The sketches, and rows (digest, least, root): distinct sets, the first document of each, their component."""
     found = written(sketches(docs, words), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("least")
-    same = [F.first(c).alias(c) for c in ("n", "registers")]
+    same = [F.first(c).alias(c) for c in ("n", "registers", "odd")]
     nodes = found.filter("n > 0").groupBy("digest").agg(first, *same).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "distinct-sets")
     roots = _roots(nodes, docs, percent, words)

@@ -74,6 +74,19 @@ def test_joint_estimate_and_merge(n, share):
     assert (setsketch.merged(x, y) == setsketch.registers(np.union1d(a, b))).all()
 
 
+@pytest.mark.parametrize("n", [1, 40, 900, 20_000])
+def test_parities_give_up_no_pair_at_the_bound(n):
+    rng = np.random.default_rng(n)
+    for both in (n, -(-8 * n // 9), -(-8 * n // 9) - 1, 2 * n // 3):
+        values = rng.permutation(np.unique(rng.integers(0, 2**64, size=2 * n + 9, dtype=np.uint64)))[: 2 * n - both]
+        a, b = values[:n], np.concatenate([values[:both], values[n:]])
+        rows = [setsketch.parities(np.sort(x))[None] for x in (a, b)]
+        kept = setsketch.may_reach(*rows, np.array([n]), np.array([n]), 80)[0]
+        assert kept or 100 * both < 80 * (2 * n - both)
+        if n == 900 and both == 600:
+            assert not kept
+
+
 def test_query_matches_all_pairs(spark, small, texts):
     assert found(queries()["op13_setsketch"](spark, small)) == plain_groups(texts)
 
