@@ -7,9 +7,12 @@ place, and two sets agree in a place about as often as their similarity says.
 
 Distinct shingle sets meet where a band of ``ROWS`` registers agrees. At similarity 0.8 a pair shares none of
 ``BANDS`` bands with a probability of at most (1 - 0.8**5)**40, one in eight million. In a bucket all sets are
-compared with one, the smallest not compared yet, then with ``GROWTH`` more, and so on in rounds; sets that were
-compared leave the bucket, and a bucket is done when all that are left are connected. So a group of near
-copies is linked by few stars, and no pair of a bucket is left out unless it is connected already.
+compared with the smallest first, which then leaves it: a group of near copies is mostly linked by few stars. A bucket
+whose sets are not all connected then is dealt into blocks of some ``BLOCK`` sets, by a hash, and the blocks are put
+together in cells that tasks compare row by row of numbers, so that only likely pairs leave a task; one block of a
+bucket is compared with all blocks first, then ``GROWTH`` more, and so on in rounds. Sets that were compared leave the
+bucket, and a bucket is done when all that are left are connected: no pair of a bucket is left out unless it is
+connected already.
 A pair is judged by its registers first: likelihood of how often one is greater, given both sizes. Pairs
 whose best similarity is below the wanted one, and ``DOUBT`` nats more likely, are given up; an honest pair is
 lost so with a probability below exp(-DOUBT). The verification of the others begins with ``PARITIES`` bits per set, whether
@@ -42,8 +45,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, GREATEST = 1.02, 20.0, 2**16 - 1
 DOUBT = 20.0
 PARITIES = 2_048
-# How many times more sets of a bucket are compared with the others of it from round to round.
-GROWTH = 16
+# Sets of a bucket that are dealt out together, and how many times more of these blocks are compared with all from round to round.
+BLOCK, GROWTH = 4_096, 16
+# Pairs of a cell that are held at a time.
+PAIRS = 32_768
 # Shingles sketched or returned at a time, and words whose hashes a task remembers.
 AT_ONCE, BATCH, REMEMBERED = 1_024, 500_000, 500_000
 
@@ -213,31 +218,119 @@ def _likely(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (_matrix(batch.column(c), ">u2") for c in ("registers_a", "registers_b"))
+            sketches_ = [_matrix(batch.column(c), d) for c, d in (("registers_a", ">u2"), ("registers_b", ">u2"), ("odd_a", "u1"), ("odd_b", "u1"))]
             sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b")]
-            best, nats = estimated(a, b, *[n.astype(np.float64) for n in sizes], at=percent / 100)
-            near = may_reach(*[_matrix(batch.column(c), "u1") for c in ("odd_a", "odd_b")], *sizes, percent)
-            stays = pa.array(near & ((best >= percent / 100) | (nats <= DOUBT)))
+            stays = pa.array(_near(*sketches_, *sizes, percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(stays) for c in ("a", "b")], names=["a", "b"])
 
     return rows
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the similarity."""
+def _near(a, b, odd_a, odd_b, n_a, n_b, percent: int) -> np.ndarray:
+    """Whether pairs may have the similarity by their parities, and by their registers."""
+    near = may_reach(odd_a, odd_b, n_a, n_b, percent)
+    at = np.flatnonzero(near)
+    if len(at):
+        best, nats = estimated(a[at], b[at], n_a[at].astype(np.float64), n_b[at].astype(np.float64), at=percent / 100)
+        near[at] = (best >= percent / 100) | (nats <= DOUBT)
+    return near
+
+
+def _pairs_of_cells(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) of the pairs of every cell, some ``PAIRS`` at a time; the rows are in order of their cells."""
+    key, i, j, block = (table.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+    ends = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    for start, end in zip([0, *ends], [*ends, len(key)]):
+        place = np.arange(start, end)
+        if i[start] == j[start]:
+            for k in range(0, len(place), step := max(1, PAIRS // len(place))):
+                left, right = np.meshgrid(place[k : k + step], place[k:], indexing="ij")
+                later = right > left
+                yield left[later], right[later]
+        else:
+            first, second = place[block[start:end] == i[start]], place[block[start:end] == j[start]]
+            for k in range(0, len(first), step := max(1, PAIRS // max(1, len(second)))):
+                left, right = np.meshgrid(first[k : k + step], second, indexing="ij")
+                yield left.ravel(), right.ravel()
+
+
+def _compared(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of the cells in these rows."""
+    node, n, root = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root"))
+    sketch, odd = (_matrix(table.column(c).combine_chunks(), d) for c, d in (("registers", ">u2"), ("odd", "u8")))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
+
+    def judged() -> pa.RecordBatch:
+        left, right = (np.concatenate(side) for side in zip(*held))
+        near = _near(sketch[left], sketch[right], odd[left], odd[right], n[left], n[right], percent)
+        a, b = np.minimum(node[left], node[right])[near], np.maximum(node[left], node[right])[near]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for left, right in _pairs_of_cells(table):
+        sizes = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+        # Two sets of this similarity cannot differ more in size.
+        open_ = (root[left] != root[right]) & (100 * sizes[0] >= percent * sizes[1])
+        held.append((left[open_], right[open_]))
+        total += len(held[-1][0])
+        if total >= PAIRS:
+            yield judged()
+            held, total = [], 0
+    if total:
+        yield judged()
+
+
+def _cells(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
+            now = key[-1], i[-1], j[-1]
+            # The last cell of a batch may go on in the next one.
+            start = int(np.argmax(same))
+            if start or last not in (None, now):
+                yield from _compared(pa.Table.from_batches([*waiting, batch.slice(0, start)]), percent)
+                waiting = []
+            waiting.append(batch.slice(start))
+            last = now
+        if waiting:
+            yield from _compared(pa.Table.from_batches(waiting), percent)
+
+    return rows
+
+
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Rows (node, hashes) of the nodes, from their first documents.
+
+    The nodes are written first: while they are few, as Spark sees from the size of the files, it does not shuffle the texts.
+    """
+    of = nodes.select("node", "digest", F.col("least.doc_id").alias("of"), F.col("least.text_hash").alias("of_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
+    # Rows that repeat an id and text are one.
+    texts = _texts(docs).join(written(of, "set-owners"), same).select("node", "digest", "text").dropDuplicates(["node", "digest", "text"])
+    return written(texts.mapInArrow(_sets(words), "node long, hashes array<long>"), "shingle-sets")
+
+
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that may reach the similarity by their sketches."""
     for side in ("a", "b"):
         sketch = [F.col(c).alias(f"{c}_{side}") for c in ("n", "registers", "odd")]
         pairs = pairs.join(nodes.select(F.col("node").alias(side), *sketch), side)
-    likely = written(pairs.mapInArrow(_likely(percent), "a long, b long"), "likely-pairs")
-    asked = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    of = nodes.join(asked, "node").select("node", "digest", F.col("least.doc_id").alias("of"), F.col("least.text_hash").alias("of_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
-    # Rows that repeat an id and text are one.
-    texts = _texts(docs).join(of, same).select("node", "digest", "text").dropDuplicates(["node", "digest", "text"])
-    sets = written(texts.mapInArrow(_sets(words), "node long, hashes array<long>"), "shingle-sets")
+    return pairs.mapInArrow(_likely(percent), "a long, b long")
+
+
+def _verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity."""
+    likely = written(likely, "likely-pairs")
+    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    asked = sets.join(written(ends, "asked-nodes"), "node")
     both = likely
     for side in ("b", "a"):
-        both = both.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"set_{side}")), side)
+        both = both.join(asked.select(F.col("node").alias(side), F.col("hashes").alias(f"set_{side}")), side)
     shared, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
     return written(both.filter(100 * shared >= percent * (total - shared)).select("a", "b"), "near-links")
 
@@ -262,34 +355,41 @@ def _roots(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataF
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width)))
     )
     sides = nodes.select("node", "n", F.explode(keys).alias("key"))
-    repeated = sides.groupBy("key").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1").select("key")
-    buckets = written(sides.join(repeated, "key"), "buckets")
-    roots = written(buckets.select("node").distinct().withColumn("root", F.col("node")), "roots")
-    seen: list[DataFrame] = []
-    pivots = 1
-    while not buckets.isEmpty():
+    shared = sides.groupBy("key").agg(F.count("*").alias("in_bucket"), F.min(F.struct("node", "n")).alias("middle"))
+    shared = shared.filter("in_bucket > 1").select("key", F.col("middle.node").alias("m_node"), F.col("middle.n").alias("m_n"))
+    # The middles are compared with all others of the bucket now.
+    buckets = written(sides.join(shared, "key").filter("node > m_node"), "buckets")
+    ends = buckets.select("node").unionByName(buckets.select(F.col("m_node").alias("node"))).distinct()
+    nodes = written(nodes.join(ends, "node"), "met-sets")
+    sets = _shingle_sets(nodes, docs, words)
+    pairs = buckets.filter(100 * F.least("n", "m_n") >= percent * F.greatest("n", "m_n"))
+    pairs = written(pairs.select(F.col("m_node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    roots = _joined(roots, _verified(_likely_pairs(pairs, nodes, percent), sets, percent))
+    sketches_ = nodes.select("node", "registers", "odd")
+    buckets, middles = buckets.select("key", "node", "n"), 1
+    while True:
         rooted = written(buckets.join(roots, "node"), "rooted-buckets")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        open_ = written(rooted.join(mixed, "key"), "open-buckets")
+        sizes = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("in_bucket"))
+        mixed = written(sizes.filter("x < y").select("key", F.ceil(F.col("in_bucket") / BLOCK).alias("blocks")), "mixed-buckets")
+        block = F.pmod(F.xxhash64("node", "key"), "blocks")
+        open_ = written(rooted.join(mixed, "key").withColumn("block", block), "open-buckets")
         if open_.isEmpty():
-            break
-        # The limit is applied before the shuffle already, so that no bucket is gathered for it.
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        middle = open_.withColumn("place", place).filter(F.col("place") <= pivots).drop("place")
-        middle = written(middle.select("key", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "root")]), "middles")
-        pairs = open_.join(middle, "key").filter((F.col("root") != F.col("m_root")) & (F.col("node") > F.col("m_node")))
-        # Two sets of this similarity cannot differ more in size.
-        pairs = pairs.filter(100 * F.least("n", "m_n") >= percent * F.greatest("n", "m_n"))
-        pairs = pairs.select(F.col("m_node").alias("a"), F.col("node").alias("b")).distinct()
-        for earlier in seen:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        seen.append(pairs)
-        roots = _joined(roots, _verified(pairs, nodes, docs, percent, words))
-        compared = middle.select("key", F.col("m_node").alias("node"))
-        buckets = open_.select("node", "n", "key").join(compared, ["key", "node"], "left_anti")
-        pivots *= GROWTH
-    return roots
+            return roots
+        # Cells (i, j) with a middle block i: of a row, those where its block is the second, and, in a middle block, the first.
+        upto = F.transform(F.sequence(F.lit(0).cast("long"), F.least("block", F.lit(middles - 1))), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+        after = F.transform(F.sequence(F.col("block") + 1, F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+        has_after = (F.col("block") < middles) & (F.col("block") + 1 < F.col("blocks"))
+        cell = F.explode(F.when(has_after, F.concat(upto, after)).otherwise(upto)).alias("cell")
+        sides = open_.join(sketches_, "node").select("key", "block", "node", "n", "root", "registers", "odd", cell)
+        sides = sides.select("key", "cell.i", "cell.j", "block", "node", "n", "root", "registers", "odd")
+        cells = sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        likely = cells.mapInArrow(_cells(percent), "a long, b long").distinct()
+        roots = _joined(roots, _verified(likely, sets, percent))
+        buckets = open_.filter(F.col("block") >= middles).select("key", "node", "n")
+        if buckets.isEmpty():
+            return roots
+        middles *= GROWTH
 
 
 def _members(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,56 @@ def test_buckets_without_links_are_worked_off(spark):
     assert found(setsketch.groups(frame)) == plain_groups(texts)
 
 
+@pytest.mark.parametrize("middles_grow", [1, 3])
+def test_large_buckets_in_blocks(spark, monkeypatch, middles_grow):
+    """Blocks of three: near sets, linked ones among them, dealt out over many cells and rounds."""
+    monkeypatch.setattr(setsketch, "BLOCK", 3)
+    monkeypatch.setattr(setsketch, "GROWTH", 1 + middles_grow)
+    rng, texts = random.Random(11), {}
+    origin = [f"o{i}" for i in range(150)]
+    for k in range(24):
+        texts[k] = " ".join(edited(rng, origin, 13))
+    for k in range(6):
+        texts[100 + k] = " ".join(edited(rng, texts[k].split(), 2))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = plain_groups(texts)
+    assert found(setsketch.groups(frame)) == expected
+    assert len({r for _, r, _ in expected.values()}) > 10
+
+
+def test_cells_hold_every_pair_once(monkeypatch):
+    """Blocks 0 to 3 of a bucket against the middle blocks 0 and 1, and a bucket of one block; a few pairs at a time."""
+    monkeypatch.setattr(setsketch, "PAIRS", 5)
+    rows = []
+    for i in range(2):
+        for j in range(i, 4):
+            rows += [(7, i, j, b, 10 * b + k) for b in {i, j} for k in range(4)]
+    rows += [(9, 0, 0, 0, 90 + k) for k in range(6)]
+    table = pa.table(dict(zip(("key", "i", "j", "block", "node"), map(list, zip(*rows)))))
+    node = table.column("node").to_numpy()
+    pairs = [tuple(sorted(p)) for left, right in setsketch._pairs_of_cells(table) for p in zip(node[left], node[right])]
+    members = [10 * b + k for b in range(4) for k in range(4)]
+    wanted = [(x, y) for x in members for y in members if x < y and x < 20]
+    wanted += [(x, y) for x in range(90, 96) for y in range(x + 1, 96)]
+    assert sorted(pairs) == sorted(wanted)
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 1000])
+def test_cells_over_batches(at_once):
+    """A cell that goes on in the next batches is compared as one."""
+    rng = random.Random(3)
+    base = {k: [f"b{k}w{rng.randrange(10**6)}" for _ in range(80)] for k in range(3)}
+    sets = [setsketch.shingles(" ".join(edited(rng, base[k % 3], 1))) for k in range(9)]
+    rows = [
+        {"key": k % 3, "i": 0, "j": 0, "block": 0, "node": k, "n": len(s), "root": k,
+         "registers": setsketch.registers(s).astype(">u2").tobytes(), "odd": setsketch.parities(s).tobytes()}
+        for k, s in sorted(enumerate(sets), key=lambda e: e[0] % 3)
+    ]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=at_once)
+    pairs = sorted((a, b) for out in setsketch._cells(80)(iter(batches)) for a, b in zip(*[c.to_pylist() for c in out.columns]))
+    assert pairs == [(a, b) for a in range(9) for b in range(a + 1, 9) if a % 3 == b % 3]
+
+
 def test_one_of_each(spark, odd, no_docs):
     out = setsketch.one_of_each(odd)
     assert out.columns == odd.columns
