@@ -24,10 +24,9 @@ block and reads back as no rows; other columns are not looked at.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,7 @@ CHUNK = 65_536
 BLOCK_TOKENS = 262_144
 # Characters of text tokenised at a time, but one document at least.
 BATCH_CHARS = 3_000_000
-# Words whose ids a worker keeps from one portion to the next.
+# Pieces of words whose ids a worker keeps from one portion to the next.
 CACHE_WORDS = 300_000
 
 BLOCK_SCHEMA = (
@@ -90,18 +89,29 @@ def _choices(width: np.ndarray) -> np.ndarray:
     return best
 
 
+def _walk(steps: np.ndarray) -> np.ndarray:
+    """The places that steps from the first one reach: every 16th by a loop, those between by doubling."""
+    n = len(steps)
+    jumps = [np.append(np.minimum(np.arange(n) + steps, n), n)]
+    for _ in range(4):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, starts, i = memoryview(jumps.pop()), [], 0
+    while i < n:
+        starts.append(i)
+        i = far[i]
+    starts = np.array(starts, dtype=np.int64)
+    for jump in reversed(jumps):
+        starts = np.stack([starts, jump[starts]], axis=1).ravel()
+    return starts[starts < n]
+
+
 def encode_words(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of the ids (unsigned), packed greedily: every word takes as many ids as it can."""
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
     width = _widths(ids)
     best = _choices(width)
-    steps = COUNTS[best].astype(np.uint8).tobytes()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += steps[i]
-    starts = np.array(starts, dtype=np.int64)
+    starts = _walk(COUNTS[best])
     selectors = best[starts]
     out = selectors.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(COUNTS[0], dtype=np.uint64)])
@@ -161,25 +171,30 @@ def decode_block(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(runs) if runs else np.zeros(0, np.uint64)
 
 
-_MARKS = re.compile(r"[.,!?;:]+$")
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one behind the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+# As classes of letters: lower-case ones that normalising leaves alone; ASCII marks, a run of which is one piece.
+_LETTERS, _MARKS = "a-zß-öø-ÿœ", r"!-/:-@\[-`{-~"
 
 
 class WordTokenizer:
     """Ids of whole texts, by a tokenizers file.
 
-    Where the tokenizer drops white space and joins nothing across it (``split_words``), each
-    distinct word is tokenised once while the cache holds it, and texts are put together from the
-    ids of their words. ASCII letters are lower-cased first, as the tokenizer does itself. Words of
-    plain letters skip the normaliser and the splitting pattern, which would not change them; the
-    first words fill the cache, as the frequent ones come early.
+    Where the tokenizer drops white space and joins nothing across it (``split_words``), texts are
+    put together from the ids of their pieces: plain letters, the marks behind them, and any other
+    word as a whole. Each distinct piece is tokenised once while the cache holds it. ASCII letters
+    are lower-cased first, as the tokenizer does itself. Plain pieces skip the normaliser and the
+    splitting pattern, which would not change them; the first pieces fill the cache, as the frequent
+    ones come early.
     """
 
     # Letters without case, one of which parts words given to the tokenizer in one go; it must be one id.
     _PARTERS = ("ツ", "ก", "م", "の", "的")
 
-    # Lower-case letters that normalising leaves alone, and marks that make one piece behind them.
-    _PLAIN = re.compile(r"[a-zß-öø-ÿœ]+[.,!?;:]*")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -191,7 +206,14 @@ class WordTokenizer:
         )
         self.parter = next((c for c in self._PARTERS if len(self.ids(c)) == 1), None)
         self.by_word = self.parter is not None and split_words(path)
-        self.place: dict[str, int] = {}
+        if self.by_word:
+            # The last id of a piece, and no other, stands for letters with the suffix.
+            vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            letters = pre_tokenizers.ByteLevel.alphabet()
+            self.by_word = all(c in vocabulary and c + suffix in vocabulary for c in letters)
+        self.pieces = pa.array([], pa.large_string())
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
         self.stream = np.zeros(0, dtype=np.uint32)
@@ -211,62 +233,91 @@ class WordTokenizer:
         joined = pc.replace_substring(pa.array([texts[i] for i in rest], pa.large_string()), "\n", " ")
         lists = pc.split_pattern(pc.ascii_lower(joined), " ")
         flat = lists.flatten().dictionary_encode()
-        places = self._places(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy()]
-        lengths, starts = self.lengths[places], self.starts[places]
+        ids, counts = self._words(flat.dictionary)
+        words = flat.indices.to_numpy()
+        lengths = counts[words]
+        stream = ids[_ranges((np.cumsum(counts) - counts)[words], lengths)]
         ends = np.cumsum(lengths)
-        first = np.repeat(starts - (ends - lengths), lengths)
-        stream = self.stream[np.arange(len(first)) + first]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         for i, a, b in zip(rest, bounds[:-1].tolist(), bounds[1:].tolist()):
             out[i] = np.append(stream[a:b], np.uint32(end_id))
         return out
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        """Where starts and lengths have each word; missing ones are tokenised first."""
-        if len(self.place) > CACHE_WORDS:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one behind the other, and the number of each."""
+        stems, tails = _stems_and_tails(words)
+        both = pa.concat_arrays([stems, tails]).dictionary_encode()
+        places = self._places(both.dictionary)[both.indices.to_numpy()].reshape(2, -1)
+        lengths = self.lengths[places]
+        return self.stream[_ranges(self.starts[places].T.ravel(), lengths.T.ravel())], lengths.sum(axis=0)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where starts and lengths have each piece; missing ones are tokenised first."""
+        if len(self.pieces) > CACHE_WORDS:
             self._forget()
-        missing = [w for w in words if w not in self.place]
-        ordered, streams, sizes = [], [], []
-        plain = [w for w in missing if self._PLAIN.fullmatch(w)]
-        others = [w for w in missing if not self._PLAIN.fullmatch(w)]
-        for some, tokenizer in ((plain, self.plain), ([w for w in others if self.parter not in w], self.tokenizer)):
-            for i in range(0, len(some), 100):
-                ids, counts = self._several(some[i : i + 100], tokenizer)
-                streams.append(ids)
-                sizes += counts
-            ordered += some
-        for w in others:
-            if self.parter in w:
-                ordered.append(w)
-                streams.append(np.array(self.ids(w), dtype=np.uint32))
-                sizes.append(len(streams[-1]))
-        known = len(self.lengths)
-        self.place.update(zip(ordered, range(known, known + len(ordered))))
-        counts = np.array(sizes, dtype=np.int64)
-        self.starts = np.concatenate([self.starts, len(self.stream) + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.stream = np.concatenate([self.stream, *streams])
-        return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        places = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        plain = pc.match_substring_regex(pieces, f"^([{_LETTERS}]+|[{_MARKS}]+)$").to_numpy(False)
+        for some, tokenise in ((plain, self._plain_ids), (~plain, self._other_ids)):
+            at = np.flatnonzero((places < 0) & some)
+            missing = pieces.take(pa.array(at))
+            ids, counts = tokenise(missing.to_pylist())
+            places[at] = len(self.pieces) + np.arange(len(at))
+            self.starts = np.concatenate([self.starts, len(self.stream) + np.cumsum(counts) - counts])
+            self.lengths = np.concatenate([self.lengths, counts])
+            self.stream = np.concatenate([self.stream, ids])
+            self.pieces = pa.concat_arrays([self.pieces, missing])
+        return places
 
     def _forget(self) -> None:
-        """Drop what came after the first CACHE_WORDS words."""
-        self.place = dict(islice(self.place.items(), CACHE_WORDS))
+        """Drop what came after the first CACHE_WORDS pieces."""
+        self.pieces = self.pieces[:CACHE_WORDS]
         self.starts, self.lengths = self.starts[:CACHE_WORDS], self.lengths[:CACHE_WORDS]
         self.stream = self.stream[: int(self.starts[-1] + self.lengths[-1])]
 
-    def _several(self, words: list[str], tokenizer) -> tuple[np.ndarray, list[int]]:
+    def _plain_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are letters only or marks only, and the number of each."""
+        found = [np.zeros(0, dtype=np.uint32)]
+        for i in range(0, len(pieces), 100):
+            (some,) = self.plain.encode_batch_fast([" ".join(pieces[i : i + 100])], add_special_tokens=False)
+            found.append(np.array(some.ids, dtype=np.uint32))
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer parted a run of letters or of marks")
+        return ids, np.diff(ends, prepend=-1)
+
+    def _other_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, and the number of each."""
+        found = {w: np.array(self.ids(w), dtype=np.uint32) for w in words if not w or self.parter in w}
+        rest = [w for w in words if w not in found]
+        for i in range(0, len(rest), 100):
+            found |= zip(rest[i : i + 100], self._several(rest[i : i + 100]))
+        counts = np.fromiter((len(found[w]) for w in words), dtype=np.int64, count=len(words))
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *[found[w] for w in words]]), counts
+
+    def _several(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words tokenised in one go, with a parter behind each that is then cut out."""
         (mark,) = self.ids(self.parter)
-        if tokenizer is self.plain:
-            # Marks behind the letters are a piece of their own.
-            words = [_MARKS.sub(r" \g<0>", w) for w in words]
         text = "".join(f"{w} {self.parter} " for w in words)
-        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(found.ids, dtype=np.uint32)
         at = np.flatnonzero(ids == mark)
         if len(at) != len(words):
             raise ValueError("the tokenizer gave the parting letter's id to another word")
-        return np.delete(ids, at), (np.diff(at, prepend=-1) - 1).tolist()
+        return [part[:-1] for part in np.split(ids, at + 1)[:-1]]
+
+
+def _stems_and_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The plain letters and the marks behind them; any other word is a stem without marks."""
+    stems = pc.ascii_rtrim(words, characters=punctuation)
+    stems = pc.if_else(pc.match_substring_regex(stems, f"^[{_LETTERS}]*$"), stems, words)
+    sizes = pc.binary_length(stems).to_numpy()
+    lengths = pc.binary_length(words).to_numpy() - sizes
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words)]
+    marks = np.frombuffer(data or b"", dtype=np.uint8)[_ranges(starts + sizes, lengths)]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return stems, pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(marks))
 
 
 def split_words(path: str) -> bool:

@@ -65,6 +65,45 @@ def test_a_full_cache_changes_nothing(both, monkeypatch, texts):
         assert [g.tolist()[:-1] for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in some[i : i + 5]]
 
 
+class Watched:
+    """A tokenizer that notes the words it is given."""
+
+    def __init__(self, inner: Tokenizer, given: list[str]):
+        self.inner, self.given = inner, given
+
+    def encode(self, text, **options):
+        self.given += text.split()
+        return self.inner.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += " ".join(texts).split()
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_letters_are_tokenised_once_whatever_marks_follow(both):
+    mine, plain, given = simple8b.WordTokenizer(tokenizer_path()), both[1], []
+    mine.tokenizer, mine.plain = Watched(mine.tokenizer, given), Watched(mine.plain, given)
+    portions = [
+        ["Letters, letters.*** letters letters!!", "*** , naïve naïve' \"naïve\" it's it.'s it'"],
+        ["letters.*** letters,%%% %%% LETTERS? naïve", "letters,%%%\nletters\tletters\u00a0x", "", "l'eau, l'eau"],
+    ]
+    for texts in portions:
+        expected = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [ids.tolist() for ids in mine.encode(texts, 2)] == expected
+    assert given.count("letters") == 3  # once, and twice inside a word with other white space
+    assert given.count("naïve") == given.count("***") == given.count(",%%%") == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 1000])
+def test_the_walk_over_words_visits_what_single_steps_reach(n):
+    steps = np.random.default_rng(n).choice(simple8b.COUNTS, n)
+    places, i = [], 0
+    while i < n:
+        places.append(i)
+        i += steps[i]
+    assert simple8b._walk(steps).tolist() == places
+
+
 def expected(texts: dict, plain: Tokenizer) -> dict:
     start, out = 0, {}
     for doc_id in sorted(texts):
