@@ -301,8 +301,8 @@ def _evaluate_trees(params: trees.TreeParams) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         scope, keys = "territory", SCOPES["territory"]
         features = forecasting.prepared(trees.train_rows(_series(spark, folder), scope))
-        model, per_key = trees.fit_trees(features, scope, params), trees.fit_keys(features, scope, params)
-        metrics = evaluation.evaluate_trees(features, per_key, model, scope)
+        model, per_key = trees.fit_trees(features, scope, params, False), trees.fit_keys(features, scope, params)
+        metrics = forecasting.prepared(evaluation.evaluate_trees(features, per_key, model, scope))
         mean = evaluation.evaluate_mean(features, scope).select(*keys, F.col("rmse").alias("mean_rmse"))
         as_good = _as_good("rmse", "mean_rmse").alias("as_good_as_mean")
         return plain(metrics.join(mean, keys).select(*keys, "count", as_good))
