@@ -9,7 +9,7 @@ from salesops.functions.columns import as_text_date, key_label
 from salesops.functions.params import known_filters
 from salesops.models import changepoint, sequence, trees, trend
 from salesops.operators.series import last_periods, monthly_series, sales_amounts
-from salesops.plans.lineage import cut
+from salesops.plans.lineage import cut, written
 from salesops.scopes import DEFAULT_HORIZON, scope_keys
 
 
@@ -74,11 +74,15 @@ def tree_forecast(
     horizon: int = DEFAULT_HORIZON,
     filters: dict | None = None,
 ) -> DataFrame:
-    """Fit on every key, forecast the wanted ones. Reads the series more than once: prepare it."""
+    """Fit on every key, forecast the wanted ones. Reads the series more than once: prepare it.
+
+    The forecast is written, its trees are not: they are fitted on their way to the only place that reads them.
+    """
     features = trees.train_rows(series, scope)
-    model = trees.fit_trees(features, scope, params)
+    model = trees.fit_trees(features, scope, params, False)
     per_key = trees.fit_keys(features, scope, params)
-    return trees.forecast_trees(known_filters(series, filters), per_key, model, scope, horizon)
+    forecast = trees.forecast_trees(known_filters(series, filters), per_key, model, scope, horizon)
+    return written(forecast, "forecast")
 
 
 def sequence_forecast(

@@ -247,6 +247,15 @@ def test_lifecycle(spark, data):
 SHORT = trees.TreeParams(rounds=2, step=0.3, depth=2, leaf_rows=1, bins=32)
 
 
+def test_trees_are_written_to_the_store_only(spark, data, monkeypatch):
+    """They are many times their rows: a forecast keeps none, and a training does not write them before it stores them."""
+    names, write = [], trees.written
+    monkeypatch.setattr(trees, "written", lambda df, name: names.append(name) or write(df, name))
+    assert forecasting.tree_forecast(data, "region", SHORT, 2).count() == 6
+    assert training.train(data, scratch_path(spark, "life"), "region", "trees_b", params=SHORT).count() == 3
+    assert names == ["tree-rows", "tree-rows"]
+
+
 def test_training_on_nothing(spark, data):
     path = scratch_path(spark, "life")
     empty = data.filter("false")
